@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import substring
+from starloom.llm import quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @_query
@@ -27,3 +27,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated windows of 35 go; what is left of each document."""
     found = substring.remove_repeated(_documents(spark, sf_dir), carry=["doc_id"])
     return found.select("doc_id", "substring.n_words", "substring.n_removed", F.sha2("substring.kept", 256).alias("kept_sha256"), F.size("substring.spans").alias("n_spans"))
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every document through the ledger of blobs."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.findings(docs, secrets.ledger_update(docs), carry=["doc_id"])
+    spans = F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    listed = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+@_query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser fertility and the verdict for every document."""
+    found = quality.measure(_documents(spark, sf_dir).select("doc_id", "text", "lang"), carry=["doc_id"])
+    return found.select("doc_id", *(f"quality.{f.name}" for f in quality.FIELDS))
