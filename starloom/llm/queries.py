@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import quality, secrets, substring
+from starloom.llm import neardup, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, tokeniser fertility and the verdict for every document."""
     found = quality.measure(_documents(spark, sf_dir).select("doc_id", "text", "lang"), carry=["doc_id"])
     return found.select("doc_id", *(f"quality.{f.name}" for f in quality.FIELDS))
+
+
+@_query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
+    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), neardup.Params(shingle=2))
