@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import neardup, quality, secrets, substring
+from starloom.llm import html, huffman, neardup, packing, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
     return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), neardup.Params(shingle=2))
+
+
+@_query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces packed into sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
+@_query
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as Huffman blocks and read back."""
+    return huffman.round_trip(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, source spans and decoding of every document."""
+    found = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"], digests=True)
+    return found.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", F.sha2("pieces.decoded", 256).alias("decoded_sha256"), "pieces.spans_sha256", F.col("pieces.covered").alias("n_bytes_covered"))
+
+
+@_query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), carry=["page_id", "url"])
+    return found.select("page_id", "url", "main.text", "main.n_chars")
