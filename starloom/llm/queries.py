@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import html, huffman, neardup, packing, pieces, quality, secrets, substring
+from starloom.llm import fingerprint, html, huffman, neardup, packing, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), carry=["page_id", "url"])
     return found.select("page_id", "url", "main.text", "main.n_chars")
+
+
+@_query
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.compare_with_next(_documents(spark, sf_dir).select("doc_id", "text"))
