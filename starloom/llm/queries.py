@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, html, huffman, neardup, packing, pieces, quality, secrets, substring
+from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprint.compare_with_next(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, as a whole text and by line, through canonical digests."""
+    found = licenses.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+ORACLES["op2_license_scan"] = licenses.oracle()
