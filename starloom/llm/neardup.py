@@ -201,8 +201,9 @@ def _verified(p: Params):
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links) and
-    kept (whether that is the row's own id)."""
+    """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept
+    (whether that is the row's own id), chosen (true for one row of each component and for all rows without
+    shingles; identical rows share it), and a and b, two 64-bit hashes of id and text that name the row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
@@ -223,10 +224,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     texts = keyed.select("a", "b", "text").join(placed, (F.col("a") == F.col("ma")) & (F.col("b") == F.col("mb"))).select("root", "i", "j", "sid", "text")
     texts = texts.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     roots = components(texts.mapInArrow(_verified(p), "u binary, v binary"))
-    named = sketch.groupBy("sid").agg(F.min("id").alias("least")).join(roots, F.col("sid") == F.col("node"), "left")
+    # the row with the smallest id, null ids last and ties by the row's hashes, stands for its class and component
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b")
+    named = sketch.groupBy("sid").agg(F.min(place).alias("least")).join(roots, F.col("sid") == F.col("node"), "left")
     named = named.select(F.coalesce("root", "sid").alias("root"), "sid", "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component")).select(F.col("root").alias("r"), "component")
-    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
-    found = sketch.select("id", "sid", "n").join(named, F.col("sid") == F.col("s"))
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    ids = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("root").alias("r"), "first")
+    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "first")
+    found = sketch.select("id", "a", "b", "sid", "n").join(named, F.col("sid") == F.col("s"))
+    component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
+    chosen = (F.col("n") == 0) | (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")]
+    return found.select(*columns, chosen.alias("chosen"), "a", "b")
+
+
+def without_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, by near_duplicates; of identical rows (id and text) one stays."""
+    chosen = near_duplicates(docs, p, id_col, text_col).filter("chosen").select(F.col("a").alias("ca__"), F.col("b").alias("cb__")).distinct()
+    keyed = docs.withColumns({"ka__": F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), "kb__": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit("")), F.col(id_col))})
+    kept = keyed.join(chosen, (F.col("ka__") == F.col("ca__")) & (F.col("kb__") == F.col("cb__")), "left_semi")
+    return kept.dropDuplicates(["ka__", "kb__"]).drop("ka__", "kb__")

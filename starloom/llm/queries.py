@@ -50,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
-    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), neardup.Params(shingle=2))
+    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), neardup.Params(shingle=2)).drop("a", "b")
 
 
 @_query
