@@ -94,8 +94,8 @@ def _pieces(model: str, length: int, separator: int, with_ids: bool):
     return run
 
 
-def _packed(length: int, schema: list[str]):
-    """Packs the rows of each shard, which come sorted by shard and falling length."""
+def _packed(length: int):
+    """Packs the rows (row__, length) of one shard, which come sorted by falling length."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -105,11 +105,9 @@ def _packed(length: int, schema: list[str]):
         if not rows:
             return
         table = pa.Table.from_batches(rows).combine_chunks()
-        sizes = np.asarray(table.column("length"))
-        where, offset = sum_of_squares(sizes, length)
-        for name, x in (("sequence_id", where + base), ("offset", offset)):
-            table = table.append_column(name, pa.array(x))
-        yield from table.select(schema).to_batches(max_chunksize=10_000)
+        where, offset = sum_of_squares(np.asarray(table.column("length")), length)
+        table = table.drop_columns(["length"]).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
+        yield from table.to_batches(max_chunksize=10_000)
 
     return run
 
@@ -122,15 +120,16 @@ def pieces(docs: DataFrame, model: str | None = None, length: int = LENGTH, sepa
     return named.mapInArrow(_pieces(model or tokens.default("word_bpe_49k.json"), length, separator, with_ids), schema).withColumnRenamed("id", id_col)
 
 
-def pack(parts: DataFrame, length: int = LENGTH, id_col: str = "doc_id", shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(parts: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """The rows of parts (columns of `pieces`) with sequence_id and offset.
 
-    The pieces are written once, so that they are made once and counted. A shard of `shard_pieces` small rows
-    fits any task and costs at most about one sequence more than packing everything together.
+    The pieces are written once, so that they are made once, counted, and numbered. Shards get numbers and lengths
+    alone; a shard of `shard_pieces` of them fits any task and costs at most about one sequence more than packing
+    everything together. Sequence numbers and offsets are then joined to the pieces, ids and all.
     """
-    parts = written(parts, "pieces")
+    wanted = parts.columns
+    parts = written(parts.withColumn("row__", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-parts.count() // shard_pieces))
-    dealt = parts.repartition(shards, F.xxhash64(id_col, "piece", "start", "ids_crc32")).sortWithinPartitions(F.col("length").desc())
-    names = [*parts.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id bigint, offset bigint"
-    return dealt.mapInArrow(_packed(length, names), schema)
+    dealt = parts.select("row__", "length").repartition(shards, F.xxhash64("row__")).sortWithinPartitions(F.col("length").desc(), "row__")
+    placed = dealt.mapInArrow(_packed(length), "row__ bigint, sequence_id bigint, offset bigint")
+    return parts.join(placed, "row__").select(*wanted, "sequence_id", "offset")
