@@ -131,8 +131,9 @@ def _tokenised(model: str, end_id: int):
         for b in slices(batches, "text"):
             data, offsets = buffers(strings(b.column("text")))
             ids, cuts = table.encode(data, *word_spans(data, offsets))
-            blobs = [np.append(ids[x:y], end_id).astype("<u4").astype("<u2" if ids.max(initial=end_id) < 65536 else "<u4").tobytes() for x, y in zip(cuts, cuts[1:])]
             wide = 2 if ids.max(initial=end_id) < 65536 else 4
+            narrow, last = ids.astype(f"<u{wide}"), np.array([end_id], f"<u{wide}").tobytes()
+            blobs = [narrow[x:y].tobytes() + last for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([wide] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["id", "wide", "ids"])
 
     return run
@@ -145,8 +146,10 @@ def _unpacked(wide: int, blob: bytes) -> np.ndarray:
 def _counted(batches):
     total = np.zeros(0, dtype=np.int64)
     for b in batches:
-        for w, x in zip(b.column("wide").to_pylist(), b.column("ids").to_pylist()):
-            found = np.bincount(_unpacked(w, x))
+        wide = np.asarray(b.column("wide"))
+        for w in (2, 4):
+            rows = b.column("ids").take(pa.array(np.flatnonzero(wide == w)))
+            found = np.bincount(_unpacked(w, b"".join(rows.to_pylist())))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found

@@ -17,7 +17,7 @@ import numpy as np
 
 from starloom.llm.text import packed_words, ragged
 
-CACHE = 300_000
+CACHE = 250_000
 
 
 def default(name: str) -> str:
@@ -92,7 +92,9 @@ class _WordBpe:
         out = []
         tokenize, find, plain, alphabet = self.tokenizer.model.tokenize, self.pre.findall, self.plain.fullmatch, self.alphabet
         for w in words:
-            if plain(w) and "<|" not in w:
+            if w.isascii() and w.isalpha():
+                ids = [t.id for t in tokenize(w.lower())]
+            elif plain(w) and "<|" not in w:
                 parts = find(w.lower())
                 if not w.isascii():
                     parts = [p.encode().decode("latin-1").translate(alphabet) for p in parts]
@@ -106,7 +108,7 @@ class _WordBpe:
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordCache:
     """For texts cut at white space: equals encode(text, add_special_tokens=False) of the whole text."""
-    return WordCache(_WordBpe(path))
+    return WordCache(_WordBpe(path), 2 * CACHE)
 
 
 class _Pieces(WordCache):
