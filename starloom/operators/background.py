@@ -9,63 +9,75 @@ from pyspark.sql import DataFrame
 from starloom.operators import rcr
 
 
-def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, degree: int, anchor: int | None = None) -> np.ndarray:
-    """Weighted polynomial coefficients (constant first); with an anchor the curve goes through that point."""
-    if anchor is not None:
-        powers = np.stack([(x - x[anchor]) ** k for k in range(1, degree + 1)], axis=1)
-        c = np.linalg.lstsq(powers * np.sqrt(w)[:, None], (y - y[anchor]) * np.sqrt(w), rcond=None)[0]
-        shifted = np.polynomial.Polynomial([y[anchor], *c])
-        return shifted(np.polynomial.Polynomial([-x[anchor], 1.0])).coef
-    powers = np.stack([x**k for k in range(degree + 1)], axis=1)
-    return np.linalg.lstsq(powers * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+def _free(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted quadratic (constant first) from its normal equations; a straight mean where they are singular."""
+    p = np.stack([np.ones(len(x)), x, x * x])
+    pw = p * w
+    a = pw @ p.T
+    scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    try:
+        return np.linalg.solve(a * scale[:, None] * scale, (pw @ y) * scale) * scale
+    except np.linalg.LinAlgError:
+        return np.array([(w * y).sum() / w.sum(), 0.0, 0.0])
+
+
+def _anchored(x: np.ndarray, y: np.ndarray, w: np.ndarray, x0: float, y0: float) -> np.ndarray:
+    """Weighted quadratic through (x0, y0), constant first."""
+    u, v = x - x0, y - y0
+    u2 = u * u
+    a, b, c, e, f = (w * u2).sum(), (w * u2 * u).sum(), (w * u2 * u2).sum(), (w * u * v).sum(), (w * u2 * v).sum()
+    det = a * c - b * b
+    p, q = ((e * c - f * b) / det, (a * f - b * e) / det) if det > 1e-14 * a * c else (e / a if a > 0 else 0.0, 0.0)
+    return np.array([y0 - p * x0 + q * x0 * x0, p - 2 * q * x0, q])
 
 
 def _value(c: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.polynomial.polynomial.polyval(x, c)
+    return c[0] + x * (c[1] + x * c[2])
 
 
-def window_model(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, anchor: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Baseline of one window: (kept, values). Positive outliers go one by one from an anchored quadratic until the
-    root mean square of what lies above equals the scatter; points within that scatter of the final free
-    quadratic come back, inside the span of the survivors. None where fewer than four points are left."""
+def window_model(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, anchor: int) -> tuple[np.ndarray, np.ndarray, slice] | None:
+    """Baseline of one window: (kept, values, span). Positive outliers go one by one from a quadratic through the anchor
+    until the root mean square of what lies above is at most the scatter. Then the anchor goes, and the lowest
+    rejected point inside the survivors' span and one beyond comes back, again and again, while the root mean
+    square above a free quadratic stays below the scatter. None where fewer than four points are left."""
+    x = x - x[anchor]
     kept = np.ones(len(x), dtype=bool)
+    limit = scatter**2
     for _ in range(len(x)):
         if kept.sum() < 4:
             return None
-        c = _fit(x[kept], y[kept], w[kept], 2, anchor=int(np.flatnonzero(np.flatnonzero(kept) == anchor)[0]) if kept[anchor] else None)
-        r = y - _value(c, x)
+        r = y - _value(_anchored(x[kept], y[kept], w[kept], x[anchor], y[anchor]), x)
         above = kept & (r > 0)
-        if not above.any():
+        if not above.any() or (r[above] ** 2).mean() <= limit:
             break
-        rms = np.sqrt((w[above] * r[above] ** 2).sum() / w[above].sum())
-        if rms <= scatter:
-            break
-        worst = np.where(kept, r, -np.inf)
-        k = int(worst.argmax())
-        if k == anchor:
-            worst[k] = -np.inf
-            k = int(worst.argmax())
-        kept[k] = False
+        r[~kept] = -np.inf
+        r[anchor] = -np.inf
+        kept[int(r.argmax())] = False
+    kept[anchor] = False
+    if kept.sum() < 4:
+        return None
     for _ in range(len(x)):
         at = np.flatnonzero(kept)
-        c = _fit(x[kept], y[kept], w[kept], 2)
-        r = y - _value(c, x)
-        low, high = max(at[0] - 1, 0), min(at[-1] + 1, len(x) - 1)
-        back = ~kept & (np.abs(r) <= scatter)
-        back[:low] = False
-        back[high + 1 :] = False
-        if not back.any():
+        r = y - _value(_free(x[at], y[at], w[at]), x)
+        above = kept & (r > 0)
+        out = np.flatnonzero(~kept)
+        out = out[(out >= at[0] - 1) & (out <= at[-1] + 1)]
+        if above.any() and (r[above] ** 2).mean() >= limit or not len(out):
             break
-        kept |= back
-    return kept, _value(c, x)
+        lowest = out[int(r[out].argmin())]
+        if r[lowest] > 5 * scatter:  # one such point alone lifts the mean square over the limit
+            break
+        kept[lowest] = True
+    at = np.flatnonzero(kept)
+    return kept, _value(_free(x[at], y[at], w[at]), x), slice(int(at[0]), int(at[-1]) + 1)
 
 
 def scan_background(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, length: float) -> np.ndarray:
     """Background at every sample of a scan with positions x (ascending).
 
-    Windows of the given length start at every sample, forward and backward. Every window that covers a sample
-    adds a local value, weighted by its summed weights and by closeness to the window's centre; the values of a
-    sample are combined by the robust mean, and samples without any are filled linearly.
+    Windows of the given length start at every sample, forward and backward. Every window adds a local value to the
+    samples of its span, but for rejected ones below it, weighted by its summed weights and by closeness to its
+    centre; the values of a sample are combined by the robust mean, and samples without any are filled linearly.
     """
     n = len(x)
     if n < 4 or length <= 0:
@@ -79,8 +91,10 @@ def scan_background(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float,
         made = window_model(x[a:b], y[a:b], w[a:b], scatter, start - a)
         if made is None:
             continue
-        kept, local = made
-        at = np.flatnonzero(kept)
+        kept, local, span = made
+        inside = np.zeros(b - a, dtype=bool)
+        inside[span] = True
+        at = np.flatnonzero(inside & (kept | (local <= y[a:b])))
         centre = np.average(x[a:b][kept], weights=w[a:b][kept])
         d = x[a:b] - centre
         s = max(np.sqrt(np.average(d[kept] ** 2, weights=w[a:b][kept])), 1e-12)
