@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -196,9 +195,8 @@ class Model:
         return self._source_size
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> Model:
-    return Model(path)
+    return tokens.held(Model, path)
 
 
 FIELDS = StructType([

@@ -25,7 +25,7 @@ from starloom.llm.shared import shuffle_partitions
 from starloom.llm.text import U64, binaries, buffers, mix, rolling, slices, sliding_min, strings, word_hashes, word_spans
 
 WINDOW = 35
-_CHUNK_BYTES = 6_000_000
+_CHUNK_BYTES = 4_000_000
 _BLOBS = "bucket int, hashes binary, known binary, a binary, b binary, first binary, size binary, done binary"
 _SPANS = "a bigint, b bigint, first int, size int"
 FIELDS = StructType([

@@ -18,7 +18,7 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; it bounds a task's memory whatever the batch size.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=U64) * U64(2) + U64(1)

@@ -11,13 +11,13 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
 from starloom.llm.text import packed_words, ragged
 
-CACHE = 250_000
+#: Pieces of a cache's generation. A task holds two generations of one tokenizer.
+CACHE = 120_000
 
 
 def default(name: str) -> str:
@@ -105,10 +105,25 @@ class _WordBpe:
         return out
 
 
-@lru_cache(maxsize=2)
+#: The one table a worker holds; another tokenizer's replaces it, so stages that share workers do not add up.
+_held: dict[tuple, object] = {}
+
+
+def held(kind: Callable, path: str):
+    """kind(path), made once and kept until another is asked for."""
+    if (kind, path) not in _held:
+        _held.clear()
+        _held[kind, path] = kind(path)
+    return _held[kind, path]
+
+
+def _word_table(path: str) -> WordCache:
+    return WordCache(_WordBpe(path), 2 * CACHE)
+
+
 def word_bpe(path: str) -> WordCache:
     """For texts cut at white space: equals encode(text, add_special_tokens=False) of the whole text."""
-    return WordCache(_WordBpe(path), 2 * CACHE)
+    return held(_word_table, path)
 
 
 class _Pieces(WordCache):
@@ -122,6 +137,5 @@ class _Pieces(WordCache):
         super().__init__(lambda new: [array("i", x).tobytes() for x in self.model.encode(new, num_threads=1)])
 
 
-@lru_cache(maxsize=2)
 def piece_words(path: str) -> WordCache:
-    return _Pieces(path)
+    return held(_Pieces, path)
