@@ -3,7 +3,7 @@
 A text is made canonical (case, punctuation and white space, copyright lines, equivalent spellings) and
 its SHA-256 is joined to the digests of known licence texts; lines are looked up likewise, against the
 same table, for one-line notices. Everything is a Column expression; texts are never compared or
-shuffled, only digests are. The known side is a table of any size, which Spark broadcasts while it is small.
+shuffled, only digests are. The known side is a table of any size; it is broadcast only after its rows were counted.
 
 Defined results: null text is empty; an empty canonical text matches nothing; of several known licences with
 the same canonical text the least id is given; rows with the same id and text share their result; extra
@@ -30,6 +30,7 @@ SPELLINGS = (
     ("https:", "http:"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+BROADCAST_ROWS = 100_000
 MARKS = r"[^\p{L}\p{N}]+"
 
 # Public licence texts and notices.
@@ -74,10 +75,12 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(known_digest, license_id) of a table with license_id and text; the built-in texts by default."""
+    """(known_digest, license_id) of a table with license_id and text; the built-in texts by default. Up to
+    BROADCAST_ROWS known texts (about 100 bytes each, once hashed) are broadcast; more are joined by a shuffle."""
     known = known if known is not None else spark.createDataFrame(list(KNOWN), "license_id string, text string")
     rows = known.select(digest(F.col("text")).alias("known_digest"), "license_id").filter(canonical(F.col("text")) != "")
-    return rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    table = rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(table) if rows.count() <= BROADCAST_ROWS else table
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,8 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 @dataclass(frozen=True)
 class Band:
     """Limits inside which a text is kept: characters for each token, byte-fallback share, bits of token entropy
-    and that entropy as a share of the most that so many tokens could have."""
+    and that entropy as a share of the most that so many tokens could have (12 bits at most, so that length alone
+    never rejects)."""
 
     low_chars: float = 1.2
     high_chars: float = 8.0
@@ -121,7 +122,7 @@ def _measured(rules: Rules, model: str, text: str, lang: str | None):
             per = word_chars[i] / count if count else 0.0
             share = (by_byte[cuts[i + 1]] - by_byte[cuts[i]]) / count if count else 0.0
             bits = _entropy(ids[cuts[i] : cuts[i + 1]])
-            most = math.log2(count) if count > 1 else 1.0
+            most = min(math.log2(count), 12.0) if count > 1 else 1.0
             high = upper[b] - upper[a]
             script = "other" if 3 * (wide[b] - wide[a]) > 0.5 * max(1, b - a) else "latin" if high else "ascii"
             band = rules.by_lang.get(langs[i]) or rules.by_script[script]
