@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.shared import written
+from starloom.llm.shared import with_aggregates, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near = with_aggregates(both, "u", 2 * total, F.min("v").alias("m"))
+    return near.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges point from the greater to the smaller end."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m")
-    joined = edges.join(least, F.col("u") == F.col("at"))
-    return joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
+    near = with_aggregates(edges, "u", total, F.min("v").alias("m"))
+    moved = F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u"))
+    return near.select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,13 +28,15 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root): every node of an edge with the smallest node of its component. Loops and null ends are ignored.
 
-    Each round is written to the shared folder; the driver sees a count and a checksum of it only.
+    Each step is written to the shared folder; the driver sees a count and a checksum of it only. A centre
+    with very many edges is joined by broadcast, so its rows stay where they are.
     """
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct()
     edges = written(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        stars = written(_large_star(edges, state[0]), "stars")
+        edges = written(_small_star(stars, state[0]), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

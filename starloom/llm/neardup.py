@@ -10,7 +10,7 @@ Only connectivity is asked for, so no pairs are listed: equal sets are one class
 bucket adds an edge from its members to its smallest class, the components of these edges are
 the proposed groups, and a breadth-first search over each group confirms links only towards
 classes it has not reached. A group of more than `group_shingles` shingles is cut into blocks
-and each pair of blocks is searched by itself, so that no task holds an unbounded group.
+(see _confirmed), so that no task holds an unbounded group.
 
 A pair at the threshold misses all bands with a chance of (1 - 0.8**4)**32 = 5e-8 at the defaults,
 and fails the likelihood test (a margin of 0.2, over five standard deviations) with about 1e-7.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.components import components
-from starloom.llm.shared import shuffle_partitions, written
+from starloom.llm.shared import shuffle_partitions, with_aggregates, written
 from starloom.llm.text import LOWER, U64, buffers, mix, ragged, rolling, slices, strings, word_hashes, word_spans
 
 
@@ -176,7 +176,7 @@ def _banded(bands: int):
 
 
 def _verified(p: Params):
-    """Rows come sorted by group; a group's confirmed components leave as edges (sid, root)."""
+    """Rows come sorted by group and class; a group's confirmed components leave as edges (sid, root)."""
 
     def links(sids: list[bytes], texts: list[str]) -> pa.RecordBatch:
         values, cuts = shingle_sets(pa.array(texts, pa.large_string()), p.shingle)
@@ -192,6 +192,8 @@ def _verified(p: Params):
                     if len(sids) > 1:
                         yield links(sids, texts)
                     group, sids, texts = (g, i, j), [], []
+                if sids and sids[-1] == s:  # a repeated row, or one that two sides of a pair of blocks share
+                    continue
                 sids.append(s)
                 texts.append(t)
         if len(sids) > 1:
@@ -200,6 +202,50 @@ def _verified(p: Params):
     return run
 
 
+def _confirmed(keyed: DataFrame, members: DataFrame, total: int, p: Params) -> DataFrame:
+    """(node, root) of the components of confirmed links between the members (root, sid, ma, mb, n) of proposed groups.
+
+    A group of at most `group_shingles` shingles is searched whole. A larger one is cut into blocks. First each block
+    is searched together with the group's pivot, its least member, which joins what is alike to one large component.
+    Then only links with a member outside the group's largest component can be missing: those members are cut into
+    blocks of their own, and each pair of a block of the rest and a block of the group is searched.
+    """
+
+    def searched(placed: DataFrame) -> DataFrame:
+        texts = keyed.select("a", "b", "text").join(placed, (F.col("a") == F.col("ma")) & (F.col("b") == F.col("mb"))).select("root", "i", "j", "sid", "text")
+        texts = texts.repartition(shuffle_partitions(keyed.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid")
+        return written(texts.mapInArrow(_verified(p), "u binary, v binary"), "links")
+
+    def block(*key):
+        return F.pmod(F.xxhash64(*key[:-1]), key[-1])
+
+    def upto(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    halves = lambda weight: F.ceil(weight * 2 / F.lit(p.group_shingles))
+    place, columns = ("root", "i", "j", "sid", "ma", "mb"), ("root", "sid", "ma", "mb")
+    sized = with_aggregates(members, "root", total, F.sum("n").alias("weight"), F.min("sid").alias("pivot"))
+    sized = sized.withColumn("blocks", F.when(F.col("weight") <= p.group_shingles, F.lit(1).cast("bigint")).otherwise(halves(F.col("weight"))))
+    sized = written(sized.withColumn("own", block("sid", F.col("blocks"))), "sized")
+    large = sized.filter("blocks > 1")
+    none = F.lit(0).cast("bigint").alias("j")
+    pivots = large.filter("sid = pivot").select(*columns, "own", upto(F.col("blocks")).alias("i")).filter("i <> own")
+    links = searched(sized.select(*columns, F.col("own").alias("i"), none).select(*place).unionByName(pivots.select(*columns, "i", none).select(*place)))
+    roots = components(links)
+    if large.isEmpty():
+        return roots
+    now = large.join(roots.select("node", F.col("root").alias("to")), F.col("sid") == F.col("node"), "left").withColumn("part", F.coalesce("to", "sid")).drop("node", "to")
+    now = written(with_aggregates(now, "part", total, F.count("*").alias("size")), "parts")
+    now = with_aggregates(now, "root", total, F.max(F.struct("size", "part")).alias("main")).withColumn("rest", F.col("part") != F.col("main.part"))
+    now = written(now.drop("main", "part", "size"), "rest")
+    now = with_aggregates(now, "root", total, F.sum(F.when(F.col("rest"), F.col("n"))).alias("left")).filter("left > 0").withColumn("others", halves(F.col("left")))
+    now = written(now, "pairs")
+    whole = now.select(*columns, F.col("own").alias("i"), upto(F.col("others")).alias("j"))
+    rest = now.filter("rest").select(*columns, block(F.lit(1), F.col("sid"), F.col("others")).alias("j"), upto(F.col("blocks")).alias("i"))
+    more = searched(whole.select(*place).unionByName(rest.select(*place)))
+    return components(links.unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept
     (whether that is the row's own id), chosen (true for one row of each component and for all rows without
@@ -211,25 +257,17 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     sketch = written(keyed.mapInArrow(_sketched(p), f"a bigint, b bigint, id {id_type}, sid binary, n bigint, keys binary"), "sketch")
     classes = sketch.filter("n > 0").groupBy("sid").agg(F.first("keys").alias("keys"))
     banded = classes.mapInArrow(_banded(p.bands), "key bigint, sid binary")
-    lead = banded.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).filter("lead < most").select(F.col("key").alias("k"), "lead")
-    edges = banded.join(lead, F.col("key") == F.col("k")).filter("sid > lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
-    groups = components(edges)
+    total = sketch.count()
+    led = with_aggregates(banded, "key", p.bands * total, F.min("sid").alias("lead"), least_rows=2)
+    groups = components(led.filter("sid > lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")))
     one = sketch.filter("n > 0").groupBy("sid").agg(F.min(F.struct("a", "b", "n")).alias("row"))
     members = groups.join(one, F.col("node") == F.col("sid")).select("root", "sid", F.col("row.a").alias("ma"), F.col("row.b").alias("mb"), F.col("row.n").alias("n"))
-    members = written(members, "members")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") * 2 / F.lit(p.group_shingles)).alias("blocks")).select(F.col("root").alias("r"), F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")).alias("blocks"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    placed = members.join(blocks, F.col("root") == F.col("r")).select("root", "sid", "ma", "mb", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("root", "sid", "ma", "mb", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = keyed.select("a", "b", "text").join(placed, (F.col("a") == F.col("ma")) & (F.col("b") == F.col("mb"))).select("root", "i", "j", "sid", "text")
-    texts = texts.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    roots = components(texts.mapInArrow(_verified(p), "u binary, v binary"))
+    roots = _confirmed(keyed, written(members, "members"), total, p)
     # the row with the smallest id, null ids last and ties by the row's hashes, stands for its class and component
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b")
     named = sketch.groupBy("sid").agg(F.min(place).alias("least")).join(roots, F.col("sid") == F.col("node"), "left")
     named = named.select(F.coalesce("root", "sid").alias("root"), "sid", "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("root").alias("r"), "first")
-    named = named.join(ids, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "first")
+    named = with_aggregates(named, "root", total, F.min("least").alias("first")).select(F.col("sid").alias("s"), "first")
     found = sketch.select("id", "a", "b", "sid", "n").join(named, F.col("sid") == F.col("s"))
     component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
     chosen = (F.col("n") == 0) | (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))

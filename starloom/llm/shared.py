@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one in HOT of all rows is hot; there are at most HOT of them.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,5 +33,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[st
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_aggregates(rows: DataFrame, key: str, total: int, *aggregates: Column, least_rows: int = 1) -> DataFrame:
+    """The rows with the aggregates over all rows of their key, for keys of `least_rows` rows or more; null keys go.
+
+    `total` is the number of rows or more. Aggregates are partial before their shuffle. A key of more than
+    total / HOT rows is joined by broadcast, and by this bound at most HOT keys are; the rows of the other keys
+    are shuffled, so that no key brings one task more than total / HOT rows.
+    """
+    per = rows.groupBy(F.col(key).alias("key__")).agg(*aggregates, F.count("*").alias("n__")).filter(F.col("n__") >= least_rows)
+    often, same = F.col("n__") * HOT > total, F.col(key) == F.col("key__")
+    hot, others = F.broadcast(per.filter(often)), per.filter(~often)
+    seldom = rows.join(hot, same, "left_anti").join(others, same)
+    return rows.join(hot, same).unionByName(seldom).drop("key__", "n__")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
