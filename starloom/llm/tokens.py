@@ -133,7 +133,14 @@ class _Pieces(WordCache):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        size = self.model.get_piece_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
+        shown = [self.model.id_to_piece(i).replace("\u2581", "") for i in range(size)]
+        #: Pieces that spell words (bytes too), with their characters, and those of symbols alone; bare word marks are neither.
+        self.is_word = self.is_byte | np.array([any(c.isalnum() for c in p) for p in shown])
+        self.is_symbol = ~self.is_word & np.array([p != "" for p in shown])
+        lead = [not 0x80 <= int(p[3:5], 16) < 0xC0 if b else len(p) for p, b in zip(shown, self.is_byte)]
+        self.word_length = np.where(self.is_word, np.array(lead, dtype=np.int64), 0)
         super().__init__(lambda new: [array("i", x).tobytes() for x in self.model.encode(new, num_threads=1)])
 
 

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing names and empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,22 @@ def test_quality_results(spark, docs):
     got = {r.doc_id: r.quality for r in quality.measure(docs.filter("doc_id in (4, 6, 7)")).collect()}
     assert got[4].n_words == 0 and got[4].base_failed and not got[4].kept
     assert got[6].base_failed and got[6].n_repeat_words == 60_000
+
+
+def test_quality_bands_reject_symbol_noise(spark, sf):
+    """Prose passes; the same words with symbol runs, between bars or as random letters pass the base counts and fail the band."""
+    rng = random.Random(5)
+    prose = quality.measure(spark.read.parquet(f"{sf}/documents.parquet")).filter("not quality.base_failed and quality.n_symbols = 0").orderBy("doc_id").limit(60).collect()
+    rows = []
+    for d in prose:
+        w = d.text.split()
+        noise = " ".join("".join(rng.choice("bcdfgjkqvwxz") for _ in range(6)) for _ in w)
+        for k, t in enumerate((d.text, " ".join(x + rng.choice("*#$%&") * 3 for x in w), " | ".join(w), noise)):
+            rows += [(k, t, d.lang), (k, t, d.lang.upper() + "-XX"), (k, t, None)]
+    got = [(r.doc_id, r.quality.kept) for r in quality.measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).filter("not quality.base_failed").collect()]
+    assert len(got) > 500 and all(kept == (k == 0) for k, kept in got)
+
+
+def test_quality_bands_differ_by_language():
+    rules = quality.Rules()
+    assert len({rules.band(x, "ascii") for x in ("en", "de", "fr", "es", "zz")}) == 5 and rules.band("EN_us", "ascii") == rules.band("en", "ascii")
