@@ -70,3 +70,19 @@ def test_lag_and_period():
     assert abs(correlation_lag(x, f(x), x, f(x + 0.4)) + 0.4) < 0.03
     t = np.linspace(0, 100, 512)
     assert abs(period(t, np.sin(2 * np.pi * t / 12.5)) - 12.5) < 0.3
+
+
+@pytest.mark.parametrize("n", [300, 2000])
+def test_broken_line_takes_the_best_of_all_breaks(n):
+    """Against a least-squares fit at every break."""
+    rng = np.random.default_rng(n)
+    x = rcr.normal_axis(np.ones(n))
+    for at in (0.137, 0.4, 0.613):
+        d = np.sort(np.abs(np.where(x < at, x, at + 9 * (x - at)) + rng.normal(0, 0.002, n)))
+        k = int((x < 1).sum())
+        fits = []
+        for m in range(1, k - 1):
+            a = np.column_stack([np.minimum(x[:k], x[m]), np.maximum(x[:k] - x[m], 0)])
+            line = np.linalg.lstsq(a, d[:k], rcond=None)[0]
+            fits.append((((a @ line - d[:k]) ** 2).sum(), line[0]))
+        assert rcr.double_line(d, np.ones(n)) == pytest.approx(min(fits)[1], rel=1e-6)
