@@ -86,3 +86,19 @@ def test_broken_line_takes_the_best_of_all_breaks(n):
             line = np.linalg.lstsq(a, d[:k], rcond=None)[0]
             fits.append((((a @ line - d[:k]) ** 2).sum(), line[0]))
         assert rcr.double_line(d, np.ones(n)) == pytest.approx(min(fits)[1], rel=1e-6)
+
+
+def test_line_is_robust_above_400_points():
+    """A third of the points lie on another line, which pulls a regression but not the half-sample mode."""
+    rng = np.random.default_rng(4)
+    x = np.arange(600.0)
+    y = 4 + 0.5 * x + rng.normal(0, 0.2, 600)
+    y[::3] += 0.4 * x[::3] + 5
+    m = rcr.LinearModel(x, y)
+    m(np.ones(600, bool))
+    assert abs(m.slope - 0.5) < 0.02
+    few = rcr.LinearModel(x[:400], y[:400])
+    few(np.ones(400, bool))
+    more = rcr.LinearModel(x[:401], y[:401])
+    more(np.ones(401, bool))
+    assert abs(few.slope - more.slope) < 1e-3
