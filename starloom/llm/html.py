@@ -37,16 +37,28 @@ BLOCKS = frozenset(
 RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas".split())
 AROUND = frozenset("head nav footer aside form dialog menu button select fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role that name what surrounds an article.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|newsletter|subscribe|popup|modal|sidebar\w*|side|widget\w*"
-    r"|nav|navbar|navigation|menu\w*|breadcrumb\w*|footer\w*|site-header|masthead|comment\w*|replies|disqus|social|share|sharing|related|recommend\w*"
-    r"|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?:$|[\s_-])",
+#: Whole class tokens of blocks that surround an article.
+_CLASS = re.compile(
+    r"(?:(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|promotion|cookie|cookies|consent|newsletter|subscribe|popup|modal|sidebar|widget|widgets|comment|comments"
+    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|social|share|sharing|related|recommended|recommendations|pagination|login|signup|search)"
+    r"(?:[-_]{1,2}(?:ad|area|bar|banner|block|box|buttons?|container|content|form|inner|items?|left|links?|list|menu|notice|outer|panel|posts?|right|section|slot|thread|top|unit|widget|wrapper|wrap))?"
+    r"|banner|notice|masthead|replies|disqus|disqus[-_]thread|pager|side|alert|(?:site|page|main|global)[-_](?:header|footer|nav|navigation|menu|sidebar))",
     re.I,
 )
-_REPLY = re.compile(r"comment|repl(?:y|ies)", re.I)
+#: Whole ids of containers that surround an article; other ids name what a section is about.
+_ID = re.compile(
+    r"(?:ads?|advert|advertisement|cookies?|(?:cookie|consent|ad|top)[-_](?:banner|notice|bar|container)|newsletter|popup|modal|(?:left|right)?[-_]?sidebar|nav|navbar|navigation|menu|(?:main|site|top)[-_](?:nav|navigation|menu)"
+    r"|breadcrumbs?|(?:site|page)?[-_]?footer|(?:site|page)[-_]header|masthead|comments?|comments?[-_](?:list|section|area|form|thread)|disqus[-_]thread|pagination)",
+    re.I,
+)
+_ROLE = re.compile(r"(?:navigation|banner|complementary|contentinfo|search|alert|alertdialog|dialog|menu|menubar)", re.I)
+#: Elements whose names never make them surrounding matter: text of their own, and the page's frame.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote br html body main article".split())
+#: Elements that hold paragraphs; a line belongs to the innermost open one.
+_CONTAINERS = frozenset("html body main article section div td th center details".split())
+_REPLY = re.compile(r"(?:comments?|reply|replies)(?:[-_]\w+)*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -62,10 +74,15 @@ class Params:
 def _around(name: str, attributes: str, in_article: bool) -> bool:
     if name in AROUND or name == "header" and not in_article:
         return True
+    named = name in BLOCKS and name not in _TEXT
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key in ("class", "id", "role") and _NAMED.search(value):
-            return name not in ("html", "body", "main", "article") or name == "article" and bool(_REPLY.search(value))
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return name not in ("html", "body", "main", "article")
+        if key == "class" and (named and any(map(_CLASS.fullmatch, value.split())) or name == "article" and any(map(_REPLY.fullmatch, value.split()))):
+            return True
+        if named and (key == "id" and _ID.fullmatch(value.strip()) or key == "role" and _ROLE.fullmatch(value.strip())):
+            return True
     return False
 
 

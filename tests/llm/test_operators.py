@@ -161,6 +161,19 @@ def test_html(page, want):
     assert html.main_text(page)[0] == want
 
 
+TEXT_OF_ITS_OWN = [
+    '<div style="overflow:hidden">x</div>', '<p><a href="/hidden-valley">x</a></p>', '<p><a href="/x?id=search">x</a></p>', '<div data-id="ad">x</div>', "<div title='class=ad hidden'>x</div>",
+    '<h2 id="related-work">x</h2>', '<h2 id="side-effects">x</h2>', '<h2 id="search">x</h2>', '<section id="related-work">x</section>', '<div class="widget-free text">x</div>',
+    '<p class="notice">x</p>', '<div data-hidden>x</div>', '<section id="search">x</section>',
+]
+SURROUNDING = ['<div class="text ad">x</div>', "<div id=comments>x</div>", "<div role='navigation'>x</div>", "<p hidden>x</p>", '<div aria-hidden="true">x</div>', '<ul class="share-buttons">x</ul>', '<div CLASS="site-footer">x</div>']
+
+
+@pytest.mark.parametrize("part", TEXT_OF_ITS_OWN + SURROUNDING)
+def test_html_names_surrounding_matter_by_whole_tokens(part):
+    assert html.main_text(f"<article><p>a</p>{part}<p>b</p></article>")[0] == ("a x b" if part in TEXT_OF_ITS_OWN else "a b")
+
+
 def test_near_duplicates(spark, sf, documents):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
