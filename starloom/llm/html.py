@@ -2,11 +2,16 @@
 
 Markup is stripped so that each block element's text becomes a line; scripts, styles, comments and the
 elements that HTML reserves for what surrounds an article (navigation, page headers and footers, asides,
-forms, and blocks named as adverts, notices, sidebars or reader comments) leave empty lines. The text
-lengths of `window` neighbouring lines are summed. A surge is a line where the sum rises from a window
-without text to one with text, a dive the next place where it falls back to one; the text of surges that
-hold body text is kept, up to their dives. Empty lines of stripped elements count as wide gaps, so they
-end a block, while a short paragraph inside one is kept.
+forms, and blocks named as adverts, notices, sidebars or reader comments) leave empty lines.
+
+Where a page has <article> or <main>, the tag settles which lines are the text. Elsewhere the line-block
+distribution does: the text lengths of `window` neighbouring lines are summed, lines that are mostly links
+counting nothing. A surge is a line where the sum rises to `least_chars`, a dive the next place where it
+falls below; the lines between are kept. Shorter lines are kept if their container (the innermost open
+div, section or the like) holds a kept line, so a heading or a last short section behind an advert stays
+and short comments in blocks of their own go; runs of more than two link lines go. If no sum reaches the
+level, the longest stretch with text is kept. Comments in unnamed blocks that are as long as paragraphs
+look like paragraphs and stay.
 
 Defined results: null, empty and markup-only pages give an empty text; broken or unclosed markup is read
 as far as it goes; nothing is cut at any length.
@@ -65,10 +70,11 @@ _SPACE = re.compile(r"\s+")
 @dataclass(frozen=True)
 class Params:
     """`window` lines are summed; a stripped element leaves `window` empty lines. Where a page marks no article,
-    a surge is kept only if some window of it has `least_chars` characters, or if it is the longest."""
+    sums from `least_chars` on are body text; a line with more than `most_links` of its characters in links counts nothing."""
 
     window: int = 3
     least_chars: int = 90
+    most_links: float = 0.5
 
 
 def _around(name: str, attributes: str, in_article: bool) -> bool:
@@ -86,13 +92,17 @@ def _around(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str, gap: int) -> tuple[list[str], list[int], int]:
-    """The page's lines in order, the article each belongs to (0: none) and the number of articles; stripped elements leave `gap` empty lines."""
+def lines(page: str, gap: int) -> tuple[list[str], list[int], int, list[int], list[float]]:
+    """The page's lines in order, the article each belongs to (0: none), the number of articles, and each line's
+    container and share of characters in links; stripped elements leave `gap` empty lines."""
     out: list[str] = []
     inside: list[int] = []
+    held: list[int] = []
+    shares: list[float] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    skip = articles = 0
+    linked: list[str] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    skip = articles = links = containers = 0
     open_articles: list[int] = []
 
     def close():
@@ -101,10 +111,15 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int]:
         if line:
             out.append(line)
             inside.append(open_articles[-1] if open_articles else 0)
+            held.append(stack[-1][3] if stack else 0)
+            shares.append(len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) / len(line) if linked else 0.0)
+        linked.clear()
 
     def hole():
         out.extend([""] * gap)
         inside.extend([0] * gap)
+        held.extend([-1] * gap)
+        shares.extend([0.0] * gap)
 
     at, n = 0, len(page)
     while at < n:
@@ -112,6 +127,8 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int]:
         stop = m.start() if m else n
         if not skip and stop > at:
             text.append(page[at:stop])
+            if links:
+                linked.append(page[at:stop])
         if m is None:
             break
         at = m.end()
@@ -123,9 +140,11 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int]:
             if depth is not None:
                 if name in BLOCKS and not skip:
                     close()
-                for _, around, opened in reversed(stack[depth:]):
+                for element, around, opened, _ in reversed(stack[depth:]):
+                    links -= element == "a"
                     if around:
                         text.clear()
+                        linked.clear()
                         skip -= 1
                         if not skip:
                             hole()
@@ -156,39 +175,62 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int]:
             stack.pop()
         if name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        stack.append((name, around, opened))
+        links += name == "a"
+        containers += name in _CONTAINERS
+        stack.append((name, around, opened, containers if name in _CONTAINERS else stack[-1][3] if stack else 0))
     if not skip:
         close()
-    return out, inside, articles
+    return out, inside, articles, held, shares
 
 
-def line_blocks(sizes: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Surge and dive lines: maximal stretches whose every window of lines has text; [first, end) of lines."""
+def line_blocks(sizes: np.ndarray, window: int, level: int = 1) -> list[tuple[int, int]]:
+    """Surge and dive lines: maximal stretches whose every window of lines has `level` characters, without the
+    window's run-in and run-out; [first, end) of lines."""
     if not len(sizes):
         return []
     padded = np.concatenate([np.zeros(window - 1, np.int64), sizes, np.zeros(window - 1, np.int64)])
     total = np.concatenate([[0], np.cumsum(padded)])
     sums = total[window:] - total[:-window]
-    full = np.concatenate([[False], sums > 0, [False]])
+    full = np.concatenate([[False], sums >= level, [False]])
     surge = np.flatnonzero(~full[:-1] & full[1:])
     dive = np.flatnonzero(full[:-1] & ~full[1:])
     return [(max(0, int(a)), min(len(sizes), int(b) - window + 1)) for a, b in zip(surge, dive)]
 
 
+def _body(sizes: np.ndarray, held: np.ndarray, shares: np.ndarray, p: Params) -> np.ndarray:
+    """Which lines of a page without an article tag are its text."""
+    if not len(sizes):
+        return np.zeros(0, dtype=bool)
+    weights = np.where(shares > p.most_links, 0, sizes)
+    chosen = np.zeros(len(sizes), dtype=bool)
+    for a, b in line_blocks(weights, p.window, p.least_chars):
+        chosen[a:b] = weights[a:b] > 0
+    # where short lines alone reach the level, each line of the sum has its part in it
+    short = np.where(weights < p.least_chars, weights, 0)
+    full = np.convolve(short, np.ones(p.window, np.int64)) >= p.least_chars
+    chosen |= (short > 0) & (np.convolve(full, np.ones(p.window, np.int64), "valid") > 0)
+    if not chosen.any():
+        blocks = line_blocks(weights if weights.any() else sizes, p.window)
+        for a, b in sorted(blocks, key=lambda x: -int(sizes[x[0] : x[1]].sum()))[:1]:
+            chosen[a:b] = sizes[a:b] > 0
+        return chosen
+    at = np.flatnonzero(sizes)
+    link = shares[at] > p.most_links
+    run = np.cumsum(np.concatenate([[True], link[1:] != link[:-1]])) - 1
+    listed = link & (np.bincount(run)[run] > 2)
+    # short lines of the containers whose own lines reach the level stay with them
+    chosen[at] |= np.isin(held[at], np.unique(held[chosen])) & ~listed
+    return chosen
+
+
 def main_text(page: str, p: Params = Params()) -> tuple[str, int, int]:
     """The main text, the number of lines and the number kept."""
-    found, inside, articles = lines(page, p.window)
+    found, inside, articles, held, shares = lines(page, p.window)
     sizes = np.array([len(x) for x in found], dtype=np.int64)
-    if articles:  # the page says which lines are its article: other lines are gaps
-        sizes[np.array(inside, dtype=np.int64) == 0] = 0
-    blocks = line_blocks(sizes, p.window)
-    if not articles and blocks:
-        sums = np.convolve(sizes, np.ones(p.window, np.int64))
-        peaks = [int(sums[a : b + p.window - 1].max()) for a, b in blocks]
-        longest = max(range(len(blocks)), key=lambda k: int(sizes[blocks[k][0] : blocks[k][1]].sum()))
-        blocks = [x for k, x in enumerate(blocks) if peaks[k] >= p.least_chars or k == longest]
-    kept = [found[i] for a, b in blocks for i in range(a, b) if sizes[i]]
-    return " ".join(kept), int((sizes > 0).sum()), len(kept)
+    # an article tag settles which lines are the text; else the distribution of the lines does
+    chosen = (np.array(inside, dtype=np.int64) > 0) & (sizes > 0) if articles else _body(sizes, np.array(held, dtype=np.int64), np.array(shares), p)
+    kept = [found[i] for i in np.flatnonzero(chosen)]
+    return " ".join(kept), int(((sizes > 0) & (np.array(inside, dtype=np.int64) > 0)).sum()) if articles else int((sizes > 0).sum()), len(kept)
 
 
 def extract(pages: DataFrame, p: Params = Params(), html_col: str = "html", out: str = "main", carry: list[str] | None = None) -> DataFrame:

@@ -174,6 +174,23 @@ def test_html_names_surrounding_matter_by_whole_tokens(part):
     assert html.main_text(f"<article><p>a</p>{part}<p>b</p></article>")[0] == ("a x b" if part in TEXT_OF_ITS_OWN else "a b")
 
 
+LONG, LINKS = "word " * 40, "<ul>" + "<li><a href='/a'>A link of the page to another</a></li>" * 5 + "</ul>"
+UNMARKED = [
+    (f"<body><div>{LINKS}</div><div><h1>T</h1><p>{LONG}</p></div></body>", f"T {LONG.strip()}"),
+    (f"<body><div><h1>T</h1><p>{LONG}</p>{LINKS}</div><div><p>Nice post!</p></div><div><p>I agree</p></div></body>", f"T {LONG.strip()}"),
+    (f"<body><div><h1>T</h1><p>{LONG}</p><div class=ad>buy</div><h2>End</h2><p>Short last.</p></div><div>So true</div></body>", f"T {LONG.strip()} End Short last."),
+    (f"<p>{LONG}</p><p>See <a href='/b'>this</a>.</p><p><a href='/c'>Source</a></p><p>{LONG}</p>", f"{LONG.strip()} See this. Source {LONG.strip()}"),
+    ("<div>" + "s " * 20 + "</div><div>" + "t " * 20 + "</div><div>" + "u " * 20 + "</div><div>" + "v " * 20 + "</div>", " ".join("s" * 20 + "t" * 20 + "u" * 20 + "v" * 20)),
+    ("<p>Short page.</p>", "Short page."),
+    ("<p><a href='/a'>Only a link</a></p>", "Only a link"),
+]
+
+
+@pytest.mark.parametrize("page, want", UNMARKED)
+def test_html_line_blocks_choose_the_text_of_pages_without_article(page, want):
+    assert html.main_text(page)[0] == want
+
+
 def test_near_duplicates(spark, sf, documents):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
