@@ -12,6 +12,8 @@ columns of docs are ignored, whatever their names.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,21 @@ KNOWN = (
 )
 
 
+def _full_texts() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of the files in known_licenses, with and without what follows the end of the terms."""
+    found = []
+    for path in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        license_id, text = path.stem.removesuffix("-UC"), path.read_text(encoding="utf-8")
+        found.append((license_id, text))
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if end and rest.strip():
+            found += [(license_id, terms + end), (license_id, terms)]
+    return tuple(found)
+
+
+KNOWN += _full_texts()
+
+
 def canonical(text: Column) -> Column:
     """The text as matching sees it; null as empty."""
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")

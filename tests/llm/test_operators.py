@@ -50,6 +50,29 @@ def test_license_spellings(spark):
     assert [got[i].license_id for i in (1, 2, 3, 4)] == ["MIT", "ISC", None, "MIT"]
 
 
+def test_license_full_texts(spark):
+    """Whole texts are known by default, however they are wrapped, in Spark and in the SQL."""
+    from pathlib import Path
+
+    import duckdb
+
+    from starloom.llm import licenses
+
+    files = sorted(Path(licenses.__file__).parent.glob("known_licenses/*.txt"))
+    texts = {f.stem: f.read_text() for f in files}
+    rows = [(k, "Copyright (c) 2020 Somebody\n\n" + ("\n".join(x.strip().upper() for x in t.split("\n")) if odd else t)) for k, t in texts.items() for odd in (0, 1)]
+    rows = [(2 * k + j, t, name) for k in range(len(texts)) for j, (name, t) in enumerate(rows[2 * k : 2 * k + 2])]
+    rows.append((1000, texts["Apache-2.0"].partition("END OF TERMS")[0], "Apache-2.0"))
+    got = by_id(licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id int, text varchar)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    sql = {r[0]: r for r in db.execute(licenses.oracle()).fetchall()}
+    for i, _, name in rows:
+        assert got[i].license_id == name.removesuffix("-UC") == sql[i][2] and got[i].canonical_sha256 == sql[i][1]
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in got.values()}
+
+
 def test_packing(spark, sf, documents):
     from tokenizers import Tokenizer
 
