@@ -5,7 +5,9 @@ A window goes to the bucket of its minimiser, the smallest hash of its short sub
 neighbouring windows mostly share it, so a run of them travels as one record (document key,
 first word, hashes) and a window costs little more than its 8 bytes. Equal windows have equal
 minimisers, so a bucket holds every copy. Within a task, repeats are first reduced to one
-record, so a passage that a third of all rows share sends a record a task, not a row.
+record, so a passage that a third of all rows share sends a record a task, not a row. Buckets are
+counted first; one with more than `most` windows (many different windows around the same short
+passage) is divided by the windows' own hashes, under which equal windows still meet.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; identical
 rows (same id and text) count as several occurrences and all lose the passage; null ids are
@@ -26,6 +28,8 @@ from starloom.llm.text import U64, binaries, buffers, mix, rolling, slices, slid
 
 WINDOW = 35
 _CHUNK_BYTES = 4_000_000
+#: Windows of one group: 16 MB of hashes, which a task holds a few times.
+MOST_WINDOWS = 2_000_000
 _BLOBS = "bucket int, hashes binary, known binary, a binary, b binary, first binary, size binary, done binary"
 _SPANS = "a bigint, b bigint, first int, size int"
 FIELDS = StructType([
@@ -46,8 +50,14 @@ def _runs(position: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _windows(window: int, buckets: int):
+def _windows(window: int, buckets: int, hot: dict[int, int] | None = None):
+    """Blobs of the windows by group; `hot` has the number of groups of buckets that are divided."""
     short = max(1, window // 4)
+    parts = np.ones(buckets, dtype=np.int64)
+    for k, n in (hot or {}).items():
+        parts[k] = n
+    before = np.cumsum(parts) - parts
+    groups = int(parts.sum())
 
     def run(batches):
         for batch in slices(batches, "text", _CHUNK_BYTES):
@@ -74,6 +84,8 @@ def _windows(window: int, buckets: int):
             single = np.flatnonzero(~many)
             a, b = (np.asarray(batch.column(k), dtype=np.int64) for k in ("a", "b"))
             bucket = (low % U64(buckets)).astype(np.int64)
+            if hot:
+                bucket = before[bucket] + (mix(value) % parts[bucket].astype(U64)).astype(np.int64)
             single = single[np.argsort(bucket[single], kind="stable")]
             known = known[np.argsort(bucket[known], kind="stable")]
             place = doc[at[single]]
@@ -88,7 +100,7 @@ def _windows(window: int, buckets: int):
             wanted = np.unique(np.concatenate([bucket[single], bucket[known]]))
             if not len(wanted):
                 continue
-            edges = np.append(wanted, buckets)
+            edges = np.append(wanted, groups)
             cut_single, cut_known = np.searchsorted(bucket[single], edges), np.searchsorted(bucket[known], edges)
             cut_run = np.searchsorted(heads, cut_single)
             d = doc[at[single[heads]]]
@@ -156,17 +168,25 @@ def _applied(window: int, text: str):
     return compute
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", out: str = "substring", carry: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def _hot(texts: DataFrame, window: int, buckets: int, most: int) -> dict[int, int]:
+    """Buckets of more than `most` windows, with the number of groups that each is divided into."""
+    sizes = texts.mapInArrow(_windows(window, buckets), _BLOBS).groupBy("bucket").agg((F.sum(F.length("hashes") + F.length("known")) / 8).alias("n"))
+    return {r.bucket: -int(-r.n // most) for r in sizes.filter(F.col("n") > most).collect()}
+
+
+def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", out: str = "substring", carry: list[str] | None = None, buckets: int | None = None, most: int = MOST_WINDOWS) -> DataFrame:
     """The rows of docs with a struct `out`: n_words, n_removed, spans (maximal removed word intervals, end
     exclusive) and kept (the words left, joined by one space). Every word inside a window that starts at two or
-    more places of the corpus goes. `buckets` defaults to four for each shuffle partition; one bucket is one group.
+    more places of the corpus goes. `buckets` defaults to four for each shuffle partition; one bucket is one group,
+    or several of about `most` windows. Texts are read once more to count them.
     """
     buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
     a = F.xxhash64(F.col(id_col), F.col(text_col))
     b = F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))
-    blobs = docs.select(F.col(text_col).alias("text"), a.alias("a"), b.alias("b")).mapInArrow(_windows(window, buckets), _BLOBS)
+    texts = docs.select(F.col(text_col).alias("text"), a.alias("a"), b.alias("b"))
+    blobs = texts.mapInArrow(_windows(window, buckets, _hot(texts, window, buckets, most)), _BLOBS)
     spans = blobs.groupBy("bucket").applyInArrow(_counted, _SPANS)
-    spans = spans.groupBy("a", "b").agg(F.collect_list(F.struct("first", "size")).alias("spans__"))
+    spans = spans.groupBy("a", "b").agg(F.collect_set(F.struct("first", "size")).alias("spans__"))
     spans = spans.select(F.col("a").alias("a__"), F.col("b").alias("b__"), "spans__")
     names = [c for c in docs.columns if c == text_col or c == id_col or carry is None or c in carry]
     keyed = docs.select(*names, a.alias("ka__"), b.alias("kb__"))

@@ -36,6 +36,26 @@ def test_substring_dedup(spark, sf, documents):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(left).hexdigest())
 
 
+def test_hot_buckets_are_divided_and_change_nothing(spark, sf):
+    """Different windows around one short passage share its minimiser; equal ones still meet in a divided bucket."""
+    from starloom.llm import substring
+
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    notice, long_ = " ".join(f"n{k}" for k in range(20)), " ".join(f"r{k}" for k in range(50))
+    rows = [(k, f"{own(30)} {notice} {own(30)}" + (f" {long_}" if k % 3 == 0 else "")) for k in range(300)] + [(999, long_)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    one, many = (sorted(map(str, substring.remove_repeated(docs, buckets=4, most=m).collect())) for m in (10**9, 200))
+    assert one == many and sum("n_removed=50" in x for x in one) == 104
+    texts = docs.selectExpr("text", "doc_id a", "doc_id b")
+    hot = substring._hot(texts, 35, 4, 200)
+    blobs = texts.mapInArrow(substring._windows(35, 4, hot), substring._BLOBS).collect()
+    by = Counter()
+    for r in blobs:
+        by[r.bucket] += (len(r.hashes) + len(r.known)) // 8
+    assert hot and max(by.values()) < 300
+
+
 def test_license_scan(spark, sf):
     from compare import rows, sql_rows
 
