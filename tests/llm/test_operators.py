@@ -322,6 +322,12 @@ def test_secret_rules_and_ledger(spark):
     assert len(found[1].spans) == 3 == len(found[2].spans) and len(found[4].spans) == 1
 
 
+def test_wider_rules_scan_texts_that_the_base_rules_pass_over():
+    wider = secrets.Rules("wide", (("assign", r"(pwd|bearer)[:=]([A-Za-z0-9]+)", 6, 2), ("hex", r"[0-9A-F]+", 24, 0), ("access", r"ASIA[A-Z0-9]+", 20, 0)))
+    t = "pwd=abcdef1 " + "0F" * 12 + " ASIA" + "B" * 16
+    assert secrets.find_spans(t) == [] and [k for _, _, k in secrets.find_spans(t, wider)] == ["assign", "hex", "access"]
+
+
 def test_sentencepiece(spark, sf, documents):
     import sentencepiece
 
