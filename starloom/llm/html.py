@@ -1,20 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element's text becomes a line; scripts, styles, comments and the
-elements that HTML reserves for what surrounds an article (navigation, page headers and footers, asides,
-forms, and blocks named as adverts, notices, sidebars or reader comments) leave empty lines.
-
-Where a page has <article> or <main>, the tag settles which lines are the text. Elsewhere the line-block
-distribution does: the text lengths of `window` neighbouring lines are summed, lines that are mostly links
-counting nothing. A surge is a line where the sum rises to `least_chars`, a dive the next place where it
-falls below; the lines between are kept. Shorter lines are kept if their container (the innermost open
-div, section or the like) holds a kept line, so a heading or a last short section behind an advert stays
-and short comments in blocks of their own go; runs of more than two link lines go. If no sum reaches the
-level, the longest stretch with text is kept. Comments in unnamed blocks that are as long as paragraphs
-look like paragraphs and stay.
+Markup is stripped: every tag of a block element ends a line, so each block's text is a line and neighbouring
+tags leave empty lines; runs of empty lines are cut to `most_blank`. Scripts, styles, comments and what HTML
+reserves for the surroundings of an article (navigation, page headers and footers, asides, forms, and blocks
+named as adverts, notices, sidebars or reader comments) are stripped whole. Outside an article they leave a gap
+of `gap` empty lines, and so do an article's own ends; inside one they leave nothing.
+
+The text lengths of every `window` neighbouring lines are summed. A surge is a sum that reaches `least_chars`,
+a dive the next sum of zero on either side of it; the lines between the dives around a surge are the text.
+If no sum reaches the level, the stretch between dives with the most text is kept. On a page with an <article>,
+lines outside every article count nothing, and lines of <main> only if they are not mostly links, so the tag
+weighs lines and the distribution chooses among the stretches (a teaser card in an <article> of its own goes).
+
+On a page without <article>, or inside a <main> that holds none, lines that are mostly links count nothing and
+a stretch ends where the sum falls below the level. Shorter lines are kept if their container (the innermost
+open div, section or the like) holds a kept line, so a heading or a last short section behind an advert stays
+and short comments in blocks of their own go; runs of more than two link lines go. Comments in unnamed blocks
+that are as long as paragraphs look like paragraphs and stay.
 
 Defined results: null, empty and markup-only pages give an empty text; broken or unclosed markup is read
-as far as it goes; nothing is cut at any length.
+as far as it goes; nothing is cut at any length; equal pages give equal rows.
 """
 
 from __future__ import annotations
@@ -69,12 +74,16 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Params:
-    """`window` lines are summed; a stripped element leaves `window` empty lines. Where a page marks no article,
-    sums from `least_chars` on are body text; a line with more than `most_links` of its characters in links counts nothing."""
+    """`window` lines are summed; sums from `least_chars` on are body text. Runs of empty lines are cut to `most_blank`,
+    so with a window above it only a gap of `gap` lines parts two stretches of an article, and with a smaller window
+    each block is a stretch of its own. A line with more than `most_links` of its characters in links counts nothing
+    outside articles."""
 
     window: int = 3
     least_chars: int = 90
     most_links: float = 0.5
+    most_blank: int = 2
+    gap: int = 8
 
 
 def _around(name: str, attributes: str, in_article: bool) -> bool:
@@ -92,35 +101,59 @@ def _around(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str, gap: int) -> tuple[list[str], list[int], int, list[int], list[float]]:
-    """The page's lines in order, the article each belongs to (0: none), the number of articles, and each line's
-    container and share of characters in links; stripped elements leave `gap` empty lines."""
-    out: list[str] = []
-    inside: list[int] = []
-    held: list[int] = []
-    shares: list[float] = []
+#: What a line lies in.
+OUTSIDE, IN_MAIN, IN_ARTICLE = 0, 1, 2
+
+
+class Lines:
+    """The lines of a page in order: texts, scopes, containers and shares of characters in links; empty ones have container -1."""
+
+    def __init__(self, p: Params):
+        self.p = p
+        self.text: list[str] = []
+        self.scope: list[int] = []
+        self.held: list[int] = []
+        self.links: list[float] = []
+        self.blank = 0
+
+    def add(self, line: str, scope: int, container: int, linked: str) -> None:
+        """A line, or an empty one unless `most_blank` of them are there already."""
+        if not line and self.blank >= self.p.most_blank:
+            return
+        self.blank = 0 if line else self.blank + 1
+        self.text.append(line)
+        self.scope.append(scope)
+        self.held.append(container if line else -1)
+        self.links.append(len(linked) / len(line) if line else 0.0)
+
+    def part(self) -> None:
+        """A gap that no window spans."""
+        for _ in range(max(self.p.gap, self.p.window) - self.blank):
+            self.text.append("")
+            self.scope.append(OUTSIDE)
+            self.held.append(-1)
+            self.links.append(0.0)
+        self.blank = max(self.p.gap, self.p.window)
+
+
+def _clean(parts: list[str]) -> str:
+    return _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
+
+
+def lines(page: str, p: Params = Params()) -> Lines:
+    """The page's lines (see Lines)."""
+    out = Lines(p)
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []
-    skip = articles = links = containers = 0
-    open_articles: list[int] = []
+    stack: list[tuple[str, bool, int, int]] = []
+    skip = links = containers = 0
+    scopes: list[int] = [OUTSIDE]
 
     def close():
-        line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        out.add(_clean(text), scopes[-1], stack[-1][3] if stack else 0, _clean(linked))
         text.clear()
-        if line:
-            out.append(line)
-            inside.append(open_articles[-1] if open_articles else 0)
-            held.append(stack[-1][3] if stack else 0)
-            shares.append(len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) / len(line) if linked else 0.0)
         linked.clear()
 
-    def hole():
-        out.extend([""] * gap)
-        inside.extend([0] * gap)
-        held.extend([-1] * gap)
-        shares.extend([0.0] * gap)
-
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -140,17 +173,19 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int, list[int], li
             if depth is not None:
                 if name in BLOCKS and not skip:
                     close()
-                for element, around, opened, _ in reversed(stack[depth:]):
+                for element, around, scope, _ in reversed(stack[depth:]):
                     links -= element == "a"
                     if around:
                         text.clear()
                         linked.clear()
                         skip -= 1
-                        if not skip:
-                            hole()
-                    if opened:
+                        if not skip and scopes[-1] != IN_ARTICLE:
+                            out.part()
+                    if scope != OUTSIDE:
                         close()
-                        open_articles.pop()
+                        scopes.pop()
+                        if scopes[-1] != IN_ARTICLE:
+                            out.part()
                 del stack[depth:]
             elif name in BLOCKS and not skip:
                 close()
@@ -163,38 +198,50 @@ def lines(page: str, gap: int) -> tuple[list[str], list[int], int, list[int], li
             continue
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        around = _around(name, m[3], bool(open_articles))
+        around = _around(name, m[3], scopes[-1] != OUTSIDE)
         if around and not skip:
             close()
         skip += around
-        opened = name in ("article", "main") and not skip
-        if opened:
-            articles += 1
-            open_articles.append(articles)
+        scope = OUTSIDE if skip else IN_ARTICLE if name == "article" else IN_MAIN if name == "main" else OUTSIDE
+        if scope != OUTSIDE:
+            if scopes[-1] != IN_ARTICLE:
+                out.part()
+            scopes.append(max(scope, scopes[-1]))
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
         if name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
         links += name == "a"
         containers += name in _CONTAINERS
-        stack.append((name, around, opened, containers if name in _CONTAINERS else stack[-1][3] if stack else 0))
+        stack.append((name, around, scope, containers if name in _CONTAINERS else stack[-1][3] if stack else 0))
     if not skip:
         close()
-    return out, inside, articles, held, shares
+    return out
 
 
-def line_blocks(sizes: np.ndarray, window: int, level: int = 1) -> list[tuple[int, int]]:
-    """Surge and dive lines: maximal stretches whose every window of lines has `level` characters, without the
-    window's run-in and run-out; [first, end) of lines."""
+def line_blocks(sizes: np.ndarray, window: int, surge: int = 1, dive: int = 1) -> list[tuple[int, int]]:
+    """Stretches of lines, [first, end), between dives around a surge: maximal runs of windows with sums of `dive` or
+    more of which one reaches `surge`, without the window's run-in and run-out."""
     if not len(sizes):
         return []
     padded = np.concatenate([np.zeros(window - 1, np.int64), sizes, np.zeros(window - 1, np.int64)])
     total = np.concatenate([[0], np.cumsum(padded)])
     sums = total[window:] - total[:-window]
-    full = np.concatenate([[False], sums >= level, [False]])
-    surge = np.flatnonzero(~full[:-1] & full[1:])
-    dive = np.flatnonzero(full[:-1] & ~full[1:])
-    return [(max(0, int(a)), min(len(sizes), int(b) - window + 1)) for a, b in zip(surge, dive)]
+    full = np.concatenate([[False], sums >= dive, [False]])
+    begin = np.flatnonzero(~full[:-1] & full[1:])
+    end = np.flatnonzero(full[:-1] & ~full[1:])
+    return [(max(0, int(a)), min(len(sizes), int(b) - window + 1)) for a, b in zip(begin, end) if sums[a:b].max() >= surge]
+
+
+def _articles(sizes: np.ndarray, p: Params) -> np.ndarray:
+    """Which lines of a page with an article are its text; sizes are 0 for lines that count nothing."""
+    found = line_blocks(sizes, p.window, p.least_chars)
+    if not found:
+        found = sorted(line_blocks(sizes, p.window), key=lambda x: -int(sizes[x[0] : x[1]].sum()))[:1]
+    chosen = np.zeros(len(sizes), dtype=bool)
+    for a, b in found:
+        chosen[a:b] = sizes[a:b] > 0
+    return chosen
 
 
 def _body(sizes: np.ndarray, held: np.ndarray, shares: np.ndarray, p: Params) -> np.ndarray:
@@ -203,7 +250,7 @@ def _body(sizes: np.ndarray, held: np.ndarray, shares: np.ndarray, p: Params) ->
         return np.zeros(0, dtype=bool)
     weights = np.where(shares > p.most_links, 0, sizes)
     chosen = np.zeros(len(sizes), dtype=bool)
-    for a, b in line_blocks(weights, p.window, p.least_chars):
+    for a, b in line_blocks(weights, p.window, p.least_chars, p.least_chars):
         chosen[a:b] = weights[a:b] > 0
     # where short lines alone reach the level, each line of the sum has its part in it
     short = np.where(weights < p.least_chars, weights, 0)
@@ -224,13 +271,29 @@ def _body(sizes: np.ndarray, held: np.ndarray, shares: np.ndarray, p: Params) ->
 
 
 def main_text(page: str, p: Params = Params()) -> tuple[str, int, int]:
-    """The main text, the number of lines and the number kept."""
-    found, inside, articles, held, shares = lines(page, p.window)
-    sizes = np.array([len(x) for x in found], dtype=np.int64)
-    # an article tag settles which lines are the text; else the distribution of the lines does
-    chosen = (np.array(inside, dtype=np.int64) > 0) & (sizes > 0) if articles else _body(sizes, np.array(held, dtype=np.int64), np.array(shares), p)
-    kept = [found[i] for i in np.flatnonzero(chosen)]
-    return " ".join(kept), int(((sizes > 0) & (np.array(inside, dtype=np.int64) > 0)).sum()) if articles else int((sizes > 0).sum()), len(kept)
+    """The main text, the number of lines that count and the number kept."""
+    found = lines(page, p)
+    sizes = np.array([len(x) for x in found.text], dtype=np.int64)
+    scope, shares = np.array(found.scope, dtype=np.int64), np.array(found.links)
+    if (scope[sizes > 0] == IN_ARTICLE).any():
+        sizes = np.where((scope == IN_ARTICLE) | (scope == IN_MAIN) & (shares <= p.most_links), sizes, 0)
+        chosen = _articles(sizes, p)
+    else:
+        if (scope[sizes > 0] == IN_MAIN).any():
+            sizes = np.where(scope == IN_MAIN, sizes, 0)
+        # empty lines between blocks do not count here, gaps do
+        seen = (sizes > 0) | _gaps(found.text, p)
+        chosen = np.zeros(len(sizes), dtype=bool)
+        chosen[seen] = _body(sizes[seen], np.array(found.held, dtype=np.int64)[seen], shares[seen], p)
+    kept = [found.text[i] for i in np.flatnonzero(chosen)]
+    return " ".join(kept), int((sizes > 0).sum()), len(kept)
+
+
+def _gaps(texts: list[str], p: Params) -> np.ndarray:
+    """Which empty lines belong to a gap."""
+    empty = np.array([not x for x in texts], dtype=bool)
+    run = np.cumsum(np.concatenate([[True], empty[1:] != empty[:-1]])) - 1 if len(empty) else np.zeros(0, np.int64)
+    return empty & (np.bincount(run, minlength=1)[run] >= max(p.gap, p.window)) if len(empty) else empty
 
 
 def extract(pages: DataFrame, p: Params = Params(), html_col: str = "html", out: str = "main", carry: list[str] | None = None) -> DataFrame:
