@@ -31,13 +31,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document through the ledger of blobs."""
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    found = secrets.findings(docs, secrets.ledger_update(docs), carry=["doc_id"])
-    spans = F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    listed = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    """Findings of every document through the stored ledger of blobs."""
+    found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
+    return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
 @_query

@@ -1,33 +1,51 @@
 """Secret scans through an incremental ledger of content-addressed blobs.
 
-Every version of a text is a blob named by the SHA-256 of its bytes. Only (blob, rule version)
-pairs that the ledger does not hold are scanned, each once however many paths hold it, and the
-findings are joined back to every path.
+Every version of a text at every path is a blob named by the SHA-256 of its bytes. The ledger is a stored table
+in the shared folder, keyed by (rule version, blob): a scan reads it, scans the blobs it lacks under these rules,
+appends what it found (also that it found nothing) and joins the findings back to all paths and versions. So a
+second scan of the same texts scans nothing, a new version of a text is one new blob, and new rules scan all.
+
+How it scales: ids alone are compared with the ledger. Texts stay where they are: up to BROADCAST_BLOBS unseen ids
+are sent to the texts, more are joined to them by a shuffle; with an empty ledger all texts are scanned in place.
+Copies of a blob are scanned once a task (the task remembers its last SEEN blobs), not once in all, because to claim
+a blob for one task would move its text. Only blobs with findings are joined back, by broadcast up to BROADCAST_BLOBS
+of them; beyond that, blobs with over a thousandth of all rows are joined by broadcast and the others by shuffle, so
+no blob brings one task more than that.
 
 Defined results: null text is the empty blob and has no findings; equal texts at many paths share
-one scan; rows repeated in the input repeat in the output; null ids are kept.
+a scan; rows repeated in the input repeat in the output; null ids are kept; an empty table adds nothing to the
+ledger; a column that has the name of the result is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from starloom.llm.shared import joined_by_hot_key, shared_dir, written
 from starloom.llm.text import slices
 
 KINDS = ("assign", "access", "hex")
 _SPAN = "struct<kind:string,start:int,end:int>"
-LEDGER = f"blob_id binary, rules_version string, spans array<{_SPAN}>"
+LEDGER = f"blob_id binary, spans array<{_SPAN}>, rules_version string"
+#: Ids (32 bytes each) or blobs with findings that are broadcast at most, after they were counted.
+BROADCAST_BLOBS = 300_000
+#: Ids of blobs that a task remembers.
+SEEN = 200_000
 
 
 @dataclass(frozen=True)
 class Rules:
     """A versioned rule set: kind, pattern, least length, the group that has it and, if given, a cheap pattern that every
-    finding's text must hold, tested first. Changing a rule needs a new version."""
+    finding's text must hold, tested first. The ledger's key is `name`: the version and a digest of the rules, so
+    changed rules never read the findings of others."""
 
     version: str = "base-1"
     rules: tuple[tuple[str, str, int, int] | tuple[str, str, int, int, str], ...] = (
@@ -36,6 +54,27 @@ class Rules:
         ("hex", r"[0-9a-f]+", 24, 0, r"[0-9a-f]{24}"),
     )
 
+    @property
+    def name(self) -> str:
+        return f"{self.version}-{hashlib.sha256(repr(self.rules).encode()).hexdigest()[:12]}"
+
+
+#: Formats of keys whose issuers mark them, beside the base kinds.
+EXTENDED = Rules(
+    "marked-1",
+    (
+        ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 1, 0, "PRIVATE KEY"),
+        ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 1, 0, "eyJ"),
+        ("code_host", r"(?:gh[opsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}|glpat-[A-Za-z0-9_-]{20,})", 1, 0, "gh[opsu]_|github_pat_|glpat-"),
+        ("chat", r"xox[abpr]-[A-Za-z0-9-]{10,}", 1, 0, "xox"),
+        ("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", 1, 0, "_live_"),
+        ("cloud", r"AIza[A-Za-z0-9_-]{35}", 1, 0, "AIza"),
+    ),
+)
+BASE = Rules()
+ALL = (BASE, EXTENDED)
+ORDER = (*KINDS, *(r[0] for r in EXTENDED.rules))
+
 
 def find_spans(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each finding, in code points, by start, then in the order of the rules."""
@@ -49,49 +88,101 @@ def find_spans(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
-def _scan(rules: Rules):
-    """Scans each blob once in a task; a blob seen before in the task yields no row."""
+def _scan(rules: tuple[Rules, ...]):
+    """Scans each blob once in a task under the versions wanted; a blob that the task remembers yields no row."""
+    named = {r.name: r for r in rules}
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: OrderedDict[bytes, None] = OrderedDict()
         for batch in slices(batches, "text"):
-            ids, spans = [], []
-            for b, t in zip(batch.column("blob_id").to_pylist(), batch.column("text").to_pylist()):
-                if b not in seen:
-                    seen.add(b)
+            ids, versions, spans = [], [], []
+            for b, wanted, t in zip(*(batch.column(c).to_pylist() for c in ("blob_id", "wanted", "text"))):
+                if b in seen:
+                    seen.move_to_end(b)
+                    continue
+                seen[b] = None
+                if len(seen) > SEEN:
+                    seen.popitem(last=False)
+                for v in wanted:
                     ids.append(b)
-                    spans.append([{"kind": k, "start": a, "end": e} for a, e, k in find_spans(t, rules)])
+                    versions.append(v)
+                    spans.append([{"kind": k, "start": a, "end": e} for a, e, k in find_spans(t, named[v])])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(spans, kind)], ["blob_id", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(spans, kind), pa.array(versions, pa.string())], ["blob_id", "spans", "rules_version"])
 
     return run
 
 
-def blob_id(text) -> F.Column:
+def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def ledger_update(docs: DataFrame, ledger: DataFrame | None = None, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
-    """New ledger rows (LEDGER's columns) for the blobs of docs that the ledger lacks under these rules.
+def ledger_path(spark: SparkSession) -> str:
+    """Where a ledger is kept by default: in the shared folder, for all scans of this cluster."""
+    return f"{shared_dir(spark)}/secret-ledger"
 
-    Copies within a map task are scanned once there; of what several tasks found for the same blob,
-    one row stays. Only ids and findings are shuffled, never texts, so a hot blob costs one small row a task.
-    """
-    blobs = docs.select(blob_id(F.col(text_col)).alias("blob_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is not None:
-        done = ledger.filter(F.col("rules_version") == rules.version).select("blob_id").distinct()
-        blobs = blobs.join(done, "blob_id", "left_anti")
-    found = blobs.mapInArrow(_scan(rules), f"blob_id binary, spans array<{_SPAN}>")
-    return found.dropDuplicates(["blob_id"]).select("blob_id", F.lit(rules.version).alias("rules_version"), "spans")
+
+def read_ledger(spark: SparkSession, path: str, rules: tuple[Rules, ...] = ALL) -> DataFrame | None:
+    """The ledger's rows under these rules; None where nothing was ever scanned under any."""
+    try:
+        found = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found.filter(F.col("rules_version").isin(*(r.name for r in rules)))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: Rules = Rules(), text_col: str = "text", out: str = "spans", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of docs (all by default) and `out`, the ledger's spans of each row's blob (null where it was never scanned)."""
-    names = [c for c in docs.columns if c != out and (carry is None or c in carry)]
+def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rules, ...] = ALL, text_col: str = "text") -> DataFrame:
+    """New ledger rows for the pairs of a blob of docs and a rule version that the ledger lacks, each pair once."""
+    names = F.array(*(F.lit(r.name) for r in rules))
+    blobs = docs.select(blob_id(F.col(text_col)).alias("blob_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if ledger is None:
+        blobs = blobs.withColumn("wanted", names)
+    else:
+        done = ledger.groupBy("blob_id").agg(F.collect_set("rules_version").alias("done"))
+        ids = blobs.select("blob_id").distinct().join(done, "blob_id", "left")
+        todo = ids.select("blob_id", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("wanted")).filter(F.size("wanted") > 0)
+        todo = written(todo, "unseen")
+        blobs = blobs.join(F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo, "blob_id")
+    found = blobs.select("blob_id", "wanted", "text").mapInArrow(_scan(rules), LEDGER)
+    return found.dropDuplicates(["blob_id", "rules_version"])
+
+
+def update(docs: DataFrame, path: str | None = None, rules: tuple[Rules, ...] = ALL, text_col: str = "text") -> DataFrame:
+    """Scans what the ledger at `path` lacks, appends it, and returns the ledger's rows under these rules."""
+    spark = docs.sparkSession
+    path = path or ledger_path(spark)
+    new = unseen(docs, read_ledger(spark, path, rules), rules, text_col)
+    new.write.mode("append").partitionBy("rules_version").parquet(path)
+    found = read_ledger(spark, path, rules)
+    return found if found is not None else spark.createDataFrame([], LEDGER)
+
+
+def _by_place(spans: Column) -> Column:
+    """Spans by start, then in the order of the kinds."""
+    order = F.array(*(F.lit(k) for k in ORDER))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", out: str = "spans", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs (all by default) and `out`, the spans that the ledger has for each row's blob under any
+    of its rule versions, by start; empty where it has none."""
+    names = [c for c in docs.columns if c.lower() != out.lower() and (carry is None or c in carry)]
     paths = docs.select(*names, blob_id(F.col(text_col)).alias("blob__"))
-    known = ledger.filter(F.col("rules_version") == rules.version).select(F.col("blob_id").alias("known__"), F.col("spans").alias("spans__"))
-    known = known.dropDuplicates(["known__"])
-    return paths.join(known, F.col("blob__") == F.col("known__"), "left").select(*names, F.col("spans__").alias(out))
+    known = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob_id").alias("known__")).agg(_by_place(F.flatten(F.collect_list("spans"))).alias("spans__"))
+    known = written(known, "findings")
+    if known.count() <= BROADCAST_BLOBS:
+        joined = paths.join(F.broadcast(known), F.col("blob__") == F.col("known__"), "left")
+    else:
+        joined = joined_by_hot_key(paths, "blob__", known, "known__")
+    return joined.select(*names, F.coalesce("spans__", F.array().cast(f"array<{_SPAN}>")).alias(out))
+
+
+def scan(docs: DataFrame, path: str | None = None, rules: tuple[Rules, ...] = ALL, text_col: str = "text", out: str = "spans", carry: list[str] | None = None) -> DataFrame:
+    """Every row of docs with its findings, through the ledger at `path`."""
+    return findings(docs, update(docs, path, rules, text_col), text_col, out, carry)
 
 
 def redact(text, spans, mask: str = "[REDACTED]") -> F.Column:

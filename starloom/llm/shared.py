@@ -47,5 +47,18 @@ def with_aggregates(rows: DataFrame, key: str, total: int, *aggregates: Column,
     return rows.join(hot, same).unionByName(seldom).drop("key__", "n__")
 
 
+def joined_by_hot_key(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
+    """rows left-joined with a table that has each key once. Keys of more than a HOT-th of all rows, at most HOT of them,
+    are joined by broadcast, matched or not; the rows of the others are shuffled."""
+    counts = rows.groupBy(F.col(key).alias("key__")).agg(F.count("*").alias("n__"))
+    counts = written(counts, "counts")
+    total = counts.agg(F.sum("n__")).first()[0] or 0
+    often = counts.filter(F.col("n__") * HOT > total).select("key__")
+    hot = F.broadcast(written(often.join(table, F.col("key__") == F.col(table_key), "left"), "hot"))
+    same = F.col(key) == F.col("key__")
+    seldom = rows.join(hot.select("key__"), same, "left_anti").join(table, F.col(key) == F.col(table_key), "left")
+    return rows.join(hot, same).drop("key__").unionByName(seldom)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,7 +31,7 @@ OPERATORS = {
     "huffman": lambda d: huffman.round_trip(d),
     "html": lambda d: html.extract(d, html_col="text"),
     "neardup": lambda d: neardup.near_duplicates(d),
-    "secrets": lambda d: secrets.findings(d, secrets.ledger_update(d)),
+    "secrets": lambda d: secrets.scan(d),
     "pieces": lambda d: pieces.encode(d),
     "quality": lambda d: quality.measure(d),
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from starloom.llm import components, fingerprint, html, huffman, neardup, packing, pieces, queries, secrets, text, tokens
 
@@ -299,27 +301,76 @@ def test_components(spark):
     assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def plain_spans(t):
+    """(start, place of the kind, end, kind) by regular expressions written anew, without pre-checks."""
+    low, found = t.translate({c: c + 32 for c in range(65, 91)}), []
+    for m in re.finditer("(?:password|passwd|secret|token|apikey|api_key)[\"']?[ ]*[:=][ ]*[\"']?([a-z0-9+/_.=-]+)", low):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, m.end(), "assign"))
+    for place, kind, alphabet, least, head in ((1, "access", "A-Z0-9", 20, "AKIA"), (2, "hex", "0-9a-f", 24, "")):
+        for m in re.finditer(f"{head}[{alphabet}]+", t):
+            if m.end() - m.start() >= least:
+                found.append((m.start(), place, m.end(), kind))
+    return sorted(found)
+
+
 def test_secrets(spark, sf, documents):
     got = by_id(queries.op8_secret_scan(spark, sf))
     for i, t in documents:
-        f = secrets.find_spans(t or "")
-        line = ",".join(f"{k}:{a}:{b}" for a, b, k in f)
+        f = plain_spans(t or "")
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in f)
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
-        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[2] == k for x in f) for k in secrets.KINDS)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[3] == k for x in f) for k in secrets.KINDS)
+    again = by_id(queries.op8_secret_scan(spark, sf))
+    assert again == got
+
+
+SECRET = 'PassWord = "abc" api_key:abcdef1 é AKIA' + "B" * 16 + " " + "0f" * 12 + " token=short"
 
 
-def test_secret_rules_and_ledger(spark):
-    t = 'PassWord = "abc" api_key:abcdef1 é AKIA' + "B" * 16 + " " + "0f" * 12 + " token=short"
-    kinds = [(k, t[a:b]) for a, b, k in secrets.find_spans(t)]
+def test_secret_ledger_scans_each_pair_once(spark, tmp_path, monkeypatch):
+    kinds = [(k, SECRET[a:b]) for a, b, k in secrets.find_spans(SECRET)]
     assert kinds == [("assign", "api_key:abcdef1"), ("access", "AKIA" + "B" * 16), ("hex", "0f" * 12)]
-    docs = spark.createDataFrame([(1, t), (2, t), (3, "x")], "doc_id int, text string")
-    ledger = secrets.ledger_update(docs)
-    assert ledger.count() == 2
-    more = docs.union(spark.createDataFrame([(4, "secret: abcdefg")], "doc_id int, text string"))
-    new = secrets.ledger_update(more, ledger)
-    assert new.count() == 1 and secrets.ledger_update(more, ledger, secrets.Rules(version="v2")).count() == 3
-    found = by_id(secrets.findings(more, ledger.union(new)))
-    assert len(found[1].spans) == 3 == len(found[2].spans) and len(found[4].spans) == 1
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([("a", 1, SECRET), ("b", 1, SECRET), ("c", 1, "x"), ("c", 2, "secret: abcdefg"), ("d", 1, None)], "path string, version int, text string")
+    assert secrets.read_ledger(spark, path) is None
+    rows = lambda rules=secrets.ALL: secrets.read_ledger(spark, path, rules).count()
+    first = [(r.path, r.version, len(r.spans)) for r in secrets.scan(docs.filter("version = 1"), path).orderBy("path").collect()]
+    assert first == [("a", 1, 3), ("b", 1, 3), ("c", 1, 0), ("d", 1, 0)] and rows() == 2 * 3
+    # the same texts again, then one new version: nothing and one blob are scanned
+    assert secrets.unseen(docs.filter("version = 1"), secrets.read_ledger(spark, path)).count() == 0
+    assert secrets.unseen(docs, secrets.read_ledger(spark, path)).count() == 2
+    for bound in (secrets.BROADCAST_BLOBS, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(secrets, "BROADCAST_BLOBS", bound)
+        found = {(r.path, r.version): [s.kind for s in r.spans] for r in secrets.scan(docs, path).collect()}
+        assert found == {("a", 1): ["assign", "access", "hex"], ("b", 1): ["assign", "access", "hex"], ("c", 1): [], ("c", 2): ["assign"], ("d", 1): []}
+        assert rows() == 2 * 4
+    newer = (secrets.Rules(version="base-2"),)
+    assert secrets.unseen(docs, secrets.read_ledger(spark, path, newer), newer).count() == 4
+    changed = (secrets.Rules(rules=secrets.BASE.rules[:1]),)
+    assert changed[0].version == secrets.BASE.version and changed[0].name != secrets.BASE.name
+    assert secrets.scan(docs, path, changed).count() == 5 and rows(changed) == 4 and rows() == 2 * 4
+
+
+def test_marked_keys_are_added_and_base_spans_stay(spark, tmp_path):
+    marked = {
+        "code_host": "ghp_" + "a1B2" * 9, "chat": "xoxb-123456789012-abc", "payment": "sk_live_" + "a1" * 10, "cloud": "AIza" + "x" * 35,
+        "web_token": "eyJhbGciOiJI.eyJzdWIiOiIx.c2ln", "private_key": "-----BEGIN RSA PRIVATE KEY-----\nabc=\n-----END RSA PRIVATE KEY-----",
+    }
+    docs = spark.createDataFrame([(k, f"see {v} or {SECRET}") for k, v in marked.items()], "kind string, text string")
+    for r in secrets.scan(docs, str(tmp_path / "ledger")).withColumn("clean", secrets.redact(F.col("text"), F.col("spans"))).collect():
+        got = [(s.kind, r.text[s.start : s.end]) for s in r.spans]
+        assert got[0] == (r.kind, marked[r.kind]) and [k for k, _ in got[1:]] == ["assign", "access", "hex"]
+        assert r.clean.count("[REDACTED]") == 4 and marked[r.kind] not in r.clean
+
+
+def test_a_hot_blob_is_joined_by_broadcast(spark):
+    from starloom.llm.shared import joined_by_hot_key
+
+    rows = spark.createDataFrame([(0, i) for i in range(500)] + [(k, k) for k in range(1, 400)], "k int, i int")
+    table = spark.createDataFrame([(0, "hot"), (5, "five")], "t int, v string")
+    got = [(r.k, r.i, r.v) for r in joined_by_hot_key(rows, "k", table, "t").collect()]
+    assert len(got) == 899 and sum(v == "hot" for _, _, v in got) == 500 and [x for x in got if x[2] == "five"] == [(5, 5, "five")]
 
 
 def test_wider_rules_scan_texts_that_the_base_rules_pass_over():
