@@ -38,8 +38,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
-    found = secrets.findings(docs, secrets.ledger_update(docs), out="spans__")
+    """Documents with their secrets masked, found through the stored ledger of blobs."""
+    found = secrets.scan(docs, out="spans__")
     masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans__")))
     return _with_text(masked.select(*docs.columns), F.col("text"))
 
