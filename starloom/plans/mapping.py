@@ -7,26 +7,12 @@ is used more than once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators import background, calibrate, geometry, neighbourhood, ordered, photometry, segment, spectral, surface, timeshift
 from starloom.plans.config import Job
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once in the folder of spark.checkpoint.dir (a temporary one only where it is unset)."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="starloom-map-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from starloom.sources.tables import written
 
 
 def integrate(spectra: DataFrame, job: Job) -> DataFrame:
