@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.shared import with_aggregates, written
+from starloom.llm.shared import discarding, with_aggregates, written
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -31,12 +31,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Each step is written to the shared folder; the driver sees a count and a checksum of it only. A centre
     with very many edges is joined by broadcast, so its rows stay where they are.
     """
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct()
-    edges = written(edges, "edges")
+    spark = edges.sparkSession
+    edges = written(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        stars = written(_large_star(edges, state[0]), "stars")
-        edges = written(_small_star(stars, state[0]), "edges")
+        with discarding(spark):
+            stars = written(_large_star(edges, state[0]), "stars")
+            edges = written(_small_star(stars, state[0]), "edges", keep=True)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -6,14 +6,18 @@ sets agree the more often the more alike they are. Bands of registers propose gr
 proposed group pairs pass a joint maximum-likelihood test of their registers and known sizes, and
 every link is then confirmed on the full sets.
 
-Only connectivity is asked for, so no pairs are listed: equal sets are one class, each band
-bucket adds an edge from its members to its smallest class, the components of these edges are
-the proposed groups, and a breadth-first search over each group confirms links only towards
-classes it has not reached. A group of more than `group_shingles` shingles is cut into blocks
-(see _confirmed), so that no task holds an unbounded group.
-
-A pair at the threshold misses all bands with a chance of (1 - 0.8**4)**32 = 5e-8 at the defaults,
-and fails the likelihood test (a margin of 0.2, over five standard deviations) with about 1e-7.
+Only connectivity is asked for, so no pairs are listed: equal sets are one class. Inside each band
+bucket the likelihood test of registers and sizes comes first, without texts: members that pass it with
+the bucket's smallest class are joined to it; in a bucket where some fail, a breadth-first search finds
+the components of likely links (a bucket of more than `bucket_classes` classes keeps its star of edges,
+which joins no less). So chance collisions of bands do not chain unlike texts to one giant group. The
+components of these edges are the proposed groups, and a breadth-first search over each group confirms
+links on the full sets, only towards classes it has not reached. A group of more than `group_shingles`
+shingles is cut into blocks (see _confirmed), so that no task holds an unbounded group.
+
+A pair at the threshold misses all bands with a chance of (1 - 0.8**6)**48 = 5e-7 at the defaults,
+and fails the likelihood test (a margin of 0.2, over five standard deviations) with about 1e-7. A pair of
+similarity 0.1, as unlike texts of one language have in two-word shingles, shares a band with 5e-5.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept;
 shorter texts than a shingle are one shingle; rows with equal ids are separate rows that share
@@ -31,23 +35,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.components import components
-from starloom.llm.shared import shuffle_partitions, with_aggregates, written
+from starloom.llm.shared import discarding, shuffle_partitions, with_aggregates, written
 from starloom.llm.text import LOWER, U64, buffers, mix, ragged, rolling, slices, strings, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class Params:
-    """Link when over * |A and B| >= under * |A or B|. SetSketch: base, rate and the largest register."""
+    """Link when over * |A and B| >= under * |A or B|. SetSketch: base and rate; `rows` registers make a band; the first
+    `tested` registers travel for the likelihood test."""
 
     shingle: int = 5
     under: int = 80
     over: int = 100
-    rows: int = 4
-    bands: int = 32
+    rows: int = 6
+    bands: int = 48
+    tested: int = 128
     base: float = 1.001
     rate: float = 20.0
     margin: float = 0.2
-    group_shingles: int = 4_000_000
+    group_shingles: int = 400_000
+    bucket_classes: int = 2_000
 
     @property
     def registers(self) -> int:
@@ -78,15 +85,16 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), cuts
 
 
-def registers(values: np.ndarray, cuts: np.ndarray, p: Params) -> np.ndarray:
-    """One row of uint16 registers for each text; a text without elements has zeros."""
+def registers(values: np.ndarray, cuts: np.ndarray, p: Params, count: int | None = None) -> np.ndarray:
+    """One row of uint16 registers (the first `count`) for each text; a text without elements has zeros."""
     sizes = np.diff(cuts)
     full = np.flatnonzero(sizes)
-    out = np.zeros((len(sizes), p.registers), dtype=np.uint16)
+    count = count or p.registers
+    out = np.zeros((len(sizes), count), dtype=np.uint16)
     if len(full):
-        low = np.empty((len(full), p.registers), dtype=U64)
+        low = np.empty((len(full), count), dtype=U64)
         heads = cuts[full]
-        for i in range(p.registers):
+        for i in range(count):
             low[:, i] = np.minimum.reduceat(values * _FACTORS[i], heads)
         exponential = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / p.rate
         level = np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / np.log(p.base))
@@ -108,7 +116,7 @@ def likely(x: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray, p: Para
     cut = p.under / p.over - p.margin
     higher = (x > others).sum(axis=1)
     equal = (x == others).sum(axis=1)
-    lower = len(x) - higher - equal
+    lower = x.shape[-1] - higher - equal
     u = n / (n + sizes)
     v = 1 - u
     b = p.base
@@ -124,7 +132,7 @@ def linked_roots(values: np.ndarray, cuts: np.ndarray, p: Params) -> np.ndarray:
     """For each set the first set of its component of confirmed links, by breadth-first search."""
     n = np.diff(cuts)
     code = np.unique(values, return_inverse=True)[1]
-    sketch = registers(values, cuts, p)
+    sketch = registers(values, cuts, p, p.tested)
     mark = np.zeros(int(code.max()) + 1 if len(code) else 0, dtype=bool)
     root = np.full(len(n), -1, dtype=np.int64)
     open_ = np.flatnonzero(n)
@@ -158,10 +166,11 @@ def _sketched(p: Params):
     def run(batches):
         for b in slices(batches, "text"):
             values, cuts = shingle_sets(strings(b.column("text")), p.shingle)
-            keys = band_keys(registers(values, cuts, p), p)
+            sketch = registers(values, cuts, p)
+            keys = band_keys(sketch, p)
             n = np.diff(cuts)
             sid = [hashlib.blake2b(values[a:e].tobytes(), digest_size=16).digest() for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("id"), pa.array(sid, pa.binary()), pa.array(n), pa.array([k.tobytes() for k in keys], pa.binary())], ["a", "b", "id", "sid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("id"), pa.array(sid, pa.binary()), pa.array(n), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([x.tobytes() for x in sketch[:, : p.tested]], pa.binary())], ["a", "b", "id", "sid", "n", "keys", "registers"])
 
     return run
 
@@ -175,6 +184,73 @@ def _banded(bands: int):
     return run
 
 
+def likely_roots(sketch: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
+    """For each class of a bucket the first class of its component of likely links, by breadth-first search."""
+    root = np.full(len(n), -1, dtype=np.int64)
+    open_ = np.arange(len(n))
+    while len(open_):
+        first, open_ = int(open_[0]), open_[1:]
+        root[first] = first
+        front = [first]
+        while front and len(open_):
+            x = front.pop()
+            found = open_[_alike(sketch[x], int(n[x]), sketch[open_], n[open_], p)]
+            root[found] = first
+            front += found.tolist()
+            open_ = open_[root[open_] < 0]
+    return root
+
+
+def _alike(x: np.ndarray, n: np.ndarray | int, others: np.ndarray, sizes: np.ndarray, p: Params) -> np.ndarray:
+    """Whether sizes allow a link and the registers make it likely; x and n may hold one row for each other."""
+    return (sizes * p.over >= n * p.under) & (n * p.over >= sizes * p.under) & likely(x, others, n, sizes, p)
+
+
+def _likely_edges(p: Params):
+    """Rows (key, sid, n, registers) come sorted by key and class; edges (u, v) of each bucket's likely links leave."""
+
+    def edges(key: np.ndarray, sid: pa.Array, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(key)))
+        to = np.repeat(head, size)
+        good = np.ones(len(key), dtype=bool)
+        rest = np.flatnonzero(~new)
+        good[rest] = _alike(sketch[to[rest]], n[to[rest]], sketch[rest], n[rest], p)
+        mixed = np.flatnonzero(np.add.reduceat(~good, head) > 0)
+        for k in mixed[size[mixed] <= p.bucket_classes].tolist():
+            a, b = head[k], head[k] + size[k]
+            to[a:b] = a + likely_roots(sketch[a:b], n[a:b], p)
+        move = np.flatnonzero(to != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([sid.take(pa.array(move)), sid.take(pa.array(to[move]))], ["u", "v"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def emit():
+            table = pa.Table.from_batches(held).combine_chunks()
+            made = table.column("registers").combine_chunks().to_pylist()
+            sketch = np.frombuffer(b"".join(made), dtype=np.uint16).reshape(len(made), p.tested)
+            return edges(np.asarray(table.column("key")), table.column("sid").combine_chunks(), np.asarray(table.column("n")), sketch)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # whole buckets only: what belongs to the last key waits for the next batch
+            key = np.asarray(b.column("key"))
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if cut == 0 and (not held or held[-1].column("key")[-1].as_py() == key[0]):
+                held.append(b)
+                continue
+            held.append(b.slice(0, cut))
+            yield emit()
+            held = [b.slice(cut)]
+        if held:
+            yield emit()
+
+    return run
+
+
 def _verified(p: Params):
     """Rows come sorted by group and class; a group's confirmed components leave as edges (sid, root)."""
 
@@ -246,20 +322,37 @@ def _confirmed(keyed: DataFrame, members: DataFrame, total: int, p: Params) -> D
     return components(links.unionByName(more))
 
 
+def _proposed(led: DataFrame, sketch: DataFrame, p: Params) -> DataFrame:
+    """Edges (u, v) of likely links between the classes of each band bucket of led (key, sid, lead, size)."""
+    crowded = led.filter(F.col("size") > p.bucket_classes).filter("sid > lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
+    small = led.filter(F.col("size") <= p.bucket_classes).select("key", F.col("sid").alias("own"))
+    once = sketch.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
+    rows = small.join(once, F.col("own") == F.col("sid")).select("key", "sid", "n", "registers")
+    rows = rows.repartition(shuffle_partitions(led.sparkSession), "key").sortWithinPartitions("key", "sid")
+    return rows.mapInArrow(_likely_edges(p), "u binary, v binary").unionByName(crowded)
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept
     (whether that is the row's own id), chosen (true for one row of each component and for all rows without
-    shingles; identical rows share it), and a and b, two 64-bit hashes of id and text that name the row."""
-    spark = docs.sparkSession
+    shingles; identical rows share it), and a and b, two 64-bit hashes of id and text that name the row.
+    The result is a written table; all tables on the way to it are deleted."""
+    with discarding(docs.sparkSession):
+        return written(_named(docs, p, id_col, text_col), "duplicates", keep=True)
+
+
+def _named(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
     id_type = keyed.schema["id"].dataType.simpleString()
-    sketch = written(keyed.mapInArrow(_sketched(p), f"a bigint, b bigint, id {id_type}, sid binary, n bigint, keys binary"), "sketch")
+    sketch = written(keyed.mapInArrow(_sketched(p), f"a bigint, b bigint, id {id_type}, sid binary, n bigint, keys binary, registers binary"), "sketch")
     classes = sketch.filter("n > 0").groupBy("sid").agg(F.first("keys").alias("keys"))
     banded = classes.mapInArrow(_banded(p.bands), "key bigint, sid binary")
     total = sketch.count()
-    led = with_aggregates(banded, "key", p.bands * total, F.min("sid").alias("lead"), least_rows=2)
-    groups = components(led.filter("sid > lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")))
+    led = with_aggregates(banded, "key", p.bands * total, F.min("sid").alias("lead"), F.count("*").alias("size"), least_rows=2)
+    led = written(led, "buckets")
+    groups = components(_proposed(led, sketch, p))
     one = sketch.filter("n > 0").groupBy("sid").agg(F.min(F.struct("a", "b", "n")).alias("row"))
     members = groups.join(one, F.col("node") == F.col("sid")).select("root", "sid", F.col("row.a").alias("ma"), F.col("row.b").alias("mb"), F.col("row.n").alias("n"))
     roots = _confirmed(keyed, written(members, "members"), total, p)

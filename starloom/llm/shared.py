@@ -1,36 +1,16 @@
-"""Written intermediate tables in the folder the cluster shares."""
+"""Joins that hold under hot keys, and the written tables of starloom.sources.tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than one in HOT of all rows is hot; there are at most HOT of them.
-HOT = 1000
-
+from starloom.sources.tables import delete, discarding, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (tests in local mode) a temporary one is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="starloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["HOT", "delete", "discarding", "joined_by_hot_key", "shared_dir", "shuffle_partitions", "with_aggregates", "written"]
 
-
-def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
-    """The frame, written once as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with more than one in HOT of all rows is hot; there are at most HOT of them.
+HOT = 1000
 
 
 def with_aggregates(rows: DataFrame, key: str, total: int, *aggregates: Column, least_rows: int = 1) -> DataFrame:

@@ -275,6 +275,28 @@ def test_blocks_of_a_large_group_change_nothing(spark):
     assert {i: r.component_id for i, r in one.items()} == {i: r.component_id for i, r in many.items()}
 
 
+def test_chance_collisions_do_not_chain_groups(spark):
+    """Sets of which neighbours in a chain share half: bands join some of them, likely links none; real links stay."""
+    words = [f"c{k}" for k in range(6000)]
+    rows = [(i, " ".join(words[i * 30 : i * 30 + 90])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace(f"c{i * 30} ", "z ")) for i in range(0, 150, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    p = neardup.Params(shingle=2, rows=2, bands=64)
+    keyed = docs.selectExpr("doc_id a", "doc_id b", "doc_id id", "text")
+    sketch = keyed.mapInArrow(neardup._sketched(p), "a bigint, b bigint, id bigint, sid binary, n bigint, keys binary, registers binary").cache()
+    banded = sketch.mapInArrow(neardup._banded(p.bands), "key bigint, sid binary")
+    size = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("sid").alias("lead")).filter("size > 1")
+    led = banded.join(size, "key").cache()
+    stars = components.components(led.selectExpr("sid u", "lead v")).groupBy("root").count().agg(F.max("count")).first()[0]
+    likely = components.components(neardup._proposed(led, sketch, p)).groupBy("root").count().agg(F.max("count")).first()[0]
+    assert stars > 100 and likely <= 8
+    got = by_id(neardup.near_duplicates(docs, p))
+    assert all(got[1000 + i].component_id == i for i in range(0, 150, 3)) and sum(r.kept for r in got.values()) == 150
+    # crowded buckets keep their stars and nothing else changes
+    crowded = by_id(neardup.near_duplicates(docs, neardup.Params(shingle=2, rows=2, bands=64, bucket_classes=1)))
+    assert {i: r.component_id for i, r in crowded.items()} == {i: r.component_id for i, r in got.items()}
+
+
 def test_sketches_merge_and_estimate():
     p, rng = neardup.Params(), np.random.default_rng(0)
     x = np.unique(rng.integers(0, 2**62, 3000, dtype=np.uint64))
