@@ -53,7 +53,7 @@ class Params:
     base: float = 1.001
     rate: float = 20.0
     margin: float = 0.2
-    group_shingles: int = 400_000
+    group_shingles: int = 100_000
     bucket_classes: int = 2_000
 
     @property

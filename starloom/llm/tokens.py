@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from starloom.llm.text import packed_words, ragged
 
@@ -60,7 +62,10 @@ class WordCache:
         """int32 ids, and the number of ids before each piece (one more entry than pieces)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        coded = packed_words(data, starts, ends).dictionary_encode()
+        return self.gather(packed_words(data, starts, ends).dictionary_encode())
+
+    def gather(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_pieces of words that are dictionary-encoded already."""
         code = coded.indices.to_numpy(zero_copy_only=False)
         blobs = self.lookup(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
@@ -109,7 +114,7 @@ class _WordBpe:
 _held: dict[tuple, object] = {}
 
 
-def held(kind: Callable, path: str):
+def held(kind: Callable, path: str | tuple[str, ...]):
     """kind(path), made once and kept until another is asked for."""
     if (kind, path) not in _held:
         _held.clear()
@@ -136,13 +141,46 @@ class _Pieces(WordCache):
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
         shown = [self.model.id_to_piece(i).replace("\u2581", "") for i in range(size)]
-        #: Pieces that spell words (bytes too), with their characters, and those of symbols alone; bare word marks are neither.
-        self.is_word = self.is_byte | np.array([any(c.isalnum() for c in p) for p in shown])
+        #: Pieces that spell words (bytes and vowel signs too), with their characters, and those of symbols alone; bare word marks are neither.
+        self.is_word = self.is_byte | np.array([any(c.isalnum() or unicodedata.category(c)[0] == "M" for c in p) for p in shown])
         self.is_symbol = ~self.is_word & np.array([p != "" for p in shown])
         lead = [not 0x80 <= int(p[3:5], 16) < 0xC0 if b else len(p) for p, b in zip(shown, self.is_byte)]
         self.word_length = np.where(self.is_word, np.array(lead, dtype=np.int64), 0)
         super().__init__(lambda new: [array("i", x).tobytes() for x in self.model.encode(new, num_threads=1)])
 
 
-def piece_words(path: str) -> WordCache:
-    return held(_Pieces, path)
+class _ManyBytes(WordCache):
+    """Each word by itself, with a space in front, in the byte-level vocabulary of many languages."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        coding = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def whole(token: bytes) -> bool:
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                return False
+            return True
+
+        #: Tokens that are parts of characters, as a byte fallback's are.
+        self.is_byte = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.is_byte[[r for t, r in ranks.items() if not whole(t)]] = True
+        super().__init__(lambda new: [array("i", coding.encode_ordinary(" " + w)).tobytes() for w in new])
+
+
+class Fertility:
+    """The two vocabularies that measure fertility, held together."""
+
+    def __init__(self, paths: tuple[str, str]):
+        self.pieces, self.many = _Pieces(paths[0]), _ManyBytes(paths[1])
+
+
+def fertility(pieces: str, many: str) -> Fertility:
+    return held(Fertility, (pieces, many))
