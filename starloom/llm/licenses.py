@@ -1,7 +1,7 @@
 """Licence scans by canonical digest.
 
-A text is made canonical (case, punctuation and white space, copyright lines, equivalent spellings) and
-its SHA-256 is joined to the digests of known licence texts; lines are looked up likewise, against the
+A text is made canonical (case, punctuation and white space, copyright lines, equivalent spellings, a title before
+the terms, and the holder's name in the clauses that hold one) and its SHA-256 is joined to the digests of known licence texts; lines are looked up likewise, against the
 same table, for one-line notices. Everything is a Column expression; texts are never compared or
 shuffled, only digests are. The known side is a table of any size; it is broadcast only after its rows were counted.
 
@@ -32,6 +32,17 @@ SPELLINGS = (
     ("https:", "http:"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+# Parts of licence texts that may vary (the holder's name), in canonical form, and what stands for them.
+VARIABLES = (
+    (r"neither the names? of .{1,160}? nor the names? of (?:its |their |the |any |other |said )?contributors", "neither the name of holder nor the names of contributors"),
+    (r"provided by .{1,120}? as is and", "provided by holder as is and"),
+    (r"in no event shall .{1,120}? be liable", "in no event shall holder be liable"),
+)
+#: A title before the terms, which a text may leave out.
+TITLE = (
+    r"^(?:the )?(?:(?:new|modified|simplified|revised|original) )?(?:mit|isc|x11|expat|bsd|bsd [0-4] clause|[0-4] clause bsd|zlib|curl|boost software) license"
+    r"(?: version [0-9a-z ]{1,30}?| mit| isc| expat)? (permission is|permission to|redistribution and use|this software is)"
+)
 BROADCAST_ROWS = 100_000
 MARKS = r"[^\p{L}\p{N}]+"
 
@@ -84,7 +95,10 @@ def canonical(text: Column) -> Column:
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, MARKS, " "))
+    c = F.trim(F.regexp_replace(c, MARKS, " "))
+    for pattern, name in VARIABLES:
+        c = F.regexp_replace(c, pattern, name)
+    return F.regexp_replace(c, TITLE, "$1")
 
 
 def digest(text: Column) -> Column:
@@ -125,7 +139,10 @@ def oracle() -> str:
         c = f"regexp_replace(lower(coalesce({x}, '')), {quote(COPYRIGHT_LINE)}, '', 'g')"
         for a, b in SPELLINGS:
             c = f"replace({c}, {quote(a)}, {quote(b)})"
-        return f"trim(regexp_replace({c}, {quote(MARKS)}, ' ', 'g'))"
+        c = f"trim(regexp_replace({c}, {quote(MARKS)}, ' ', 'g'))"
+        for pattern, name in VARIABLES:
+            c = f"regexp_replace({c}, {quote(pattern)}, {quote(name)}, 'g')"
+        return f"regexp_replace({c}, {quote(TITLE)}, '\\1')"
 
     rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
     return f"""

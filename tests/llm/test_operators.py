@@ -95,6 +95,21 @@ def test_license_full_texts(spark):
     assert {"Apache-2.0", "BSD-3-Clause", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in got.values()}
 
 
+def test_license_variable_parts(spark):
+    """Another holder and a left-out or added title change nothing; another clause does."""
+    from pathlib import Path
+
+    from starloom.llm import licenses
+
+    bsd = (Path(licenses.__file__).parent / "known_licenses/BSD-3-Clause.txt").read_text()
+    own = re.sub(r"(?s)Neither the name.*?nor the names", "Neither the name of Example & Sons, Ltd. nor the names", bsd)
+    own = re.sub(r"(?s)PROVIDED BY .*? .AS IS", "PROVIDED BY EXAMPLE AND SONS ''AS IS", own)
+    zlib = (Path(licenses.__file__).parent / "known_licenses/Zlib.txt").read_text()
+    rows = [(1, "BSD 3-Clause License\n\nCopyright (c) 2021, Example\nAll rights reserved.\n\n" + own), (2, "The zlib License\n\n" + zlib), (3, zlib.replace("altered", "changed")), (4, "The MIT License (MIT)\n\nCopyright (c) 1999 X\n\n" + licenses._MIT)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")))
+    assert [got[i].license_id for i in (1, 2, 3, 4)] == ["BSD-3-Clause", "Zlib", None, "MIT"]
+
+
 def test_packing(spark, sf, documents):
     from tokenizers import Tokenizer
 
