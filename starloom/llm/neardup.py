@@ -370,7 +370,9 @@ def _named(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
 
 def without_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, by near_duplicates; of identical rows (id and text) one stays."""
-    chosen = near_duplicates(docs, p, id_col, text_col).filter("chosen").select(F.col("a").alias("ca__"), F.col("b").alias("cb__")).distinct()
-    keyed = docs.withColumns({"ka__": F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), "kb__": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit("")), F.col(id_col))})
-    kept = keyed.join(chosen, (F.col("ka__") == F.col("ca__")) & (F.col("kb__") == F.col("cb__")), "left_semi")
-    return kept.dropDuplicates(["ka__", "kb__"]).drop("ka__", "kb__")
+    chosen = near_duplicates(docs, p, id_col, text_col).filter("chosen").select(F.col("a").alias("ca"), F.col("b").alias("cb")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row as one column, so no name of docs can clash
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_col), text).alias("ka"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("kb"))
+    kept = keyed.join(chosen, (F.col("ka") == F.col("ca")) & (F.col("kb") == F.col("cb")), "left_semi")
+    return kept.dropDuplicates(["ka", "kb"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -170,14 +170,15 @@ def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", out: st
     """The carried columns of docs (all by default) and `out`, the spans that the ledger has for each row's blob under any
     of its rule versions, by start; empty where it has none."""
     names = [c for c in docs.columns if c.lower() != out.lower() and (carry is None or c in carry)]
-    paths = docs.select(*names, blob_id(F.col(text_col)).alias("blob__"))
-    known = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob_id").alias("known__")).agg(_by_place(F.flatten(F.collect_list("spans"))).alias("spans__"))
+    # the row as one column, so no name of docs can clash
+    paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), blob_id(F.col(text_col)).alias("blob"))
+    known = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob_id").alias("known")).agg(_by_place(F.flatten(F.collect_list("spans"))).alias("found"))
     known = written(known, "findings")
     if known.count() <= BROADCAST_BLOBS:
-        joined = paths.join(F.broadcast(known), F.col("blob__") == F.col("known__"), "left")
+        joined = paths.join(F.broadcast(known), F.col("blob") == F.col("known"), "left")
     else:
-        joined = joined_by_hot_key(paths, "blob__", known, "known__")
-    return joined.select(*names, F.coalesce("spans__", F.array().cast(f"array<{_SPAN}>")).alias(out))
+        joined = joined_by_hot_key(paths, "blob", known, "known")
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.coalesce("found", F.array().cast(f"array<{_SPAN}>")).alias(out))
 
 
 def scan(docs: DataFrame, path: str | None = None, rules: tuple[Rules, ...] = ALL, text_col: str = "text", out: str = "spans", carry: list[str] | None = None) -> DataFrame:

@@ -142,9 +142,9 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x.astype(k)) for x, k in zip(whole, kinds)], ["a", "b", "first", "size"])
 
 
-def _applied(window: int, text: str):
+def _applied(window: int):
     def compute(batch: pa.RecordBatch) -> list:
-        texts = strings(batch.column(text)).to_pylist()
+        texts = strings(batch.column("text")).to_pylist()
         total, gone, spans, kept = [], [], [], []
         for t, found in zip(texts, batch.column("spans__").to_pylist()):
             words = t.encode().split()
@@ -187,8 +187,12 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     blobs = texts.mapInArrow(_windows(window, buckets, _hot(texts, window, buckets, most)), _BLOBS)
     spans = blobs.groupBy("bucket").applyInArrow(_counted, _SPANS)
     spans = spans.groupBy("a", "b").agg(F.collect_set(F.struct("first", "size")).alias("spans__"))
-    spans = spans.select(F.col("a").alias("a__"), F.col("b").alias("b__"), "spans__")
-    names = [c for c in docs.columns if c == text_col or c == id_col or carry is None or c in carry]
-    keyed = docs.select(*names, a.alias("ka__"), b.alias("kb__"))
-    joined = keyed.join(spans, (F.col("ka__") == F.col("a__")) & (F.col("kb__") == F.col("b__")), "left").drop("a__", "b__", "ka__", "kb__")
-    return add_struct(joined, out, FIELDS, _applied(window, text_col), text=text_col, carry=[c for c in names if carry is None or c in carry])
+    spans = spans.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "spans__")
+    left = [c for c in docs.columns if (carry is None or c in carry) and c.lower() != out.lower()]
+    whole = text_col in left
+    # all other columns as one, so no name of docs can clash
+    row = F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in left if c != text_col)).alias("row")
+    keyed = docs.select(row, F.col(text_col).alias("text"), a.alias("ka"), b.alias("kb"))
+    joined = keyed.join(spans, (F.col("ka") == F.col("sa")) & (F.col("kb") == F.col("sb")), "left").select("row", "text", "spans__")
+    made = add_struct(joined, "made", FIELDS, _applied(window), carry=["row", "text"] if whole else ["row"])
+    return made.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in left), F.col("made").alias(out))

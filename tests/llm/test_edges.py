@@ -1,11 +1,17 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing names and empty tables."""
 
+import hashlib
 import random
+import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, pieces, quality, secrets, substring
+from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, pieces, quality, secrets, substring, tokens
 
 PASSAGE = " ".join(f"w{i}" for i in range(50))
 ROWS = [
@@ -91,3 +97,77 @@ def test_quality_bands_reject_symbol_noise(spark, sf):
 def test_quality_bands_differ_by_language():
     rules = quality.Rules()
     assert len({rules.band(x, "ascii") for x in ("en", "de", "fr", "es", "zz")}) == 5 and rules.band("EN_us", "ascii") == rules.band("en", "ascii")
+
+
+def awkward(texts=True):
+    """(doc_id, text) of ROWS, text as operators see it."""
+    return [(i, t or "") for i, t, _ in ROWS] if texts else ROWS
+
+
+def by_text(rows, *names):
+    return sorted(tuple(r[n] for n in names) for r in rows)
+
+
+def test_license_values(spark, docs):
+    got = licenses.scan(docs).collect()
+    canon = {"": "", "   \n\t ": "", "one": "one", "Ünï " * 60_000: "ünï " * 59_999 + "ünï"}
+    assert all(r.license_id is None and r.notices == [] for r in got)
+    want = {(i, hashlib.sha256(canon[t].encode()).hexdigest()) for i, t in awkward() if t in canon}
+    assert want <= {(r.doc_id, r.canonical_sha256) for r in got} and sum(r.doc_id == 1 for r in got) == 2
+
+
+def test_packing_values(spark, docs):
+    lib = Tokenizer.from_file(tokens.default("word_bpe_49k.json"))
+    want, sequences = [], defaultdict(list)
+    for i, t in awkward():
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i or -1, k, a, tuple(ids[a : a + 2048])) for k, a in enumerate(range(0, len(ids), 2048))]
+    rows = packing.pack(packing.pieces(docs, with_ids=True)).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.start, tuple(r.ids)) for r in rows) == sorted(want)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert all([0, *(sum(n for _, n in sorted(s)[: k + 1]) for k in range(len(s)))][:-1] == [o for o, _ in sorted(s)] for s in sequences.values())
+
+
+def test_fingerprint_values(spark, docs):
+    got = {(r.doc_id, (r.text or "")[:2]): r.prints for r in fingerprint.fingerprints(docs).collect()}
+    assert got[1, "w0"] == got[None, "w0"] and got[3, ""] == got[4, ""] == got[None, ""] and got[3, ""] != got[7, "on"]
+    chain = fingerprint.compare_with_next(docs).collect()
+    assert by_text([r for r in chain if r.doc_id is not None], "doc_id", "n_chars") == sorted((i, len(t)) for i, t in awkward() if i is not None)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in chain)
+    assert next(r for r in chain if r.doc_id == 3).fingerprint == next(r for r in chain if r.doc_id == 4).fingerprint
+
+
+def test_huffman_values(spark, docs):
+    lib = Tokenizer.from_file(tokens.default("word_bpe_49k.json"))
+    got = huffman.round_trip(docs).collect()
+    sizes = sorted((i if i is not None else -1, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, [*lib.encode(t, add_special_tokens=False).ids, 1]) for i, t in awkward()))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_crc32) for r in got) == sizes
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    known = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
+    assert known == sorted(known)
+
+
+def test_html_values(spark, docs):
+    got = {(r.doc_id, (r.text or "")[:2]): r.main for r in html.extract(docs, html_col="text").collect()}
+    assert got[3, ""].text == got[4, ""].text == got[5, "  "].text == "" and got[7, "on"].text == "one"
+    assert got[6, "Ün"].text == ("Ünï " * 60_000).strip() and got[6, "Ün"].n_chars == 239_999
+
+
+def test_secret_values(spark, docs):
+    got = {(r.doc_id, (r.text or "")[:2]): r.spans for r in secrets.scan(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[8, "pa"]] == [("assign", 0, 18), ("access", 19, 39)]
+    assert all(v == [] for k, v in got.items() if k != (8, "pa")) and len(got) == 10
+
+
+def test_piece_values(spark, docs):
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokens.default("piece_bpe_32k.model"))
+    got = pieces.encode(docs).collect()
+    for r in got:
+        t = r.text or ""
+        assert r.pieces.ids == [*lib.encode(t), lib.eos_id()] and r.pieces.n_tokens == len(r.pieces.ids) and r.pieces.decoded == lib.decode(r.pieces.ids)
+        assert r.pieces.end[-1] == len(t.encode())
+    assert len(got) == len(ROWS)
