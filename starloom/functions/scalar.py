@@ -74,7 +74,7 @@ def signed_arc_tan(y: Column, x: Column) -> Column:
 
 def erfc_normal(z: Column) -> Column:
     """Two-sided tail probability of a standard normal, by the rational approximation of Abramowitz and Stegun 7.1.28."""
-    x = z / F.lit(2.0**0.5)
+    x = F.abs(z) / F.lit(2.0**0.5)
     p = F.lit(0.0000430638)
     for c in (0.0002765672, 0.0001520143, 0.0092705272, 0.0422820123, 0.0705230784, 1.0):
         p = p * x + F.lit(c)

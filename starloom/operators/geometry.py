@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from starloom.functions import scalar
 from starloom.operators import rcr
+from starloom.operators.grouped import with_survey
+from starloom.operators.spatial import in_boxes
+from starloom.sources.tables import written
 
 
 def scan_bounds(samples: DataFrame) -> DataFrame:
@@ -57,8 +60,7 @@ def edge_lines(samples: DataFrame, scans_in_ra: bool = True) -> DataFrame:
     across, along = ("dec", "ra") if scans_in_ra else ("ra", "dec")
     ends = samples.groupBy("survey_id", "scan_id").agg(*[F.struct(f(along).alias("v"), g(across, along).alias("u")).alias(k) for k, f, g in (("low", F.min, F.min_by), ("high", F.max, F.max_by))])
     sides = ends.select("survey_id", F.explode(F.array(*[F.struct(F.lit(k).alias("edge"), F.col(f"{k}.u").alias("u"), F.col(f"{k}.v").alias("v")) for k in ("low", "high")])).alias("e")).select("survey_id", "e.edge", "e.u", "e.v")
-    w = Window.partitionBy("survey_id")
-    borders = samples.withColumns({"f__": F.min("scan_id").over(w), "l__": F.max("scan_id").over(w)}).filter("scan_id = f__ or scan_id = l__")
+    borders = with_survey(samples, f__=F.min("scan_id"), l__=F.max("scan_id")).filter("scan_id = f__ or scan_id = l__")
     borders = borders.select("survey_id", F.when(F.col("scan_id") == F.col("f__"), "first").otherwise("last").alias("edge"), F.col(along).alias("u"), F.col(across).alias("v"))
     return rcr.line_by_group(sides.unionByName(borders), ["survey_id", "edge"], "u", "v").select("survey_id", "edge", "intercept", "slope", "n_kept")
 
@@ -73,11 +75,13 @@ def footprint(samples: DataFrame, map_type: str = "raster") -> DataFrame:
 def least_gap(samples: DataFrame, footprints: DataFrame, gaps: DataFrame) -> DataFrame:
     """samples with min_gap, the smallest of the gaps of the surveys whose box holds the sample (its own is among
     them); footprints and gaps have one row a survey."""
-    boxes = footprints.join(gaps.select("survey_id", "gap"), "survey_id").select(*[F.col(c).alias(f"{c}__") for c in ("x_low", "x_high", "y_low", "y_high", "gap", "survey_id")])
-    inside = F.col("ra").between(F.col("x_low__"), F.col("x_high__")) & F.col("dec").between(F.col("y_low__"), F.col("y_high__"))
+    boxes = written(footprints.join(gaps.select("survey_id", "gap"), "survey_id").select(*[F.col(c).alias(f"{c}__") for c in ("x_low", "x_high", "y_low", "y_high", "gap", "survey_id")]), "boxes")
+    size = boxes.agg(F.max(F.greatest(F.col("x_high__") - F.col("x_low__"), F.col("y_high__") - F.col("y_low__")))).first()[0]
     keys = ["survey_id", "scan_id", "sample_id"]
-    found = samples.select(*keys, "ra", "dec").join(boxes, inside | (F.col("survey_id") == F.col("survey_id__"))).groupBy(*keys).agg(F.min("gap__").alias("min_gap"))
-    return samples.join(found, keys)
+    found = in_boxes(samples.select(*keys, "ra", "dec"), boxes, "ra", "dec", ("x_low__", "x_high__", "y_low__", "y_high__"), max(size or 1.0, 1e-6) / 16)
+    own = samples.select(*keys).join(boxes, F.col("survey_id") == F.col("survey_id__")).select(*keys, "gap__")
+    least = found.select(*keys, "gap__").unionByName(own).groupBy(*keys).agg(F.min("gap__").alias("min_gap"))
+    return samples.join(least, keys)
 
 
 def centred(samples: DataFrame, centre_ra: float, centre_dec: float) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators import rcr
+from starloom.operators.grouped import summarised
 
 CELL_RADII = 4.0
 
@@ -106,23 +107,13 @@ def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str
 
     local = by_cell(samples, radius, x, y, columns, run, "survey_id int, scan_id int, sample_id int, value double, weight double, n int, square double")
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf["weight"].to_numpy(float)
-        r = rcr.reject(pdf["value"].to_numpy(float), w, "LS_MODE_DL", True)
-        n = pdf["n"].to_numpy(float)[r.flags]
-        correlation = 6 * np.sqrt((pdf["square"].to_numpy(float)[r.flags] * n).sum() / max(n.sum(), 1))
-        return pd.DataFrame([[*pdf[["survey_id", "scan_id", "sample_id"]].iloc[0], r.mu, w.sum() / len(w), correlation]])
+    def combine(value: np.ndarray, w: np.ndarray, n: np.ndarray, square: np.ndarray) -> tuple:
+        r = rcr.reject(value, w, "LS_MODE_DL", True)
+        k = r.flags
+        return r.mu, float(w.sum() / len(w)), float(6 * np.sqrt((square[k] * n[k]).sum() / max(n[k].sum(), 1)))
 
-    return local.groupBy("survey_id", "scan_id", "sample_id").applyInPandas(combine, "survey_id int, scan_id int, sample_id int, model double, gm_weight double, correlation double")
-
-
-def _sector_gap(dx: np.ndarray, dy: np.ndarray, limit: float) -> float:
-    """Diameter of the largest circle through the centre, centred on the sector's axis (positive x), without a point inside."""
-    front = dx > 1e-12
-    if not front.any():
-        return limit
-    radius = (dx[front] ** 2 + dy[front] ** 2) / (2 * dx[front])
-    return min(2 * float(radius.min()), limit)
+    columns = ["value", "weight", "n", "square"]
+    return summarised(local, ["survey_id", "scan_id", "sample_id"], columns, "model double, gm_weight double, correlation double", combine, columns)
 
 
 def sampling_gap(samples: DataFrame, radius: float, least: float = 0.0, cap: float = 0.75, x: str = "ra", y: str = "dec", out: str = "theta_gap") -> DataFrame:
@@ -135,16 +126,17 @@ def sampling_gap(samples: DataFrame, radius: float, least: float = 0.0, cap: flo
         near = _Near(px, py, radius)
         own = np.flatnonzero(pdf["own"].to_numpy(bool))
         gaps = []
+        axes = np.arange(8) * (np.pi / 4)
+        c, t = np.cos(axes)[:, None], np.sin(axes)[:, None]
         for i in own:
             at, d = near.of(px[i], py[i])
             at = at[d > least]
             dx, dy = px[at] - px[i], py[at] - py[i]
-            widest = 0.0
-            for k in range(8):
-                c, s = np.cos(k * np.pi / 4), np.sin(k * np.pi / 4)
-                u, v = c * dx + s * dy, -s * dx + c * dy
-                inside = u >= np.abs(v) - 1e-12
-                widest = max(widest, _sector_gap(u[inside], v[inside], radius))
+            # all eight sectors at once: along and across each axis
+            u, v = c * dx + t * dy, c * dy - t * dx
+            inside = (u >= np.abs(v) - 1e-12) & (u > 1e-12)
+            touch = np.where(inside, (dx * dx + dy * dy) / np.where(inside, u, 1.0), radius)
+            widest = float(np.minimum(touch.min(axis=1), radius).max()) if len(at) else radius
             gaps.append(np.radians(min(widest, cap * radius)))
         return pdf.iloc[own][["survey_id", "scan_id", "sample_id"]].reset_index(drop=True).assign(**{out: gaps})
 

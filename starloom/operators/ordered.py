@@ -60,8 +60,8 @@ def speed(samples: DataFrame, x: str, t: str = "t", out: str = "speed") -> DataF
     return samples.withColumn(out, F.try_divide(F.col(x) - F.lag(x).over(w), F.col(t) - F.lag(t).over(w)))
 
 
-def shift_asof(samples: DataFrame, values: list[str], shift: float, t: str = "t", suffix: str = "_shifted") -> DataFrame:
-    """Adds each value at time t + shift: linear between the samples on both sides, and the end value beyond.
+def shift_asof(samples: DataFrame, values: list[str], shift: float | Column, t: str = "t", suffix: str = "_shifted") -> DataFrame:
+    """Adds each value at time t + shift (a number, or a column of the samples): linear between the samples on both sides, and the end value beyond.
 
     Both the samples and the wanted times form one ordered stream a scan, so the bracketing join is two
     running windows over one shuffle by scan.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns whose negative values make a row unphysical.
+from starloom.operators.grouped import with_survey
+
+#: Columns of the telescope format whose negative values make a row unphysical.
 PHYSICAL = ("DURATION", "EXPOSURE", "TSYS", "TCAL", "LST", "ELEVATIO", "TAMBIENT", "PRESSURE", "HUMIDITY", "RESTFREQ", "FREQRES", "TRGTLONG", "MJD", "UTSECS")
 
 
@@ -16,27 +18,25 @@ def split_raster(raw: DataFrame) -> DataFrame:
     after the last are `post`; other rows between belong to no segment (null).
     """
     valid = F.col("valid") == 1
-    w = Window.partitionBy("survey_id")
-    first, last = F.min(F.when(valid, F.col("t"))).over(w), F.max(F.when(valid, F.col("t"))).over(w)
+    ends = with_survey(raw, first__=F.min(F.when(valid, F.col("t"))), last__=F.max(F.when(valid, F.col("t"))))
     cal = F.col("cal_state") >= 0
-    segment = F.when(valid, "scan").when(cal & (F.col("t") < first), "pre").when(cal & (F.col("t") > last), "post")
-    return raw.withColumns({"segment": segment, "scan_id": F.when(valid, F.col("sweep"))})
+    segment = F.when(valid, "scan").when(cal & (F.col("t") < F.col("first__")), "pre").when(cal & (F.col("t") > F.col("last__")), "post")
+    return ends.withColumns({"segment": segment, "scan_id": F.when(valid, F.col("sweep"))}).drop("first__", "last__")
 
 
 def split_forty(raw: DataFrame) -> DataFrame:
     """The same for 40-foot sections: -1 in `section` marks calibration, other values are scan numbers."""
-    w = Window.partitionBy("survey_id")
     scan = F.col("section") >= 0
-    first = F.min(F.when(scan, F.col("t"))).over(w)
-    segment = F.when(scan, "scan").when(F.col("t") < first, "pre").otherwise("post")
-    return raw.withColumns({"segment": segment, "scan_id": F.when(scan, F.col("section"))})
+    ends = with_survey(raw, first__=F.min(F.when(scan, F.col("t"))))
+    segment = F.when(scan, "scan").when(F.col("t") < F.col("first__"), "pre").otherwise("post")
+    return ends.withColumns({"segment": segment, "scan_id": F.when(scan, F.col("section"))}).drop("first__")
 
 
 def split_daisy(raw: DataFrame, period: Column | float) -> DataFrame:
     """Cuts the single sweep of a daisy into petals of half a period from its first sample on."""
-    w = Window.partitionBy("survey_id")
-    petal = F.floor((F.col("t") - F.min("t").over(w)) / (F.lit(period) / 2 if not isinstance(period, Column) else period / 2))
-    return raw.withColumns({"segment": F.lit("scan"), "scan_id": petal.cast("int")})
+    begun = with_survey(raw, first__=F.min("t"))
+    petal = F.floor((F.col("t") - F.col("first__")) / (F.lit(period) / 2 if not isinstance(period, Column) else period / 2))
+    return begun.withColumns({"segment": F.lit("scan"), "scan_id": petal.cast("int")}).drop("first__")
 
 
 def usable_scans(samples: DataFrame, keep_ends: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.scalar import sphere_distance
@@ -41,19 +41,42 @@ def range_join(probe: DataFrame, build: DataFrame, radius: float, probe_xy: tupl
     return joined.withColumn(out, measure).filter(F.col(out) <= radius).drop("px__", "py__", "bx__", "by__")
 
 
+def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, low_high: tuple[str, str, str, str], size: float) -> DataFrame:
+    """Pairs of a point and a box (x low, x high, y low, y high) that holds it, ends included. A box is repeated for the
+    grid cells of `size` that it meets, so the join is an equi-join on cells, and a large box spreads over many of them."""
+    a, b, c, d = low_high
+    cells = lambda low, high: F.explode(F.sequence(bin_of(F.col(low), size), bin_of(F.col(high), size)))
+    placed = boxes.select("*", cells(a, b).alias("bx__")).select("*", cells(c, d).alias("by__"))
+    near = points.select("*", bin_of(F.col(x), size).alias("px__"), bin_of(F.col(y), size).alias("py__"))
+    j = near.join(placed, (F.col("px__") == F.col("bx__")) & (F.col("py__") == F.col("by__")))
+    return j.filter(F.col(x).between(F.col(a), F.col(b)) & F.col(y).between(F.col(c), F.col(d))).drop("px__", "py__", "bx__", "by__")
+
+
 def nearest_in_neighbours(samples: DataFrame, along: str, carry: list[str]) -> DataFrame:
     """For every sample the nearest one, by `along`, in the previous and in the next scan of its survey.
 
-    An equi-join on the neighbouring scan and a coarse bin would lose far neighbours, so the join is on the
-    scan number alone: its size is samples a scan, squared, for each pair of scans. Ties go to the lower sample_id.
-    Adds prev_<c> and next_<c> for each carried column; scans without a neighbour have NULLs.
+    A scan's samples and the places that its neighbours ask for form one stream in the order of `along`; two running
+    windows give the nearest on both sides, so nothing is paired and a scan is shuffled three times as small rows.
+    Ties go to the lower sample_id. Adds prev_<c> and next_<c> for each carried column; scans without a neighbour
+    have NULLs.
     """
-    other = samples.select(F.col("survey_id").alias("s__"), F.col("scan_id").alias("c__"), F.col("sample_id").alias("i__"), F.col(along).alias("a__"), *[F.col(c).alias(f"{c}__") for c in carry])
-    both = samples.select("survey_id", "scan_id", "sample_id", along, F.explode(F.array(F.lit(-1), F.lit(1))).alias("side__"))
-    pairs = both.join(other, (F.col("survey_id") == F.col("s__")) & (F.col("scan_id") + F.col("side__") == F.col("c__")))
-    best = pairs.groupBy("survey_id", "scan_id", "sample_id", "side__").agg(F.min_by(F.struct(*[F.col(f"{c}__").alias(c) for c in carry]), F.struct(F.abs(F.col(along) - F.col("a__")), F.col("i__"))).alias("b__"))
-    named = best.groupBy("survey_id", "scan_id", "sample_id").agg(*[F.max(F.when(F.col("side__") == k, F.col(f"b__.{c}"))).alias(f"{side}_{c}") for k, side in ((-1, "prev"), (1, "next")) for c in carry])
-    return samples.join(named, ["survey_id", "scan_id", "sample_id"], "left")
+    keys = ["survey_id", "scan_id", "sample_id"]
+    value = F.struct(*[F.col(c) for c in carry])
+    build = samples.filter(F.col(along).isNotNull()).groupBy("survey_id", F.col("scan_id").cast("long").alias("at_scan"), F.col(along).alias("place"))
+    build = build.agg(F.min("sample_id").alias("id__"), F.min_by(value, "sample_id").alias("v__"))
+    none = lambda c: F.lit(None).cast(build.schema[c].dataType)
+    sides = samples.select(*keys, F.col(along).alias("place"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    ask = sides.select("survey_id", (F.col("scan_id") + F.col("side")).cast("long").alias("at_scan"), "place", none("id__").alias("id__"), none("v__").alias("v__"), "scan_id", "sample_id", "side")
+    stream = build.unionByName(ask, allowMissingColumns=True)
+    w = Window.partitionBy("survey_id", "at_scan").orderBy("place", F.col("side").isNotNull())
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    own = F.when(F.col("side").isNull(), F.struct("place", "id__", "v__"))
+    found = stream.select("*", F.last(own, True).over(before).alias("a__"), F.first(own, True).over(after).alias("b__")).filter("side is not null")
+    da, db = F.abs(F.col("place") - F.col("a__.place")), F.abs(F.col("place") - F.col("b__.place"))
+    second = F.col("a__").isNull() | (F.col("b__").isNotNull() & ((db < da) | (db == da) & (F.col("b__.id__") < F.col("a__.id__"))))
+    best = found.select(*keys, "side", F.when(second, F.col("b__.v__")).otherwise(F.col("a__.v__")).alias("b"))
+    named = best.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, F.col(f"b.{c}"))).alias(f"{side}_{c}") for k, side in ((-1, "prev"), (1, "next")) for c in carry])
+    return samples.join(named, keys, "left")
 
 
 def pair_counts(points: DataFrame, key: list[str], x: str, y: str, radius: Column | float) -> DataFrame:

@@ -22,11 +22,14 @@ def frequency_axis(n: Column, step: float, centre_ghz: float, centre_offset: flo
     return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.lit(first) + j * step)
 
 
-def band_integral(data: Column, frequencies: Column, band: tuple[float, float], notches: list[tuple[float, float]] = ()) -> Column:
-    """Sum of the channels strictly inside the band and outside every notch, whose edges belong to it."""
+def band_integral(data: Column, frequencies: Column, bands: tuple[float, float] | list[tuple[float, float]], notches: list[tuple[float, float]] = ()) -> Column:
+    """Sum of the channels strictly inside the band, or any of several, and outside every notch, whose edges belong to it."""
+    several = [bands] if bands and not isinstance(bands[0], (tuple, list)) else list(bands)
 
     def inside(f: Column) -> Column:
-        keep = (f > band[0]) & (f < band[1])
+        keep = F.lit(False)
+        for a, b in several:
+            keep = keep | ((f > a) & (f < b))
         for a, b in notches:
             keep = keep & ~((f >= a) & (f <= b))
         return keep

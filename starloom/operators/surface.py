@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.operators.spatial import range_join
+from starloom.operators.spatial import in_boxes, range_join
 
+#: Width in beams of the cells in which pixels meet footprints.
+CELL_BEAMS = 8.0
 #: Exponents of x and y of each term; 3, 6 and 10 terms are planes, quadratics and cubics.
 TERMS = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)]
 
@@ -162,7 +164,12 @@ def in_footprint(pixels: DataFrame, edges: DataFrame, beam: float, trim: float)
     raster = (F.col("px") > F.col("x_low")) & (F.col("px") < F.col("x_high")) & (F.col("py") > F.col("y_low")) & (F.col("py") < F.col("y_high"))
     far = F.sqrt(F.pow(F.col("px") - F.col("cx"), F.lit(2)) + F.pow(F.col("py") - F.col("cy"), F.lit(2)))
     inside = F.when(F.col("map_type") == "daisy", far < F.col("radius") - trim * beam).otherwise(raster)
-    return pixels.join(edges, inside, "left_semi")
+    # the box around each survey names the cells whose pixels are compared with it
+    daisy = F.col("map_type") == "daisy"
+    ends = {"a__": ("cx", "x_low", -1), "b__": ("cx", "x_high", 1), "c__": ("cy", "y_low", -1), "d__": ("cy", "y_high", 1)}
+    boxes = edges.select("*", *[F.when(daisy, F.col(m) + k * F.greatest("radius", F.lit(0.0))).otherwise(F.col(e)).alias(n) for n, (m, e, k) in ends.items()])
+    found = in_boxes(pixels, boxes.filter("a__ <= b__ and c__ <= d__"), "px", "py", ("a__", "b__", "c__", "d__"), CELL_BEAMS * beam)
+    return found.filter(inside).select(*pixels.columns).distinct()
 
 
 def brightest(pixels: DataFrame, flux: str = "flux", flag: str | None = None, order: list[str] = ("y_pix", "x_pix")) -> DataFrame:

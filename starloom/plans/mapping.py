@@ -7,10 +7,11 @@ is used more than once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators import background, calibrate, geometry, neighbourhood, ordered, photometry, segment, spectral, surface, timeshift
+from starloom.operators.grouped import SURVEYS
 from starloom.plans.config import Job
 from starloom.sources.tables import written
 
@@ -19,8 +20,8 @@ def integrate(spectra: DataFrame, job: Job) -> DataFrame:
     """Samples from pairs of spectra: right in even rows, left in odd ones; a band's flux is the sum of its channels."""
     n = F.size("data")
     axis = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.col("obs_freq") + (j + 1 - n / 2) * F.col("cdelt") / 1e6)
-    band = job.include[0] if job.include else (float("-inf"), float("inf"))
-    flux = spectral.band_integral(F.col("data"), axis, band, list(job.exclude))
+    bands = list(job.include) or [(float("-inf"), float("inf"))]
+    flux = spectral.band_integral(F.col("data"), axis, bands, list(job.exclude))
     keep = ["survey_id", "t", "ra", "dec", "az", "el", "dumps", "cal_state", "sweep", "valid"]
     pairs = spectra.withColumn("total", flux).groupBy("path", F.floor(F.col("row_id") / 2).alias("row_id"))
     return pairs.agg(*[F.min_by(c, F.col("row_id")).alias(c) for c in keep], F.max(F.when(F.col("row_id") % 2 == 0, F.col("total"))).alias("flux_r"), F.max(F.when(F.col("row_id") % 2 == 1, F.col("total"))).alias("flux_l"))
@@ -53,15 +54,16 @@ def prepare(samples: DataFrame, job: Job, beam: float) -> DataFrame:
         else:
             speeds = ordered.speed(s, "ang_dist").groupBy("survey_id").agg(F.median("speed").alias("speed"))
             found = timeshift.survey_shift(timeshift.consistent_lags(timeshift.adjacent_lags(s, "ra")), speeds)
-            for row in found.collect():  # a row a survey
-                rest = s.filter(F.col("survey_id") != row["survey_id"])
-                s = shifted(s.filter(F.col("survey_id") == row["survey_id"]), row["t_shift"]).unionByName(rest)
+            per = written(found.select(F.col("survey_id").alias("survey__"), "t_shift"), "shifts")
+            timed = s.join(F.broadcast(per) if per.count() <= SURVEYS else per, F.col("survey_id") == F.col("survey__"), "left").drop("survey__")
+            # a survey without a shift keeps its places: shifted by 0 they are its own
+            s = shifted(timed.withColumn("t_shift", F.coalesce(F.nanvl("t_shift", F.lit(0.0)), F.lit(0.0))), F.col("t_shift")).drop("t_shift")
     plane = calibrate.plane_scatter(s, noise.select("survey_id", "scan_id", "scatter", "clean_dumps"))
     return written(s.join(plane, ["survey_id", "scan_id"]), "prepared")
 
 
-def shifted(samples: DataFrame, shift: float) -> DataFrame:
-    moved = ordered.shift_asof(samples, ["ra", "dec"], float(shift))
+def shifted(samples: DataFrame, shift: float | Column) -> DataFrame:
+    moved = ordered.shift_asof(samples, ["ra", "dec"], shift)
     return moved.withColumns({"ra": F.col("ra_shifted"), "dec": F.col("dec_shifted")}).drop("ra_shifted", "dec_shifted")
 
 
