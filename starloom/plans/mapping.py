@@ -100,7 +100,7 @@ def source_table(pixels: DataFrame, job: Job, beam: float) -> DataFrame:
     """Photometry of the brightest sources of a map."""
     found = photometry.top_sources(pixels, job.sources, job.outer_radius * beam)
     sources = pixels.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y, _) in enumerate(found)], "source_id int, sx double, sy double")
-    return photometry.photometry(pixels, sources, job.inner_radius * beam, job.outer_radius * beam)
+    return photometry.photometry(pixels, sources, job.inner_radius * beam, job.outer_radius * beam, beam, 0.0 if job.skip_rfi else job.rfi_scale, job.weight_scale, job.pixel_scale)
 
 
 def run(spark: SparkSession, raw: DataFrame, job: Job, beam: float) -> dict[str, DataFrame]:

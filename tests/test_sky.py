@@ -115,3 +115,47 @@ def test_text_readers(spark, tmp_path):
     (tmp_path / "f.txt").write_text("1\n20\n5\n*\n2\n20\n4\n**\n3\n21\n7\n4\n21\n8\n")
     got = readers.read_forty(spark, str(tmp_path / "f.txt")).orderBy("row_id").collect()
     assert [(r.t, r.flux_l, r.cal_state, r.sweep) for r in got] == [(1.0, 5.0, 1, -1), (2.0, 4.0, 0, -1), (3.0, 7.0, -1, 0), (4.0, 8.0, -1, 0)]
+
+
+def test_photometry_correction(spark):
+    """A bright source loses little, a faint one more; without interference removal nothing is corrected."""
+    grid = surface.pixel_grid(spark, (0.0, 20.0), (0.0, 20.0), 0.5).withColumn("weight", F.lit(1.0))
+    noise = 0.01 * F.sin(F.col("px") * 37 + F.col("py") * 11)
+    shape = F.exp(-0.5 * (F.pow(F.col("px") - 10, F.lit(2)) + F.pow(F.col("py") - 10, F.lit(2))))
+    src = spark.createDataFrame([(1, 10.0, 10.0)], "source_id int, sx double, sy double")
+    found = {}
+    for height in (0.5, 5.0, 500.0):
+        r = photometry.photometry(grid.withColumn("flux", 1.0 + noise + height * shape), src, 4.0, 8.0, beam=2.355, pixel=0.5 / 2.355).first()
+        found[height] = r.corrected / r.measured - 1
+        assert r.external_error > 0 and abs(r.total_error**2 - (2 * r.internal_error) ** 2 - r.external_error**2) < 1e-6 * r.total_error**2
+    assert min(found.values()) > 0 and max(found.values()) < 0.5
+    peaks = spark.createDataFrame([(p, 0.01) for p in (1.0, 10.0, 100.0)], "p double, s double")
+    factor, spread = photometry.correction(F.col("p"), 0.7, 1.25, F.col("s"), 0.7, 1 / 3, 0.2)
+    rows = peaks.select(factor.alias("f"), spread.alias("u")).collect()
+    assert rows[0].f > rows[1].f > rows[2].f > 1 and rows[0].u > rows[1].u > rows[2].u > 0
+    r = photometry.photometry(grid.withColumn("flux", 1.0 + noise + 5.0 * shape), src, 4.0, 8.0, rfi=0.0).first()
+    assert r.corrected == r.measured and r.external_error == 0
+
+
+def test_detected_sources_equal_brute_force(spark):
+    """Two surveys at the same places: each has its own sources."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for survey, centres in ((0, [(3.0, 2.0), (7.0, 3.0), (3.8, 2.2)]), (1, [(3.1, 2.1), (8.0, 1.0)])):
+        for s in range(16):
+            for k in range(50):
+                x, y = k * 0.2, s * 0.25
+                f = sum(300 * h * np.exp(-0.5 * (((x - a) / 0.4) ** 2 + ((y - b) / 0.4) ** 2)) for h, (a, b) in enumerate(centres, 1)) + rng.normal()
+                rows.append((survey, s, k, x, y, float(f), 1.0))
+    pdf = pd.DataFrame(rows, columns=["survey_id", "scan_id", "sample_id", "ra", "dec", "flux", "scatter2d"]).astype({"survey_id": "int32", "scan_id": "int32", "sample_id": "int32"})
+    want = []
+    for survey, p in pdf.groupby("survey_id"):
+        b = p[p.flux >= 75].sort_values(["flux", "scan_id", "sample_id"], ascending=[False, True, True])
+        near = [(np.hypot(b.ra - r.ra, b.dec - r.dec) <= 0.8).sum() for r in b.itertuples()]
+        chosen = []
+        for r, n in zip(b.itertuples(), near):
+            if n >= 6 and all(np.hypot(r.ra - q.ra, r.dec - q.dec) > 0.8 for q in chosen):
+                chosen.append(r)
+        want += [(survey, k, r.scan_id, r.sample_id) for k, r in enumerate(chosen)]
+    got = sorted((r.survey_id, r.source_id, r.scan_id, r.sample_id) for r in photometry.detect(spark.createDataFrame(pdf), 0.8).collect())
+    assert got == sorted(want) and len(want) >= 4
