@@ -138,7 +138,8 @@ class Rules:
 def _entropy(ids: np.ndarray) -> float:
     if not len(ids):
         return 0.0
-    p = np.bincount(ids)
+    # sorting is cheaper than a count for each id of the vocabulary, unless a text is long
+    p = np.unique(ids, return_counts=True)[1] if len(ids) < 4096 else np.bincount(ids)
     p = p[p > 0] / len(ids)
     return float(-(p * np.log2(p)).sum())
 
@@ -199,12 +200,11 @@ def _measured(rules: Rules, model: str, many: str, text: str, lang: str | None):
         both = tokens.fertility(model, many)
         pieces = both.pieces
         coded = packed_words(data, starts, ends).dictionary_encode()
-        ids, before = pieces.gather(coded) if len(starts) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        cuts = before[at]
+        nothing = (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        (ids, before), (other, after) = both.gather_both(coded) if len(starts) else (nothing, nothing)
+        cuts, ends_of = before[at], after[at]
         n_tokens = np.diff(cuts)
         by_byte = np.concatenate([[0], np.cumsum(pieces.is_byte[ids])])
-        other, before = both.many.gather(coded) if len(starts) else (ids, before)
-        ends_of = before[at]
         in_part = np.concatenate([[0], np.cumsum(both.many.is_byte[other])])
         by_symbol, by_word, spelled = (np.concatenate([[0], np.cumsum(x[ids])]) for x in (pieces.is_symbol, pieces.is_word, pieces.word_length))
         out: list[list] = [[] for _ in FIELDS]

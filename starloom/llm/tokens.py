@@ -66,8 +66,11 @@ class WordCache:
 
     def gather(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """encode_pieces of words that are dictionary-encoded already."""
+        return self._gathered(coded, self.lookup(coded.dictionary.to_pylist()))
+
+    @staticmethod
+    def _gathered(coded: pa.DictionaryArray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code = coded.indices.to_numpy(zero_copy_only=False)
-        blobs = self.lookup(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         flat = np.frombuffer(b"".join(blobs), np.int32)
         lengths = sizes[code]
@@ -175,11 +178,17 @@ class _ManyBytes(WordCache):
         super().__init__(lambda new: [array("i", coding.encode_ordinary(" " + w)).tobytes() for w in new])
 
 
-class Fertility:
-    """The two vocabularies that measure fertility, held together."""
+class Fertility(WordCache):
+    """The two vocabularies that measure fertility, with one cache of (ids, ids) by word."""
 
     def __init__(self, paths: tuple[str, str]):
         self.pieces, self.many = _Pieces(paths[0]), _ManyBytes(paths[1])
+        super().__init__(lambda new: list(zip(self.pieces.encode_new(new), self.many.encode_new(new))))
+
+    def gather_both(self, coded: pa.DictionaryArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """gather() in each vocabulary."""
+        first, second = zip(*self.lookup(coded.dictionary.to_pylist()))
+        return self._gathered(coded, first), self._gathered(coded, second)
 
 
 def fertility(pieces: str, many: str) -> Fertility:
