@@ -101,10 +101,11 @@ def number(text: Column) -> Column:
 
 
 def map_pattern(mode: Column) -> Column:
-    """Map type and scan direction of an observing mode."""
+    """Map type and scan direction of an observing mode; both NULL where it is no map."""
     m = F.lower(mode)
     kind = F.when(m.contains("daisy"), "daisy").when(m.contains("nod"), "nodding").when(m.contains("map") | m.contains("raster"), "raster")
-    return F.struct(kind.alias("map_type"), (m.contains("ra") & ~m.contains("dec") | m.contains("lon")).alias("scans_in_ra"))
+    along = F.when(kind.isNotNull(), m.contains("ra") & ~m.contains("dec") | m.contains("lon"))
+    return F.struct(kind.alias("map_type"), along.alias("scans_in_ra"))
 
 
 def rfi_limit(telescope: str | None = None, frequency_ghz: float | None = None, mjd: int | None = None) -> float:

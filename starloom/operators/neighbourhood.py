@@ -58,6 +58,17 @@ def local_fit(d: np.ndarray, z: np.ndarray, w: np.ndarray, radius: float) -> tup
     return f, (zs - f * ps) / (2 * s), p
 
 
+def local_fits(near: DataFrame, keys: list[str], z: str, w: str, radius: float, distance: str = "distance") -> DataFrame:
+    """keys, f and g of local_fit around each place, from sums that are partial before their shuffle; NULL where the
+    kernel is next to nothing or the fit singular."""
+    p = F.pow(F.cos(F.lit(np.pi) * F.col(distance) / (2 * radius)), F.lit(2.0))
+    v, z, w = near.withColumn("p__", p), F.col(z), F.col(w)
+    sums = v.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * z * F.col("p__")).alias("fz"), F.sum(w * z).alias("zs"), F.sum(w * F.col("p__")).alias("ps"), F.sum(w * F.col("p__") * F.col("p__")).alias("q"))
+    det = F.expr("2 * s * q - ps * ps")
+    f = F.when((F.col("q") > 1e-9 * F.col("s")) & (det > F.expr("2e-9 * s * q")), F.expr("2 * s * fz - zs * ps") / det)
+    return sums.withColumn("f", f).select(*keys, "f", F.expr("(zs - f * ps) / (2 * s)").alias("g"))
+
+
 def _surviving(d, z, w, scatter, radius):
     """Kept flags and model values: the most positive outlier goes until the mean square above equals the scatter; both signs where f <= 0."""
     kept = np.ones(len(d), dtype=bool)

@@ -412,13 +412,11 @@ def kernel_weight_map(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "rfi_local_fit",
     NEAR + """, a AS (SELECT x_pix, y_pix, sum(w) s, sum(w*z*p) f, sum(w*z) z, sum(w*p) p, sum(w*p*p) q FROM (SELECT *, pow(cos(pi()*distance/6.0), 2) AS p FROM near) GROUP BY ALL)
-    SELECT x_pix::INT AS x_pix, y_pix::INT AS y_pix, round((2*s*f - z*p)/(2*s*q - p*p), 6) + 0.0 AS f, round((z - (2*s*f - z*p)/(2*s*q - p*p)*p)/(2*s), 6) + 0.0 AS g FROM a""",
+    SELECT x_pix::INT AS x_pix, y_pix::INT AS y_pix, CASE WHEN q > 1e-9*s AND 2*s*q - p*p > 2e-9*s*q THEN round((2*s*f - z*p)/(2*s*q - p*p), 6) + 0.0 END AS f, CASE WHEN q > 1e-9*s AND 2*s*q - p*p > 2e-9*s*q THEN round((z - (2*s*f - z*p)/(2*s*q - p*p)*p)/(2*s), 6) + 0.0 END AS g FROM a""",
 )
 def rfi_local_fit(spark: SparkSession, d: str) -> DataFrame:
-    p = F.pow(F.cos(F.lit(np.pi) * F.col("distance") / (2 * BEAM)), F.lit(2.0))
-    sums = _near(spark, d).withColumn("p", p).groupBy("x_pix", "y_pix").agg(F.sum("w").alias("s"), F.sum(F.expr("w*z*p")).alias("fz"), F.sum(F.expr("w*z")).alias("zs"), F.sum(F.expr("w*p")).alias("ps"), F.sum(F.expr("w*p*p")).alias("q"))
-    f = F.expr("(2*s*fz - zs*ps) / (2*s*q - ps*ps)")
-    return sums.withColumn("f", f).select("x_pix", "y_pix", r6("f").alias("f"), r6(F.expr("(zs - f*ps) / (2*s)")).alias("g"))
+    fits = neighbourhood.local_fits(_near(spark, d), ["x_pix", "y_pix"], "z", "w", BEAM)
+    return fits.select("x_pix", "y_pix", r6("f").alias("f"), r6("g").alias("g"))
 
 
 @query("path_layer", P + ", l AS (SELECT round(x/2.0)::INT AS x_pix, round(y/2.0)::INT AS y_pix, max(scan_id) AS s FROM points GROUP BY ALL) SELECT x_pix, y_pix, CASE WHEN s % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS path FROM l")
@@ -486,11 +484,6 @@ def rfi_clean(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.interference_models(s, 0.15)
 
 
-@query("theta_gap")
-def theta_gap(spark: SparkSession, d: str) -> DataFrame:
-    return neighbourhood.sampling_gap(event_samples(spark, d), 0.3)
-
-
 @query("polynomial_surface")
 def polynomial_surface(spark: SparkSession, d: str) -> DataFrame:
     return surface.surfaces(_near(spark, d), ["x_pix", "y_pix"], "z", F.col("w"), noise_prior=True)
@@ -508,3 +501,6 @@ def half_sample_mode(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame([[p["scan_id"].iloc[0], rcr.mode(p["flux"].to_numpy(float), p["dumps"].to_numpy(float))]])
 
     return event_samples(spark, d).select("scan_id", "flux", "dumps").groupBy("scan_id").applyInPandas(run, "scan_id int, mode double")
+
+
+from starloom.plans import more_queries  # noqa: E402, F401  (registers its queries)
