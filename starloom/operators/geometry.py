@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import scalar
 from starloom.operators import rcr
 from starloom.operators.grouped import with_survey
-from starloom.operators.spatial import in_boxes
+from starloom.operators.spatial import LINES, in_boxes, inside_survey
 from starloom.sources.tables import written
 
 
@@ -54,10 +54,18 @@ def turning_points(samples: DataFrame) -> DataFrame:
     return samples.groupBy("survey_id", "scan_id").agg(*ends)
 
 
-def edge_lines(samples: DataFrame, scans_in_ra: bool = True) -> DataFrame:
+def scan_direction(samples: DataFrame) -> DataFrame:
+    """survey_id and scans_in_ra: whether the median scan of a survey is at least as long in right ascension as in declination."""
+    b = samples.groupBy("survey_id", "scan_id").agg((F.max("ra") - F.min("ra") - F.max("dec") + F.min("dec")).alias("longer"))
+    return b.groupBy("survey_id").agg((F.median("longer") >= 0).alias("scans_in_ra"))
+
+
+def edge_lines(samples: DataFrame, scans_in_ra: bool | Column = True) -> DataFrame:
     """survey_id, edge, intercept and slope: robust lines through the low and high ends of the scans, and along
-    the first and last scan."""
-    across, along = ("dec", "ra") if scans_in_ra else ("ra", "dec")
+    the first and last scan. scans_in_ra may be a column of the samples."""
+    in_ra = scans_in_ra if isinstance(scans_in_ra, Column) else F.lit(scans_in_ra)
+    across, along = "across__", "along__"
+    samples = samples.withColumns({across: F.when(in_ra, F.col("dec")).otherwise(F.col("ra")), along: F.when(in_ra, F.col("ra")).otherwise(F.col("dec"))})
     ends = samples.groupBy("survey_id", "scan_id").agg(*[F.struct(f(along).alias("v"), g(across, along).alias("u")).alias(k) for k, f, g in (("low", F.min, F.min_by), ("high", F.max, F.max_by))])
     sides = ends.select("survey_id", F.explode(F.array(*[F.struct(F.lit(k).alias("edge"), F.col(f"{k}.u").alias("u"), F.col(f"{k}.v").alias("v")) for k in ("low", "high")])).alias("e")).select("survey_id", "e.edge", "e.u", "e.v")
     borders = with_survey(samples, f__=F.min("scan_id"), l__=F.max("scan_id")).filter("scan_id = f__ or scan_id = l__")
@@ -72,18 +80,57 @@ def footprint(samples: DataFrame, map_type: str = "raster") -> DataFrame:
     return middle.join(far, "survey_id").withColumn("map_type", F.lit(map_type))
 
 
+def with_lines(footprints: DataFrame, lines: DataFrame, directions: DataFrame) -> DataFrame:
+    """Footprints with scans_in_ra and with height and slope of the four edge lines, NULL where a line could not be fitted."""
+    sound = lines.filter(F.col("n_kept") >= 2)
+    pick = lambda edge, c: F.max(F.when(F.col("edge") == edge, F.nanvl(c, F.lit(None).cast("double"))))
+    flat = sound.groupBy("survey_id").agg(*[pick(name.split("_")[0], {"at": "intercept", "slope": "slope"}[name.split("_")[1]]).alias(name) for name in LINES])
+    return footprints.join(directions, "survey_id").join(flat, "survey_id", "left")
+
+
+def gap_threshold(samples: DataFrame, along: str = "ang_dist", centre: str | None = None) -> DataFrame:
+    """survey_id and gap: the smallest sound spacing of samples. Spacings of a scan are tested together and the scans'
+    smallest ones of a survey again, so no survey's samples meet in one task. With `centre` (a sample_id column, for
+    daisies) a scan counts with half the distance of the neighbours of its centre, times four over the number of scans."""
+    w = Window.partitionBy("survey_id", "scan_id").orderBy("sample_id")
+    if centre:
+        width = (F.lead(along).over(w) - F.lag(along).over(w)) / 2
+        per = samples.withColumn("least", F.abs(width)).filter(F.col("sample_id") == F.col(centre)).select("survey_id", "scan_id", "least")
+        per = per.withColumn("least", F.col("least") * 4 / F.count("*").over(Window.partitionBy("survey_id")))
+    else:
+        step = samples.withColumn("least", F.abs(F.col(along) - F.lag(along).over(w))).select("survey_id", "scan_id", "least")
+        per = rcr.least_by_group(step.filter("least is not null"), ["survey_id", "scan_id"], "least")
+    return rcr.least_by_group(per.filter("least is not null"), ["survey_id"], "least").withColumnRenamed("least", "gap")
+
+
 def least_gap(samples: DataFrame, footprints: DataFrame, gaps: DataFrame) -> DataFrame:
-    """samples with min_gap, the smallest of the gaps of the surveys whose box holds the sample (its own is among
-    them); footprints and gaps have one row a survey."""
-    boxes = written(footprints.join(gaps.select("survey_id", "gap"), "survey_id").select(*[F.col(c).alias(f"{c}__") for c in ("x_low", "x_high", "y_low", "y_high", "gap", "survey_id")]), "boxes")
+    """samples with min_gap, the smallest of the gaps of the surveys that hold the sample (its own is among them): whose
+    footprint, if it has lines or circles, else whose box. Footprints and gaps have one row a survey."""
+    shaped = LINES[0] in footprints.columns
+    boxes = written(footprints.join(gaps.select("survey_id", "gap"), "survey_id").select(*[F.col(c).alias(f"{c}__") for c in (*footprints.columns, "gap")]), "boxes")
     size = boxes.agg(F.max(F.greatest(F.col("x_high__") - F.col("x_low__"), F.col("y_high__") - F.col("y_low__")))).first()[0]
     keys = ["survey_id", "scan_id", "sample_id"]
     found = in_boxes(samples.select(*keys, "ra", "dec"), boxes, "ra", "dec", ("x_low__", "x_high__", "y_low__", "y_high__"), max(size or 1.0, 1e-6) / 16)
+    if shaped:
+        found = found.filter(inside_survey(F.col("ra"), F.col("dec"), 0.0, True, "__"))
     own = samples.select(*keys).join(boxes, F.col("survey_id") == F.col("survey_id__")).select(*keys, "gap__")
     least = found.select(*keys, "gap__").unionByName(own).groupBy(*keys).agg(F.min("gap__").alias("min_gap"))
     return samples.join(least, keys)
 
 
+def middle(samples: DataFrame) -> tuple[float, float] | None:
+    """The middle of the bounds of all samples (one row for the driver); None where there are none."""
+    b = samples.agg(F.min("ra"), F.max("ra"), F.min("dec"), F.max("dec")).first()
+    return None if b[0] is None else ((b[0] + b[1]) / 2, (b[2] + b[3]) / 2)
+
+
+def on_plane(samples: DataFrame, centre: tuple[float, float], undo: bool = False) -> DataFrame:
+    """Right ascensions drawn together around the centre by the cosine of its declination, so that distances in degrees
+    are the same along both axes; `undo` takes it back."""
+    c = float(np.cos(np.radians(centre[1])))
+    return samples.withColumn("ra", (F.col("ra") - centre[0]) * (1 / c if undo else c) + centre[0])
+
+
 def centred(samples: DataFrame, centre_ra: float, centre_dec: float) -> DataFrame:
     """Working coordinates: right ascension from the centre times cos(dec centre), declination from the centre."""
     c = float(np.cos(np.radians(centre_dec)))

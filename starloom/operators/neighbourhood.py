@@ -127,9 +127,9 @@ def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str
     return summarised(local, ["survey_id", "scan_id", "sample_id"], columns, "model double, gm_weight double, correlation double", combine, columns)
 
 
-def sampling_gap(samples: DataFrame, radius: float, least: float = 0.0, cap: float = 0.75, x: str = "ra", y: str = "dec", out: str = "theta_gap") -> DataFrame:
+def sampling_gap(samples: DataFrame, radius: float, least: float | str = 0.0, cap: float = 0.75, x: str = "ra", y: str = "dec", out: str = "theta_gap") -> DataFrame:
     """survey_id, scan_id, sample_id and the widest gap in radians around each sample: over eight directions, the
-    diameter of the largest empty circle that touches the sample; neighbours closer than `least` do not count,
+    diameter of the largest empty circle that touches the sample; neighbours closer than `least` (a number, or a column of the samples) do not count,
     and the gap is at most `cap` radii."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,11 +137,12 @@ def sampling_gap(samples: DataFrame, radius: float, least: float = 0.0, cap: flo
         near = _Near(px, py, radius)
         own = np.flatnonzero(pdf["own"].to_numpy(bool))
         gaps = []
+        limit = pdf[least].to_numpy(float) if isinstance(least, str) else np.full(len(px), least)
         axes = np.arange(8) * (np.pi / 4)
         c, t = np.cos(axes)[:, None], np.sin(axes)[:, None]
         for i in own:
             at, d = near.of(px[i], py[i])
-            at = at[d > least]
+            at = at[d > limit[i]]
             dx, dy = px[at] - px[i], py[at] - py[i]
             # all eight sectors at once: along and across each axis
             u, v = c * dx + t * dy, c * dy - t * dx
@@ -151,7 +152,7 @@ def sampling_gap(samples: DataFrame, radius: float, least: float = 0.0, cap: flo
             gaps.append(np.radians(min(widest, cap * radius)))
         return pdf.iloc[own][["survey_id", "scan_id", "sample_id"]].reset_index(drop=True).assign(**{out: gaps})
 
-    return by_cell(samples, radius, x, y, [], run, f"survey_id int, scan_id int, sample_id int, {out} double")
+    return by_cell(samples, radius, x, y, [least] if isinstance(least, str) else [], run, f"survey_id int, scan_id int, sample_id int, {out} double")
 
 
 def forced_gap(samples: DataFrame, gap: float, out: str = "theta_gap") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.grouped import with_survey
+from starloom.operators.grouped import SURVEYS, with_survey
+from starloom.sources.tables import written
 
 #: Columns of the telescope format whose negative values make a row unphysical.
 PHYSICAL = ("DURATION", "EXPOSURE", "TSYS", "TCAL", "LST", "ELEVATIO", "TAMBIENT", "PRESSURE", "HUMIDITY", "RESTFREQ", "FREQRES", "TRGTLONG", "MJD", "UTSECS")
@@ -32,11 +33,29 @@ def split_forty(raw: DataFrame) -> DataFrame:
     return ends.withColumns({"segment": segment, "scan_id": F.when(scan, F.col("section"))}).drop("first__")
 
 
-def split_daisy(raw: DataFrame, period: Column | float) -> DataFrame:
-    """Cuts the single sweep of a daisy into petals of half a period from its first sample on."""
-    begun = with_survey(raw, first__=F.min("t"))
-    petal = F.floor((F.col("t") - F.col("first__")) / (F.lit(period) / 2 if not isinstance(period, Column) else period / 2))
-    return begun.withColumns({"segment": F.lit("scan"), "scan_id": petal.cast("int")}).drop("first__")
+def split_daisy(raw: DataFrame, motion: DataFrame) -> DataFrame:
+    """Cuts the single sweep of each daisy into petals, scans from one farthest point to the next; calibration rows are
+    marked as in split_raster.
+
+    motion (levelling.daisy_motion) has a row a survey; a petal takes half its period. A cut is the farthest sample
+    of the stretch between half a petal before and after its expected time, the first of equal ones. A survey with a
+    single petal, or without a period, is one scan.
+    """
+    from starloom.functions.scalar import flat_distance
+
+    marked = split_raster(raw)
+    ends = marked.filter("segment = 'scan'").groupBy("survey_id").agg(F.min("t").alias("t0__"), F.max("t").alias("t1__"))
+    per = motion.select("survey_id", (F.col("period") / 2).alias("p__"), F.col("centre_ra").alias("x__"), F.col("centre_dec").alias("y__"))
+    per = written(ends.join(per, "survey_id").withColumn("n__", F.coalesce(F.round((F.col("t1__") - F.col("t0__")) / F.nanvl("p__", F.lit(None))), F.lit(1)).cast("int")), "petals")
+    j = marked.join(F.broadcast(per) if per.count() <= SURVEYS else per, "survey_id", "left")
+    shrink = F.cos(F.radians("y__"))
+    far = flat_distance(F.col("ra") * shrink, F.col("dec"), F.col("x__") * shrink, F.col("y__"))
+    stretch = F.floor((F.col("t") - F.col("t0__")) / F.col("p__") + 0.5).cast("int")
+    j = j.withColumns({"far__": far, "k__": F.when(F.col("segment") == "scan", F.when(F.col("n__") > 1, stretch).otherwise(0))})
+    cuts = j.filter("k__ between 1 and n__ - 1").groupBy("survey_id", "k__").agg(F.max_by("t", F.struct("far__", -F.col("t"))).alias("cut__"))
+    j = j.join(cuts, ["survey_id", "k__"], "left")
+    petal = F.when(F.col("k__") < 1, 0).when(F.col("k__") >= F.col("n__"), F.col("n__") - 1).otherwise(F.col("k__") - 1 + (F.col("t") >= F.col("cut__")).cast("int"))
+    return j.select(*[c for c in marked.columns if c != "scan_id"], F.when(F.col("segment") == "scan", petal).cast("int").alias("scan_id"))
 
 
 def usable_scans(samples: DataFrame, keep_ends: bool = False) -> DataFrame:

@@ -52,6 +52,28 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, low_high: tupl
     return j.filter(F.col(x).between(F.col(a), F.col(b)) & F.col(y).between(F.col(c), F.col(d))).drop("px__", "py__", "bx__", "by__")
 
 
+#: Columns of the lines of a survey's footprint (geometry.with_lines).
+LINES = [f"{edge}_{c}" for edge in ("low", "high", "first", "last") for c in ("at", "slope")]
+
+
+def inside_survey(x: Column, y: Column, trim: float = 0.0, lines: bool = False, suffix: str = "") -> Column:
+    """Whether a place lies in a survey's footprint (columns of geometry.footprint, with the suffix): within a daisy's
+    radius less the trim, else strictly inside the box, or with `lines` between both lines along the scans' ends and
+    between the first and the last scan. A line that could not be fitted does not count."""
+    c = lambda name: F.col(name + suffix)
+    box = (x > c("x_low")) & (x < c("x_high")) & (y > c("y_low")) & (y < c("y_high"))
+    if lines:
+        along, across = F.when(c("scans_in_ra"), x).otherwise(y), F.when(c("scans_in_ra"), y).otherwise(x)
+        at = lambda edge, u: c(f"{edge}_at") + c(f"{edge}_slope") * u
+        first, last = at("first", along), at("last", along)
+        between = (F.coalesce(along > at("low", across), F.lit(True)), F.coalesce(along < at("high", across), F.lit(True)))
+        crossed = F.coalesce((across > F.least(first, last)) & (across < F.greatest(first, last)) | first.isNull() | last.isNull(), F.lit(True))
+        closed = x.between(c("x_low"), c("x_high")) & y.between(c("y_low"), c("y_high"))
+        box = closed & between[0] & between[1] & crossed
+    far = F.sqrt((x - c("cx")) * (x - c("cx")) + (y - c("cy")) * (y - c("cy")))
+    return F.when(c("map_type") == "daisy", far < c("radius") - trim).otherwise(box)
+
+
 def nearest_in_neighbours(samples: DataFrame, along: str, carry: list[str]) -> DataFrame:
     """For every sample the nearest one, by `along`, in the previous and in the next scan of its survey.
 

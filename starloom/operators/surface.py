@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.operators.spatial import in_boxes, range_join
+from starloom.operators.spatial import LINES, in_boxes, inside_survey, range_join
 
 #: Width in beams of the cells in which pixels meet footprints.
 CELL_BEAMS = 8.0
@@ -159,11 +159,10 @@ def path_layer(samples: DataFrame, x: str, y: str, x0: float, y0: float, step: f
 def in_footprint(pixels: DataFrame, edges: DataFrame, beam: float, trim: float) -> DataFrame:
     """Pixels inside at least one survey: between a raster's edges in both axes, or within a daisy's radius less the trim.
 
-    `edges` has a row a survey (map_type, x_low, x_high, y_low, y_high, cx, cy, radius); its size is the number of surveys.
+    `edges` has a row a survey (map_type, x_low, x_high, y_low, y_high, cx, cy, radius, and the lines of
+    geometry.with_lines, if a raster's edges are to be slanted); its size is the number of surveys.
     """
-    raster = (F.col("px") > F.col("x_low")) & (F.col("px") < F.col("x_high")) & (F.col("py") > F.col("y_low")) & (F.col("py") < F.col("y_high"))
-    far = F.sqrt(F.pow(F.col("px") - F.col("cx"), F.lit(2)) + F.pow(F.col("py") - F.col("cy"), F.lit(2)))
-    inside = F.when(F.col("map_type") == "daisy", far < F.col("radius") - trim * beam).otherwise(raster)
+    inside = inside_survey(F.col("px"), F.col("py"), trim * beam, LINES[0] in edges.columns)
     # the box around each survey names the cells whose pixels are compared with it
     daisy = F.col("map_type") == "daisy"
     ends = {"a__": ("cx", "x_low", -1), "b__": ("cx", "x_high", 1), "c__": ("cy", "y_low", -1), "d__": ("cy", "y_high", 1)}

@@ -6,9 +6,12 @@ import argparse
 import tomllib
 from dataclasses import dataclass, field, fields
 
+from starloom.functions.scalar import DISHES
+
 CHANNELS = ("left", "right", "composite")
 RECEIVERS = ("hi", "lo")
-CALIBRATIONS = ("pre", "post", "interpolated", "none")
+CALIBRATIONS = ("pre", "post", "interpolated", "auto", "none")
+PATTERNS = ("raster", "daisy", "nodding", "drift")
 COORDINATES = ("equatorial", "galactic")
 SHIFTS = ("auto", "custom", "off")
 CENTROIDS = ("center", "brightest", "coordinates")
@@ -18,7 +21,13 @@ PRESETS = {"bright": 0.35, "faint": 0.7}
 
 @dataclass(frozen=True)
 class Job:
-    """One map. Scales are in beams; a scale of 0 and a stage's own skip flag both leave the stage out."""
+    """One map. Scales are in beams; a scale of 0 and a stage's own skip flag both leave the stage out.
+
+    pattern and telescope, left out, are what the first file's header says (raster and 20m, if it is silent). The
+    calibration `auto` interpolates the gain only where it drifts. gain_start and gain_end replace the noise signal's
+    heights in both channels; -999 is none. places are the sources' coordinates for the centroid `coordinates`.
+    large_scale adds a map of the background; fits writes every map as FITS too.
+    """
 
     filenames: tuple[str, ...] = ()
     output: str = "map"
@@ -40,11 +49,15 @@ class Job:
     inner_radius: float = 1.25
     outer_radius: float = 5.0
     centroid: str = "brightest"
+    places: tuple[tuple[float, float], ...] = ()
     sources: int = 1
     trim: float = 0.0
     large_scale: bool = False
     gain_start: float | None = None
     gain_end: float | None = None
+    pattern: str | None = None
+    telescope: str | None = None
+    fits: bool = False
     skip_time_shift: bool = False
     skip_background: bool = False
     skip_rfi: bool = False
@@ -54,6 +67,12 @@ class Job:
         for value, allowed in ((self.channel, CHANNELS), (self.receiver, RECEIVERS), (self.calibration, CALIBRATIONS), (self.coordinates, COORDINATES), (self.time_shift, SHIFTS), (self.centroid, CENTROIDS)):
             if value not in allowed:
                 raise ValueError(f"{value!r} is none of {', '.join(allowed)}")
+        if self.pattern is not None and self.pattern not in PATTERNS:
+            raise ValueError(f"{self.pattern!r} is none of {', '.join(PATTERNS)}")
+        if self.telescope is not None and self.telescope not in DISHES:
+            raise ValueError(f"{self.telescope!r} is none of {', '.join(DISHES)}")
+        if self.photometry and self.centroid == "coordinates" and not self.places:
+            raise ValueError("the centroid `coordinates` needs places")
         for name in ("background_scale", "rfi_scale", "weight_scale", "trim"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} is negative")
@@ -71,7 +90,7 @@ def from_mapping(settings: dict) -> Job:
     """A job from plain settings; names that no field has are kept in `extra`."""
     known = {f.name for f in fields(Job)}
     out = {k: v for k, v in settings.items() if k in known}
-    for k in ("include", "exclude"):
+    for k in ("include", "exclude", "places"):
         if k in out and out[k] and not isinstance(out[k][0], (list, tuple)):
             out[k] = _pairs(out[k])
         elif k in out:
@@ -107,6 +126,6 @@ def from_arguments(argv: list[str]) -> Job:
         elif "tuple" in str(f.type):
             p.add_argument(name, type=float, nargs="*", default=[])
         else:
-            p.add_argument(name, type={"int": int, "str": str}.get(str(f.type), float), default=None)
+            p.add_argument(name, type={"int": int, "str": str, "str | None": str}.get(str(f.type), float), default=None)
     found = {k: v for k, v in vars(p.parse_args(argv)).items() if v not in (None, [])}
     return from_mapping(found)

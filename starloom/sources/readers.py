@@ -142,7 +142,8 @@ def read_ascii(spark: SparkSession, path: str) -> DataFrame:
 def read_forty(spark: SparkSession, path: str, second: str | None = None) -> DataFrame:
     """Samples of 40-foot text files: three lines (time, declination, flux) a record; a `*` ends a section and `**` a
     calibration. Section 0 is calibration on, 1 off; later sections are scans 0, 1, ... (-1 for calibration).
-    A second file, line for line, gives the right channel.
+    A second file, line for line, gives the right channel. The telescope does not turn, so the sidereal time is the
+    right ascension.
     """
 
     def records(p: str, value: str) -> DataFrame:
@@ -165,11 +166,13 @@ def read_forty(spark: SparkSession, path: str, second: str | None = None) -> Dat
     rows = sticky_unwrap(rows, ["path"], "row_id", "t", 86400.0, "t__").withColumn("t", F.col("t__"))
     state = F.when(F.col("section") == 0, 1).when(F.col("section") == 1, 0).otherwise(-1)
     zero = F.lit(0.0)
-    return rows.select("path", "row_id", "t", zero.alias("ra"), "dec", zero.alias("az"), zero.alias("el"), "flux_l", "flux_r", F.lit(1.0).alias("dumps"), state.alias("cal_state"), F.greatest(F.col("section") - 2, F.lit(-1)).cast("int").alias("sweep"), (F.col("section") >= 2).cast("int").alias("valid"))
+    return rows.select("path", "row_id", "t", (F.col("t") / 3600).alias("ra"), "dec", zero.alias("az"), zero.alias("el"), "flux_l", "flux_r", F.lit(1.0).alias("dumps"), state.alias("cal_state"), F.greatest(F.col("section") - 2, F.lit(-1)).cast("int").alias("sweep"), (F.col("section") >= 2).cast("int").alias("valid"))
 
 
-def read_observation(spark: SparkSession, path: str) -> DataFrame:
-    """The reader a file's name asks for; other names raise."""
+def read_observation(spark: SparkSession, path: str, telescope: str | None = None) -> DataFrame:
+    """The reader a file's name asks for; other names raise. A text file of the 40 foot telescope is told by `telescope`."""
+    if telescope == "40ft" and ".fits" not in path:
+        return read_forty(spark, path)
     if ".fits" in path:
         return read_sdfits(spark, path)
     if ".txt" in path or ".md2" in path:
@@ -177,9 +180,35 @@ def read_observation(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"neither .fits nor .txt nor .md2: {path}")
 
 
-def read_observations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files, tagged by survey_id in their order."""
+def read_observations(spark: SparkSession, paths: list[str], telescope: str | None = None) -> DataFrame:
+    """All files, tagged by survey_id in their order. Two text files of the 40 foot telescope are the channels of one survey."""
     from functools import reduce
 
-    frames = [read_observation(spark, p).withColumn("survey_id", F.lit(i)) for i, p in enumerate(paths)]
+    if telescope == "40ft" and len(paths) == 2 and ".fits" not in paths[0] + paths[1]:
+        return read_forty(spark, *paths).withColumn("survey_id", F.lit(0))
+    frames = [read_observation(spark, p, telescope).withColumn("survey_id", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def describe(spark: SparkSession, path: str) -> dict:
+    """telescope, frequency (GHz, corrected by year), map_type and scans_in_ra of an observation, as far as its header says."""
+    from starloom.functions.scalar import map_pattern
+    from starloom.operators.segment import corrected_frequency
+
+    out: dict = {}
+    if ".fits" in path:
+        head = dict(read_headers(spark, path).first()["header"])
+        out["telescope"] = telescope(head)
+        if "OBSFREQ" in head:
+            year = observation_year(head["DATE"]) if "DATE" in head else 9999
+            out["frequency"] = corrected_frequency(float(head["OBSFREQ"]) / 1000, year)
+        mode = head.get("OBSMODE")
+    else:
+        row = read_ascii_header(spark, path).first()
+        out, mode = {"telescope": "20m"}, row and row["scan_type"]
+        if row and row["frequency"] is not None:
+            out["frequency"] = row["frequency"]
+    if mode:
+        kind = spark.range(1).select(map_pattern(F.lit(mode)).alias("k")).first()["k"]
+        out["map_type"] = kind["map_type"]
+    return out

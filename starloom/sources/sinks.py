@@ -47,6 +47,20 @@ def write_fits(pixels: DataFrame, path: str, cards: dict, layers: tuple[str, ...
         f.write(fits.image_file(out, cards))
 
 
+def job_cards(job, beam: float, frequency: float) -> dict:
+    """The settings of a job that its map's RC cards tell."""
+    kept = ("channel", "receiver", "calibration", "coordinates", "pattern", "telescope", "background_scale", "rfi_scale", "weight_scale", "pixel_scale", "time_shift", "trim")
+    short = {"background_scale": "bgscal", "rfi_scale": "rfiscl", "weight_scale": "wscale", "pixel_scale": "pixscl", "calibration": "calib", "coordinates": "coord", "time_shift": "tshift", "telescope": "telesc", "receiver": "recvr", "pattern": "patrn", "channel": "chan"}
+    return {short.get(k, k): getattr(job, k) for k in kept if getattr(job, k) is not None} | {"beam": beam, "freq": frequency}
+
+
+def write_map_file(pixels: DataFrame, path: str, step: float, settings: dict) -> None:
+    """A job's map with world coordinates and its settings as one FITS file."""
+    b = pixels.agg(F.max("x_pix"), F.min("px"), F.min("py")).first()
+    if b[0] is not None:
+        write_fits(pixels, path, map_cards(step, b[1], b[2], b[0] + 1, **settings))
+
+
 def write_report(rows: dict, path: str) -> None:
     """Settings and results of a job, one tab-separated line each."""
     with open(path, "w") as f:
