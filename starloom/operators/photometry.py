@@ -81,23 +81,24 @@ def top_sources(pixels: DataFrame, k: int, radius: float) -> list[tuple[float, f
     return found
 
 
-def centred_sources(pixels: DataFrame, sources: DataFrame, radius: float, beam: float, weight_scale: float = 1 / 3, rounds: int = 5) -> DataFrame:
+def centred_sources(pixels: DataFrame, sources: DataFrame, radius: float, beam: float, kernel_scale: float = 1.0, rounds: int = 5) -> DataFrame:
     """Sources moved, `rounds` times, to the stationary point of the weighted quadratic through the map around them.
 
-    A step to a place outside the radius, or none, leaves a source where it is. Each round's few rows are written, as
-    the next one uses them twice.
+    The kernel is as wide as the beam: with the map's own narrow one a first place half a beam away is lost. A step that would leave the radius around
+    the first place, or none, leaves a source where it is. Each round's few rows are written, as the next one uses them twice.
     """
     from starloom.operators.surface import kernel
     from starloom.sources.tables import written
 
     known = pixels.filter(F.col("flux").isNotNull() & ~F.isnan("flux")).select("px", "py", "flux")
+    sources = sources.select("source_id", "sx", "sy", F.col("sx").alias("sx0__"), F.col("sy").alias("sy0__"))
     for _ in range(rounds):
-        near = _around(known, sources, min(radius, beam)).withColumns({"dx": F.col("px") - F.col("sx"), "dy": F.col("py") - F.col("sy"), "w__": kernel(F.col("distance"), beam, weight_scale)})
+        near = _around(known, sources, min(radius, beam)).withColumns({"dx": F.col("px") - F.col("sx"), "dy": F.col("py") - F.col("sy"), "w__": kernel(F.col("distance"), beam, kernel_scale)})
         step = centroid(near, ["source_id"], "dx", "dy", "flux", "w__").withColumnRenamed("source_id", "s__")
-        sound = F.coalesce(F.sqrt(F.col("dx0") ** 2 + F.col("dy0") ** 2) <= radius, F.lit(False))
+        sound = F.coalesce(F.sqrt((F.col("sx") + F.col("dx0") - F.col("sx0__")) ** 2 + (F.col("sy") + F.col("dy0") - F.col("sy0__")) ** 2) <= radius, F.lit(False))
         moved = sources.join(step, F.col("source_id") == F.col("s__"), "left")
-        sources = written(moved.select("source_id", *[(F.col(c) + F.when(sound, F.col(d)).otherwise(0.0)).alias(c) for c, d in (("sx", "dx0"), ("sy", "dy0"))]), "places")
-    return sources
+        sources = written(moved.select("source_id", "sx0__", "sy0__", *[(F.col(c) + F.when(sound, F.col(d)).otherwise(0.0)).alias(c) for c, d in (("sx", "dx0"), ("sy", "dy0"))]), "places")
+    return sources.select("source_id", "sx", "sy")
 
 
 def annulus(pixels: DataFrame, sources: DataFrame, inner: float, outer: float) -> DataFrame:

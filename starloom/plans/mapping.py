@@ -165,7 +165,7 @@ def source_table(pixels: DataFrame, job: Job, beam: float) -> DataFrame:
         near = pixels.agg(*[F.min_by(F.struct("px", "py"), F.struct(far(a, d), "y_pix", "x_pix")).alias(f"p{i}") for i, (a, d) in enumerate(job.places)]).first()
         found = [(p["px"], p["py"]) for p in near if p is not None]
     sources = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(found)], "source_id int, sx double, sy double")
-    sources = photometry.centred_sources(pixels, sources, job.inner_radius * beam, beam, job.weight_scale)
+    sources = photometry.centred_sources(pixels, sources, job.inner_radius * beam, beam)
     return photometry.photometry(pixels, sources, job.inner_radius * beam, job.outer_radius * beam, beam, 0.0 if job.skip_rfi else job.rfi_scale, job.weight_scale, job.pixel_scale)
 
 

@@ -55,10 +55,17 @@ def job_cards(job, beam: float, frequency: float) -> dict:
 
 
 def write_map_file(pixels: DataFrame, path: str, step: float, settings: dict) -> None:
-    """A job's map with world coordinates and its settings as one FITS file."""
-    b = pixels.agg(F.max("x_pix"), F.min("px"), F.min("py")).first()
-    if b[0] is not None:
-        write_fits(pixels, path, map_cards(step, b[1], b[2], b[0] + 1, **settings))
+    """A job's map with world coordinates, their reference at the middle pixel, and its settings as one FITS file."""
+    b = pixels.agg(F.max("x_pix").alias("x"), F.max("y_pix").alias("y")).first()
+    if b["x"] is None:
+        return
+    x, y = b["x"] // 2, b["y"] // 2
+    # a map has a row a pixel of its footprint, so the nearest one to the middle stands for it
+    m = pixels.select("x_pix", "y_pix", "ra", "dec").orderBy((F.col("x_pix") - x) ** 2 + (F.col("y_pix") - y) ** 2, "y_pix", "x_pix").first()
+    cards = map_cards(step, m["ra"], m["dec"], b["x"] + 1, **settings) | {"CRPIX1": float(b["x"] + 1 - m["x_pix"]), "CRPIX2": float(m["y_pix"] + 1)}
+    if settings.get("coord") == "galactic":
+        cards |= {"CTYPE1": "GLON-TAN", "CTYPE2": "GLAT-TAN"}
+    write_fits(pixels, path, cards)
 
 
 def write_report(rows: dict, path: str) -> None:
