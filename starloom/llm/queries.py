@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, pieces, quality, secrets, substring
+from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, periodic, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,4 +91,35 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """documents as the periodic query reads them: where crc32(doc_id) is a multiple of ten, the words from some place on repeat the
+    first few of them. A null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), times)), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), tail), " ")).otherwise("")
+
+    words = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left when each is cut to its first period."""
+    found = periodic.collapse(_with_repeats(_documents(spark, sf_dir).select("doc_id", "text")), carry=["doc_id"])
+    best, line = F.col("periodic.best"), lambda r: F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period")))
+    lines = F.array_join(F.transform("periodic.runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+        F.col("periodic.n_words").alias("n_words"),
+    )
+
+
 ORACLES["op2_license_scan"] = licenses.oracle()
