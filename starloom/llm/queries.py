@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, html, huffman, licenses, neardup, packing, periodic, pieces, quality, secrets, substring
+from starloom.llm import alignment, fingerprint, html, huffman, licenses, neardup, packing, periodic, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,4 +122,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of byte-level and piece tokens that end together in every document, and how often their links occur in all of them."""
+    found = alignment.corpus_links(_documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"], digests=True)
+    return found.select("doc_id", *(f"aligned.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")))
+
+
 ORACLES["op2_license_scan"] = licenses.oracle()
