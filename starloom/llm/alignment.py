@@ -16,7 +16,9 @@ lists, an empty digest. Repeated rows are documents of their own, and their link
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from starloom.llm.text import buffers, packed_words, ragged, strings
 #: Rows of the table of link counts that may be broadcast (16 bytes of content each).
 MOST_PAIRS = 2_000_000
 #: Units up to so many bytes are remembered, in two generations of at most CACHE.
-LONGEST, CACHE = 64, 60_000
+LONGEST, CACHE = 64, 100_000
 #: White space before which no token of either tokeniser reaches back, and the characters that send a text whole to both libraries:
 #: other white space, B's space mark and NUL.
 _CUT = np.zeros(256, dtype=bool)
@@ -79,106 +81,97 @@ def shared_groups(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray,
     return cuts, a.rank(cuts), b.rank(cuts)
 
 
+class Aligned:
+    """The tokens, groups and links of distinct units, one after another; `*_at` holds where each unit's begin (one more entry than units)."""
+
+    def __init__(self, pair: Pair, data: np.ndarray, unit_at: np.ndarray, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray):
+        self.valid = _spells(pair.a_bytes, a, a_at, data, unit_at) & _spells(pair.b_bytes, b, b_at, data, unit_at)
+        for ok, name, ids, at in ((self.valid, "a", a, a_at), (self.valid, "b", b, b_at)):
+            size = np.where(ok, np.diff(at), 0)
+            setattr(self, name, ids[ragged(at[:-1], size)])
+            setattr(self, name + "_at", np.concatenate([[0], np.cumsum(size)]))
+        a, b = self.a, self.b
+        cuts, a_end, b_end = shared_groups(pair.a_size[a], pair.b_size[b])
+        self.group_at = np.searchsorted(a_end, self.a_at, side="right")
+        self.groups = (a_end, b_end)
+        na, nb = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+        if pair.link == "groups":
+            count = na * nb
+            k, width = ragged(np.zeros(len(count), dtype=np.int64), count), np.repeat(nb, count)
+            self.links = a[np.repeat(a_end - na, count) + k // width] * pair.base + b[np.repeat(b_end - nb, count) + k % width]
+        else:
+            count = np.ones(len(a_end), dtype=np.int64)
+            self.links = a[a_end - 1] * pair.base + b[b_end - 1]
+        self.link_at = np.concatenate([[0], np.cumsum(count)])[self.group_at]
+
+    def ends(self, which: int) -> np.ndarray:
+        """A or B tokens of the unit up to the end of each group."""
+        return self.groups[which] - np.repeat((self.a_at, self.b_at)[which][:-1], np.diff(self.group_at))
+
+    def shown(self, pair: Pair) -> pa.Array:
+        """Each unit's groups as "a1,a2|b1;"."""
+        (a_end, b_end), a, b = self.groups, self.a, self.b
+        a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        a_last[a_end - 1], b_last[b_end - 1] = 1, 1
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.concatenate([[0], b_end])[np.cumsum(a_last) - a_last]] = a + len(pair.a_size) * a_last
+        order[np.arange(len(b)) + a_end[np.cumsum(b_last) - b_last]] = 2 * len(pair.a_size) + b + pair.base * b_last
+        text = pair.shown.take(pa.array(order))
+        at = np.frombuffer(text.buffers()[1], np.int64)[self.a_at + self.b_at]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.valid), [None, pa.py_buffer(at), text.buffers()[2]])
+
+
+def _spells(table: pa.Array, ids: np.ndarray, at: np.ndarray, data: np.ndarray, unit_at: np.ndarray) -> np.ndarray:
+    """Which units' tokens, joined, are the unit's bytes."""
+    said = table.take(pa.array(ids))
+    place = np.frombuffer(said.buffers()[1], np.int64)[at]
+    ok = np.diff(place) == np.diff(unit_at)
+    size = np.where(ok, np.diff(place), 0)
+    body = np.frombuffer(said.buffers()[2], np.uint8) if said.buffers()[2] is not None else np.zeros(0, np.uint8)
+    other = np.flatnonzero(body[ragged(place[:-1], size)] != data[ragged(unit_at[:-1], size)])
+    ok[np.searchsorted(np.cumsum(size), other, side="right")] = False
+    return ok
+
+
 class Pair:
-    """Two tokenisers and the alignments of recent units."""
+    """Two tokenisers and the ids of recent units."""
 
     def __init__(self, paths: tuple[str, str, str]):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         a_path, b_path, self.link = paths
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.encode_a, spelled = _byte_level(a_path)
         self.b = pieces.Model(b_path)
         self.base = self.b.lib.get_piece_size()
-        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [x for x in range(256) if x not in shown]
-        byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
-        size = self.a.get_vocab_size()
-        spelled = (self.a.id_to_token(i) or "" for i in range(size))
-        self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in spelled]
         own = self.b.lib
-        self.b_bytes = [
+        shown = [
             b"" if own.is_control(i) or own.is_unknown(i) else bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode()
             for i in range(self.base)
         ]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_bytes, self.b_bytes = pa.array(spelled, pa.large_binary()), pa.array(shown, pa.large_binary())
+        self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (spelled, shown))
         # "id," and "id|" of A's ids, then "id," and "id;" of B's
-        self.shown = pa.array([b"%d%c" % (i, end) for n, ends in ((size, b",|"), (self.base, b",;")) for end in ends for i in range(n)], pa.large_binary())
+        self.shown = pa.array([b"%d%c" % (i, end) for n, ends in ((len(spelled), b",|"), (self.base, b",;")) for end in ends for i in range(n)], pa.large_binary())
         self.young, self.old = {}, {}
 
-    def _aligned(self, units: list[str], whole: bool) -> list[tuple]:
-        """(valid, A ids, B ids, A and B tokens up to each group's end, shown groups, links) of each unit, all as bytes but the first."""
-        found = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
+    def _encoded(self, units: list[str], whole: bool = False) -> list[tuple[bytes, bytes]]:
         lib = self.b.lib
         other = lib.encode([u[1:] for u in units], num_threads=1) if whole else [x[self.b.lead :] for x in lib.encode(["\n" + u for u in units], num_threads=1)]
-        good = [(b"".join([self.a_bytes[i] for i in x]) == (want := u.encode())) and b"".join([self.b_bytes[i] for i in y]) == want for u, x, y in zip(units, found, other)]
-        a = np.array([i for x, g in zip(found, good) if g for i in x], dtype=np.int64)
-        b = np.array([i for y, g in zip(other, good) if g for i in y], dtype=np.int64)
-        bad = (False, b"", b"", b"", b"", b"", b"")
-        if not len(a):
-            return [bad] * len(units)
-        _, a_end, b_end = shared_groups(self.a_size[a], self.b_size[b])
-        # A's tokens of a group, then B's: places in one sequence
-        order = np.empty(len(a) + len(b), dtype=np.int64)
-        a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-        a_last[a_end - 1], b_last[b_end - 1] = 1, 1
-        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
-        a_at, b_at = np.arange(len(a)) + np.concatenate([[0], b_end])[a_group], np.arange(len(b)) + a_end[b_group]
-        n = len(self.a_bytes)
-        order[a_at] = a + n * a_last
-        order[b_at] = 2 * n + b + self.base * b_last
-        text = self.shown.take(pa.array(order))
-        place = np.frombuffer(text.buffers()[1], np.int64)
-        shown = text.buffers()[2].to_pybytes()
-        # group by group, every pair of its tokens or the two that end it
-        if self.link == "groups":
-            na, nb = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
-            count = na * nb
-            k = ragged(np.zeros(len(count), dtype=np.int64), count)
-            width = np.repeat(nb, count)
-            links = a[np.repeat(a_end - na, count) + k // width] * self.base + b[np.repeat(b_end - nb, count) + k % width]
-        else:
-            count = np.ones(len(a_end), dtype=np.int64)
-            links = a[a_end - 1] * self.base + b[b_end - 1]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        out, i, j, g = [], 0, 0, 0
-        a32, b32 = a.astype(np.int32), b.astype(np.int32)
-        ends = np.searchsorted(a_end, np.cumsum([len(x) for x, ok in zip(found, good) if ok]))
-        ends = iter((ends + 1).tolist())
-        for x, y, ok in zip(found, other, good):
-            if not ok:
-                out.append(bad)
-                continue
-            h = next(ends)
-            p, q = i + len(x), j + len(y)
-            out.append((True, a32[i:p].tobytes(), b32[j:q].tobytes(), (a_end[g:h] - i).astype(np.int32).tobytes(), (b_end[g:h] - j).astype(np.int32).tobytes(), shown[place[i + j] : place[p + q]], links[upto[g] : upto[h]].tobytes()))
-            i, j, g = p, q, h
-        return out
-
-    def lookup(self, units: list[str]) -> list[tuple]:
+        return [(array("i", self.encode_a(u)).tobytes(), array("i", y).tobytes()) for u, y in zip(units, other)]
+
+    def lookup(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """A's and B's ids, as int32 bytes, of units where no token of either reaches across their ends."""
         if len(self.young) + len(units) > CACHE:
             self.young, self.old = {}, self.young
-        young, old, new, long_ = self.young, self.old, [], {}
-        for u in units:
-            if u not in young:
-                if u in old:
-                    young[u] = old[u]
-                elif len(u) <= LONGEST:
-                    new.append(u)
-                else:
-                    long_[u] = None
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            young.update(zip(part, self._aligned(part, False)))
-        if long_:
-            long_ = dict(zip(long_, self._aligned(list(long_), False)))
-            return [young[u] if u in young else long_[u] for u in units]
-        return [young[u] for u in units]
-
-    def align(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple], np.ndarray, np.ndarray]:
-        """Unit numbers of all texts one after another, the units' alignments, where each text's units begin, and which texts have tokens."""
+        young, old = self.young, self.old
+        found = [young.get(u) or old.get(u) for u in units]
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            for k, x in zip(new, self._encoded([units[k] for k in new])):
+                found[k] = x
+        young.update((u, x) for u, x in zip(units, found) if len(u) <= LONGEST)
+        return found
+
+    def align(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Aligned]:
+        """Unit numbers of all texts that have tokens, where each text's begin, and the units."""
         data, offsets = buffers(texts)
         size = np.diff(offsets)
         padded = np.insert(data, offsets[:-1][size > 0], 32)
@@ -186,40 +179,60 @@ class Pair:
         white = _WHITE[padded]
         cut = np.zeros(len(padded) + 1, dtype=bool)
         cut[1:-1] = _CUT[padded[1:]] & ~white[:-1]
-        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _ODD)))
-        if not self.b.splits:
-            odd = np.flatnonzero(size > 0)
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _ODD))) if self.b.splits else np.flatnonzero(size > 0)
         for t in odd:
             cut[bounds[t] : bounds[t + 1]] = False
         cut[bounds] = True
         edge = np.flatnonzero(cut)
         starts, ends = edge[:-1], edge[1:]
         at = np.searchsorted(starts, bounds)
-        coded = packed_words(padded, starts, ends).dictionary_encode()
-        code = np.asarray(coded.indices, dtype=np.int64).copy()
-        units = coded.dictionary.to_pylist()
-        if len(odd):
-            # texts that go whole are the last units of the list
-            own = np.zeros(len(code), dtype=bool)
-            own[at[odd]] = True
-            used = np.unique(code[~own])
-            seat = np.zeros(len(units), dtype=np.int64)
-            seat[used] = np.arange(len(used))
-            wholes = [units[k] for k in code[own]]
-            code[~own] = seat[code[~own]]
-            code[own] = len(used) + np.arange(len(wholes))
-            entries = self.lookup([units[k] for k in used.tolist()]) + self._aligned(wholes, True)
-        else:
-            entries = self.lookup(units)
-        valid = np.fromiter((e[0] for e in entries), bool, len(entries))
-        bad = np.concatenate([[0], np.cumsum(~valid[code])])[at]
-        return code, entries, at, (size > 0) & (np.diff(bad) == 0)
-
-
-def _blobs(entries: list[tuple], which: int, code: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
-    """The units' blobs one after another, and the bytes before each unit."""
-    found = pa.array([e[which] for e in entries], pa.large_binary()).take(pa.array(code))
-    return found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64)[: len(code) + 1]
+        # texts that go whole are the last units
+        whole = np.zeros(len(starts), dtype=bool)
+        whole[at[odd]] = True
+        coded = packed_words(padded, starts[~whole], ends[~whole]).dictionary_encode()
+        units = coded.dictionary.cast(pa.large_string()).to_pylist()
+        code = np.empty(len(starts), dtype=np.int64)
+        code[~whole] = np.asarray(coded.indices)
+        code[whole] = len(units) + np.arange(len(odd))
+        wholes = packed_words(padded, starts[whole], ends[whole])
+        ids = self.lookup(units) + self._encoded(wholes.to_pylist(), True)
+        flat, places = buffers(pa.concat_arrays([coded.dictionary.cast(pa.large_string()), wholes]))
+        lists = []
+        for blobs in zip(*ids) if ids else ((), ()):
+            n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            lists += [np.frombuffer(b"".join(blobs), np.int32).astype(np.int64), np.concatenate([[0], np.cumsum(n)])]
+        units = Aligned(self, flat, places, *lists)
+        bad = np.concatenate([[0], np.cumsum(~units.valid[code])])[at]
+        good = np.diff(bad) == 0
+        return code[np.repeat(good, np.diff(at))], np.concatenate([[0], np.cumsum(np.where(good, np.diff(at), 0))]), units
+
+
+def _byte_level(path: str):
+    """The encoding of one string by a byte-level vocabulary, its special tokens' strings being plain text, and the bytes of each id.
+
+    Where every merge makes the id that follows the one before, ranks alone give the same ids, and the quicker library encodes.
+    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
+    spelled = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in (tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size()))]
+    with open(path, "rb") as f:
+        stated = json.load(f)
+    model, before = stated["model"], stated.get("pre_tokenizer") or {}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", ())]
+    ranked = [model["vocab"].get(m) for m in merges] == [*range(256, 256 + len(merges))] and not stated.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+    if not ranked:
+        return lambda u: tokenizer.encode(u, add_special_tokens=False).ids, spelled
+    ranks = {spelled[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, spelled
 
 
 _LISTS = ("a_ids", "b_ids", "a_ends", "b_ends")
@@ -234,44 +247,31 @@ def _pair(paths: tuple[str, str, str]) -> Pair:
 
 
 def _computed(paths: tuple[str, str, str], text: str, digests: bool):
-    def items(entries, which, code, at, valid, kind):
-        """The valid texts' numbers, and their list offsets."""
-        raw, before = _blobs(entries, which, code)
-        flat = np.frombuffer(raw, kind) if raw is not None and len(raw) else np.zeros(0, kind)
-        edge = before[at] // np.dtype(kind).itemsize
-        sizes = np.where(valid, np.diff(edge), 0)
-        return flat[ragged(edge[:-1][valid], sizes[valid])], np.concatenate([[0], np.cumsum(sizes)]), before
-
-    def listed(flat, bounds, kind):
-        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat, kind)).cast(pa.list_(kind))
+    def gathered(flat, unit_at, code, at, kind):
+        """The lists of all texts, from those of the units."""
+        found = pa.LargeListArray.from_arrays(pa.array(unit_at), pa.array(flat, kind)).take(pa.array(code))
+        bounds = np.frombuffer(found.buffers()[1], np.int64)[at] if len(code) else at
+        return pa.LargeListArray.from_arrays(pa.array(bounds), found.values).cast(pa.list_(kind))
 
     def compute(batch: pa.RecordBatch) -> list:
         pair = _pair(paths)
-        code, entries, at, valid = pair.align(strings(batch.column(text)))
-        if not entries:
-            n = len(valid)
-            return [[0] * n] * 3 + ([[""] * n] if digests else [[[]] * n] * 4) + [[[]] * n]
-        links = listed(*items(entries, 6, code, at, valid, np.int64)[:2], pa.int64())
-        counts = []
-        for which in (1, 2, 3):
-            size = np.fromiter((len(e[which]) // 4 for e in entries), np.int64, len(entries))
-            counts.append(np.where(valid, np.diff(np.concatenate([[0], np.cumsum(size[code])])[at]), 0))
+        code, at, units = pair.align(strings(batch.column(text)))
+        counts = [np.diff(np.concatenate([[0], np.cumsum(np.diff(x)[code])])[at]) for x in (units.a_at, units.b_at, units.group_at)]
+        links = gathered(units.links, units.link_at, code, at, pa.int64())
         if digests:
-            raw, before = _blobs(entries, 5, code)
-            view, edge = memoryview(raw) if raw is not None else memoryview(b""), before[at]
-            return [*counts, [hashlib.sha256(view[a : b - 1]).hexdigest() if ok else "" for a, b, ok in zip(edge[:-1], edge[1:], valid)], links]
-        lists = []
-        for which in (1, 2, 3, 4):
-            flat, bounds, before = items(entries, which, code, at, valid, np.int32)
-            if which > 2:
-                # ends within a unit become ends within the text
-                tokens_ = np.fromiter((len(e[which - 2]) // 4 for e in entries), np.int64, len(entries))[code]
-                upto = np.concatenate([[0], np.cumsum(tokens_)])
-                groups = np.diff(before) // 4
-                shift = np.repeat(upto[:-1] - np.repeat(upto[at[:-1]], np.diff(at)), groups)
-                keep = np.repeat(np.repeat(valid, np.diff(at)), groups)
-                flat = flat + shift[keep].astype(np.int32)
-            lists.append(listed(flat, bounds, pa.int32()))
+            shown = units.shown(pair).take(pa.array(code))
+            view = memoryview(shown.buffers()[2]) if len(code) else memoryview(b"")
+            edge = np.frombuffer(shown.buffers()[1], np.int64)[at].tolist() if len(code) else at.tolist()
+            return [*counts, [hashlib.sha256(view[i : j - 1]).hexdigest() if i < j else "" for i, j in zip(edge, edge[1:])], links]
+        lists = [gathered(x.astype(np.int32), x_at, code, at, pa.int32()) for x, x_at in ((units.a, units.a_at), (units.b, units.b_at))]
+        for which, unit_at in enumerate((units.a_at, units.b_at)):
+            # ends within a unit become ends within the text
+            n = np.diff(unit_at)[code]
+            upto = np.cumsum(n) - n
+            first = np.concatenate([upto, [0]])[at[:-1]] if len(code) else np.zeros(len(at) - 1, dtype=np.int64)
+            shift = np.repeat(upto - np.repeat(first, np.diff(at)), np.diff(units.group_at)[code])
+            own = gathered(units.ends(which).astype(np.int32), units.group_at, code, at, pa.int32())
+            lists.append(pa.ListArray.from_arrays(own.offsets, pa.array((np.asarray(own.values) + shift).astype(np.int32))))
         return [*counts, *lists, links]
 
     return compute
