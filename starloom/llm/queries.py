@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import alignment, fingerprint, html, huffman, licenses, neardup, packing, periodic, pieces, quality, secrets, substring
+from starloom.llm import alignment, fingerprint, html, huffman, licenses, markov, neardup, packing, periodic, pieces, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,4 +129,11 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"aligned.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")))
 
 
+@_query
+def op11_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a hidden Markov model and a smoothed unigram of the training documents."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", markov.held_out("doc_id").alias("held_out"))
+    return markov.score(docs, carry=["doc_id", "held_out"]).select("doc_id", "held_out", *(f"score.{f.name}" for f in markov.FIELDS))
+
+
 ORACLES["op2_license_scan"] = licenses.oracle()
