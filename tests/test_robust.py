@@ -102,3 +102,48 @@ def test_line_is_robust_above_400_points():
     more = rcr.LinearModel(x[:401], y[:401])
     more(np.ones(401, bool))
     assert abs(few.slope - more.slope) < 1e-3
+
+
+@pytest.mark.parametrize("kind", ["plain", "weights", "equal x", "steps"])
+@pytest.mark.parametrize("n", [40, 300, 2000])
+def test_counted_pairs_equal_listed_pairs(n, kind):
+    """The line from counted pairs, of which a hundredth may be listed, is the one from a list of all."""
+    rng = np.random.default_rng(n)
+    x = np.repeat(np.arange(n // 2 + 1.0), 2)[:n] if kind == "equal x" else np.sort(rng.uniform(-3, 40, n))
+    y = 4 + 0.5 * x + rng.normal(0, 0.2, n)
+    if kind == "steps":
+        y = np.round(y)
+    y[::3] += 0.4 * x[::3] + 5
+    w = rng.integers(1, 6, n).astype(float) if kind == "weights" else np.ones(n)
+    all_, few = rcr.LinearModel(x, y, w, listed=10**9), rcr.LinearModel(x, y, w, listed=max(100, n * n // 200))
+    keep = np.arange(n) % 11 > 0
+    all_(keep)
+    few(keep)
+    assert (few.slope, few.intercept) == pytest.approx((all_.slope, all_.intercept), rel=1e-9, abs=1e-9)
+
+
+def test_exact_lines_and_constant_points_from_counted_pairs():
+    x = np.arange(200.0)
+    for y, slope in ((3 + 2 * x, 2.0), (np.full(200, 7.0), 0.0)):
+        m = rcr.LinearModel(x, y, listed=500)
+        m(np.ones(200, bool))
+        assert m.slope == pytest.approx(slope, abs=1e-9) and m.at(0.0) == pytest.approx(y[0], abs=1e-6)
+    m = rcr.LinearModel(np.zeros(100), np.arange(100.0), listed=500)
+    m(np.ones(100, bool))
+    assert (m.slope, m.intercept) == (0.0, 49.5)
+
+
+def test_pairs_are_counted_in_bounded_memory():
+    """8,000 points have 32 million pairs, half a gigabyte as a list of values and weights."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.uniform(0, 100, 8000))
+    y = 4 + 0.5 * x + rng.normal(0, 0.2, 8000)
+    y[::3] += 0.4 * x[::3] + 5
+    m = rcr.LinearModel(x, y)
+    tracemalloc.start()
+    m(np.ones(8000, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and abs(m.slope - 0.5) < 0.01
