@@ -24,8 +24,10 @@ as far as it goes; nothing is cut at any length; equal pages give equal rows.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,7 +69,10 @@ _TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote br html body main a
 #: Elements that hold paragraphs; a line belongs to the innermost open one.
 _CONTAINERS = frozenset("html body main article section div td th center details".split())
 _REPLY = re.compile(r"(?:comments?|reply|replies)(?:[-_]\w+)*", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What a tag holds up to its end, quoted parts whole; the match never steps back.
+_INSIDE = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+")
+_QUOTES = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -136,10 +141,71 @@ class Lines:
         self.blank = max(self.p.gap, self.p.window)
 
 
+class _Tags:
+    """The markup of a page, found in one pass: comments, declarations and tags; what never closes is text.
+
+    A tag ends at the first > outside quotes, or at its first > where its quotes never close. Where they do not, the ends for all
+    further places are worked out once, from the page's last quote back to its first, so broken pages take no longer than others."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def _unquoted(self, at: int) -> int:
+        """The first > outside quotes from here on, -1 if there is none."""
+        if self.places is None:
+            stop = _INSIDE.match(self.page, at).end()
+            if stop < len(self.page) and self.page[stop] == ">":
+                return stop
+            self.places = [m.start() for m in _QUOTES.finditer(self.page, at)]
+            self.ends = [-1] * (len(self.places) + 1)
+            after: dict[str, int] = {}
+            for k in range(len(self.places) - 1, -1, -1):
+                c = self.page[self.places[k]]
+                self.ends[k] = self.places[k] if c == ">" else self.ends[after[c] + 1] if c in after else -1
+                after[c] = k
+        return self.ends[bisect.bisect_left(self.places, at)]
+
+    def __iter__(self):
+        """(begin, end, whether it closes an element, name, attributes); the name is empty for what is not a tag."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!--", "<![CDATA["), at):
+                mark = "-->" if page[at + 2] == "-" else "]]>"
+                end = page.find(mark, at + (4 if mark == "-->" else 9))
+                end = len(page) if end < 0 else end + 3
+                at = (yield at, end, False, "", "") or end
+                continue
+            if at > self.last:
+                at += 1
+                continue
+            closing = page.startswith("/", at + 1)
+            m = _NAME.match(page, at + 1 + closing)
+            if m is None:
+                if page.startswith(("!", "?"), at + 1):
+                    end = page.index(">", at) + 1
+                    at = (yield at, end, False, "", "") or end
+                else:
+                    at += 1
+                continue
+            end = self._unquoted(m.end())
+            end = (page.index(">", m.end()) if end < 0 else end) + 1
+            at = (yield at, end, closing, m[0].lower(), page[m.end() : end - 1]) or end
+
+
 def _clean(parts: list[str]) -> str:
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
 
 
+def _next(tags, at: int):
+    """The next piece of markup from here on."""
+    try:
+        return tags.send(at)
+    except StopIteration:
+        return None
+
+
 def lines(page: str, p: Params = Params()) -> Lines:
     """The page's lines (see Lines)."""
     out = Lines(p)
@@ -154,27 +220,33 @@ def lines(page: str, p: Params = Params()) -> Lines:
         text.clear()
         linked.clear()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else n
+    at, n, opened = 0, len(page), Counter()
+    tags = iter(_Tags(page))
+    found = next(tags, None)
+    while True:
+        stop = found[0] if found else n
         if not skip and stop > at:
             text.append(page[at:stop])
             if links:
                 linked.append(page[at:stop])
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        _, at, closing, name, attributes = found
+        if name in RAW and not closing:
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+        found = _next(tags, at)
         if not name:
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+        if closing:
+            # only names that are open are looked for, and what is passed over is closed, so all searches together take one step an element
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None) if opened[name] else None
             if depth is not None:
                 if name in BLOCKS and not skip:
                     close()
                 for element, around, scope, _ in reversed(stack[depth:]):
                     links -= element == "a"
+                    opened[element] -= 1
                     if around:
                         text.clear()
                         linked.clear()
@@ -193,12 +265,10 @@ def lines(page: str, p: Params = Params()) -> Lines:
         if name in BLOCKS and not skip:
             close()
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
             continue
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        around = _around(name, m[3], scopes[-1] != OUTSIDE)
+        around = _around(name, attributes, scopes[-1] != OUTSIDE)
         if around and not skip:
             close()
         skip += around
@@ -207,10 +277,10 @@ def lines(page: str, p: Params = Params()) -> Lines:
             if scopes[-1] != IN_ARTICLE:
                 out.part()
             scopes.append(max(scope, scopes[-1]))
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name == "li" and stack and stack[-1][0] == "li":
+        if name in ("p", "li") and stack and stack[-1][0] == name:
             stack.pop()
+            opened[name] -= 1
+        opened[name] += 1
         links += name == "a"
         containers += name in _CONTAINERS
         stack.append((name, around, scope, containers if name in _CONTAINERS else stack[-1][3] if stack else 0))

@@ -1,6 +1,8 @@
 """The page query against another parser (the standard library's) and line windows counted one by one."""
 
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -115,3 +117,31 @@ CONTRACT = [
 @pytest.mark.parametrize("page, want", CONTRACT)
 def test_contract_pages(page, want):
     assert html.main_text(page)[0] == want
+
+
+#: The same markup as one backtracking pattern: right, but quadratic where tags never close.
+SLOW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+BITS = "<p> </p> <a_href='x>y'> </a> <b <a_\" <i_' > \" ' <!-- --> <!x> <!x <?y </div> <div_class=ad> <article> </article> words_here <br/> <_3_ <![CDATA[ ]]> <a_title=\"<b>z</b>\"> &amp;".replace("_", "\0").split()
+
+
+def test_markup_equals_one_pattern_on_broken_pages():
+    rng = random.Random(1)
+    for _ in range(3000):
+        page = "".join(rng.choice(BITS) for _ in range(rng.randrange(1, 30))).replace("\0", " ")
+        want = [(m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or "") for m in SLOW.finditer(page)]
+        assert list(html._Tags(page)) == want, page
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, '<a "' * 250_001 + ">", "<!x" * 330_000, "<b>" * 140_000 + "</i>" * 140_000, "<a \">\"" * 160_000 + "'>", "<" * 10**6, "<!--" * 250_000, "<p>x" * 200_000, "<div>" * 200_000, "&#" * 500_000])
+def test_a_megabyte_of_broken_markup_takes_seconds(page):
+    begin = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - begin < 15
+
+
+def test_windows_choose_between_short_blocks():
+    """Without tags that say what the article is, the windows of lines do: a wide one joins short lines to a surge, a narrow one does not."""
+    page = "<body>" + "".join(f"<div><p>{x}</p></div>" for x in ["Home page", LONG, *["a line of twenty chars"] * 6, LONG, "Imprint"]) + "</body>"
+    texts = {w: html.main_text(page, html.Params(window=w))[0] for w in (1, 2, 9)}
+    assert "twenty" in texts[9] and "twenty" not in texts[2] and all(LONG.strip() in t for t in texts.values())
+    assert len(set(texts.values())) > 1
