@@ -1,16 +1,20 @@
 """Secret scans through an incremental ledger of content-addressed blobs.
 
-Every version of a text at every path is a blob named by the SHA-256 of its bytes. The ledger is a stored table
-in the shared folder, keyed by (rule version, blob): a scan reads it, scans the blobs it lacks under these rules,
-appends what it found (also that it found nothing) and joins the findings back to all paths and versions. So a
-second scan of the same texts scans nothing, a new version of a text is one new blob, and new rules scan all.
-
-How it scales: ids alone are compared with the ledger. Texts stay where they are: up to BROADCAST_BLOBS unseen ids
-are sent to the texts, more are joined to them by a shuffle; with an empty ledger all texts are scanned in place.
-Copies of a blob are scanned once a task (the task remembers its last SEEN blobs), not once in all, because to claim
-a blob for one task would move its text. Only blobs with findings are joined back, by broadcast up to BROADCAST_BLOBS
-of them; beyond that, blobs with over a thousandth of all rows are joined by broadcast and the others by shuffle, so
-no blob brings one task more than that.
+Every version of a text at every path is a blob named by the SHA-256 of its bytes. The ledger is a stored table, keyed by
+(rule version, blob): a scan reads what it has of the run's own blobs, scans the blobs it lacks under these rules, appends what it
+found (also that it found nothing) and joins the findings back to all paths and versions. So a second scan of the same texts scans
+nothing, a new version of a text is one new blob, and new rules, or new code that scans, scan all.
+
+A ledger is kept where `path` or the session's setting starloom.secret.ledger says. With neither, a scan has a ledger of its own in the
+shared folder, empty at first and deleted at the end, so that every text is scanned.
+
+How it scales: the run's distinct ids meet the ledger in a semi-join, by broadcast up to BROADCAST_BLOBS of them, so a run
+shuffles rows of its own blobs alone, never the ledger's history (beyond that bound ids are shuffled, without spans). Texts stay where they
+are: up to BROADCAST_BLOBS unseen ids are sent to the texts, more are joined to them by a shuffle; with an empty ledger all texts
+are scanned in place. Copies of a blob are scanned once a task (the task remembers its last SEEN blobs), not once in all, because to claim
+a blob for one task would move its text. Only blobs with findings are joined back, by broadcast up to BROADCAST_BLOBS blobs and
+BROADCAST_SPANS spans of them; beyond that, blobs with over a thousandth of all rows are joined by broadcast and the others by shuffle, so
+no blob brings one task more than that. Appends leave small files; compact() writes them anew.
 
 Defined results: null text is the empty blob and has no findings; equal texts at many paths share
 a scan; rows repeated in the input repeat in the output; null ids are kept; an empty table adds nothing to the
@@ -20,7 +24,9 @@ ledger; a column that has the name of the result is replaced.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
+import uuid
 from collections import OrderedDict
 from dataclasses import dataclass
 
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from starloom.llm.shared import joined_by_hot_key, shared_dir, written
+from starloom.llm.shared import delete, joined_by_hot_key, shared_dir, written
 from starloom.llm.text import slices
 
 KINDS = ("assign", "access", "hex")
@@ -37,6 +43,10 @@ _SPAN = "struct<kind:string,start:int,end:int>"
 LEDGER = f"blob_id binary, spans array<{_SPAN}>, rules_version string"
 #: Ids (32 bytes each) or blobs with findings that are broadcast at most, after they were counted.
 BROADCAST_BLOBS = 300_000
+#: Spans (some 40 bytes each) that are broadcast at most.
+BROADCAST_SPANS = 1_000_000
+#: The session's setting that names a kept ledger.
+SETTING = "starloom.secret.ledger"
 #: Ids of blobs that a task remembers.
 SEEN = 200_000
 
@@ -44,8 +54,8 @@ SEEN = 200_000
 @dataclass(frozen=True)
 class Rules:
     """A versioned rule set: kind, pattern, least length, the group that has it and, if given, a cheap pattern that every
-    finding's text must hold, tested first. The ledger's key is `name`: the version and a digest of the rules, so
-    changed rules never read the findings of others."""
+    finding's text must hold, tested first. The ledger's key is `name`: the version and a digest of the rules and of the code that scans,
+    so changed rules or code never read the findings of others."""
 
     version: str = "base-1"
     rules: tuple[tuple[str, str, int, int] | tuple[str, str, int, int, str], ...] = (
@@ -56,7 +66,7 @@ class Rules:
 
     @property
     def name(self) -> str:
-        return f"{self.version}-{hashlib.sha256(repr(self.rules).encode()).hexdigest()[:12]}"
+        return f"{self.version}-{hashlib.sha256((repr(self.rules) + inspect.getsource(find_spans)).encode()).hexdigest()[:12]}"
 
 
 #: Formats of keys whose issuers mark them, beside the base kinds.
@@ -117,11 +127,6 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def ledger_path(spark: SparkSession) -> str:
-    """Where a ledger is kept by default: in the shared folder, for all scans of this cluster."""
-    return f"{shared_dir(spark)}/secret-ledger"
-
-
 def read_ledger(spark: SparkSession, path: str, rules: tuple[Rules, ...] = ALL) -> DataFrame | None:
     """The ledger's rows under these rules; None where nothing was ever scanned under any."""
     try:
@@ -133,6 +138,14 @@ def read_ledger(spark: SparkSession, path: str, rules: tuple[Rules, ...] = ALL)
     return found.filter(F.col("rules_version").isin(*(r.name for r in rules)))
 
 
+def own_blobs(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text") -> DataFrame | None:
+    """The ledger's rows of the blobs of docs, written; None without a ledger."""
+    if ledger is None:
+        return None
+    ids = written(docs.select(blob_id(F.col(text_col)).alias("blob_id")).distinct(), "ids")
+    return written(ledger.join(F.broadcast(ids) if ids.count() <= BROADCAST_BLOBS else ids, "blob_id", "left_semi"), "known")
+
+
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rules, ...] = ALL, text_col: str = "text") -> DataFrame:
     """New ledger rows for the pairs of a blob of docs and a rule version that the ledger lacks, each pair once."""
     names = F.array(*(F.lit(r.name) for r in rules))
@@ -149,14 +162,27 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rules, ...] =
     return found.dropDuplicates(["blob_id", "rules_version"])
 
 
-def update(docs: DataFrame, path: str | None = None, rules: tuple[Rules, ...] = ALL, text_col: str = "text") -> DataFrame:
-    """Scans what the ledger at `path` lacks, appends it, and returns the ledger's rows under these rules."""
+def update(docs: DataFrame, path: str, rules: tuple[Rules, ...] = ALL, text_col: str = "text") -> DataFrame:
+    """Scans what the ledger at `path` lacks, appends it, and returns the rows of the blobs of docs under these rules."""
     spark = docs.sparkSession
-    path = path or ledger_path(spark)
-    new = unseen(docs, read_ledger(spark, path, rules), rules, text_col)
+    known = own_blobs(docs, read_ledger(spark, path, rules), text_col)
+    new = written(unseen(docs, known, rules, text_col), "scanned")
     new.write.mode("append").partitionBy("rules_version").parquet(path)
-    found = read_ledger(spark, path, rules)
-    return found if found is not None else spark.createDataFrame([], LEDGER)
+    return new if known is None else known.unionByName(new)
+
+
+def compact(spark: SparkSession, path: str, rows_a_file: int = 1_000_000) -> None:
+    """Writes the ledger at `path` anew, each pair once, in files of about `rows_a_file` rows. The new table is complete before the old
+    one is moved away, so an end at any moment loses no row: the old one is then at `path` or beside it under `.old`. Nothing else may
+    append meanwhile."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    rows = spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob_id", "rules_version"])
+    rows.repartition(max(1, -(-rows.count() // rows_a_file)), "rules_version", F.substring("blob_id", 1, 2)).write.partitionBy("rules_version").parquet(fresh)
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.rename(hadoop(path), hadoop(old))
+    store.rename(hadoop(fresh), hadoop(path))
+    delete(spark, old)
 
 
 def _by_place(spans: Column) -> Column:
@@ -174,7 +200,8 @@ def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", out: st
     paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), blob_id(F.col(text_col)).alias("blob"))
     known = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob_id").alias("known")).agg(_by_place(F.flatten(F.collect_list("spans"))).alias("found"))
     known = written(known, "findings")
-    if known.count() <= BROADCAST_BLOBS:
+    blobs, spans = known.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    if blobs <= BROADCAST_BLOBS and spans <= BROADCAST_SPANS:
         joined = paths.join(F.broadcast(known), F.col("blob") == F.col("known"), "left")
     else:
         joined = joined_by_hot_key(paths, "blob", known, "known")
@@ -182,8 +209,14 @@ def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", out: st
 
 
 def scan(docs: DataFrame, path: str | None = None, rules: tuple[Rules, ...] = ALL, text_col: str = "text", out: str = "spans", carry: list[str] | None = None) -> DataFrame:
-    """Every row of docs with its findings, through the ledger at `path`."""
-    return findings(docs, update(docs, path, rules, text_col), text_col, out, carry)
+    """Every row of docs with its findings, through the ledger at `path` or in the session's setting, else through one of its own."""
+    spark = docs.sparkSession
+    kept = path or spark.conf.get(SETTING, None)
+    place = kept or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    found = findings(docs, update(docs, place, rules, text_col), text_col, out, carry)
+    if not kept:
+        delete(spark, place)
+    return found
 
 
 def redact(text, spans, mask: str = "[REDACTED]") -> F.Column:

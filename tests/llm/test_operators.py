@@ -387,6 +387,33 @@ def test_secret_ledger_scans_each_pair_once(spark, tmp_path, monkeypatch):
     changed = (secrets.Rules(rules=secrets.BASE.rules[:1]),)
     assert changed[0].version == secrets.BASE.version and changed[0].name != secrets.BASE.name
     assert secrets.scan(docs, path, changed).count() == 5 and rows(changed) == 4 and rows() == 2 * 4
+    # rows written anew are the same rows, in few files
+    before = sorted(map(str, secrets.read_ledger(spark, path).collect()))
+    secrets.compact(spark, path)
+    assert sorted(map(str, secrets.read_ledger(spark, path).collect())) == before and not (tmp_path / "ledger.old").exists()
+    # code that scans in another way scans all again
+    monkeypatch.setattr(secrets, "find_spans", lambda text, rules: [(0, 1, "hex")] if text else [])
+    assert sorted(len(r.spans) for r in secrets.scan(docs, path, (secrets.BASE,)).collect()) == [0, 1, 1, 1, 1]
+
+
+def test_a_scan_reads_its_own_blobs_of_a_large_ledger(spark, tmp_path, monkeypatch):
+    """What a run takes from the ledger does not grow with the ledger, whether ids are broadcast or not; without a place nothing is kept."""
+    path = str(tmp_path / "ledger")
+    many = spark.range(2000).selectExpr("id path", "concat('password: longsecret', id) text")
+    secrets.update(many, path)
+    few = many.filter("path < 3").unionByName(spark.createDataFrame([(9, "token = abcdefg")], "path bigint, text string"))
+    for bound in (secrets.BROADCAST_BLOBS, 1):
+        monkeypatch.setattr(secrets, "BROADCAST_BLOBS", bound)
+        own = secrets.own_blobs(few, secrets.read_ledger(spark, path))
+        assert own.count() == 3 * len(secrets.ALL) and secrets.unseen(few, own).count() == len(secrets.ALL)
+        assert sorted((r.path, len(r.spans)) for r in secrets.findings(few, secrets.update(few.filter("path < 3"), path)).collect()) == [(0, 1), (1, 1), (2, 1), (9, 0)]
+    spark.conf.set(secrets.SETTING, path)
+    try:
+        assert {len(r.spans) for r in secrets.scan(few).collect()} == {1}
+        assert secrets.read_ledger(spark, path).count() == 2001 * len(secrets.ALL)
+    finally:
+        spark.conf.unset(secrets.SETTING)
+    assert {len(r.spans) for r in secrets.scan(few).collect()} == {1} and secrets.read_ledger(spark, path).count() == 2001 * len(secrets.ALL)
 
 
 def test_marked_keys_are_added_and_base_spans_stay(spark, tmp_path):
