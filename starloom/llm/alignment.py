@@ -313,6 +313,8 @@ def corpus_links(docs: DataFrame, most_pairs: int = MOST_PAIRS, b_path: str | No
     else:
         known = joined_by_hot_key(each, "link__", table, "link")
     sums = known.groupBy(F.col("row__").alias("of__")).agg(F.sum("n").alias("sum__"), F.count(F.when(F.col("best"), 1)).alias("best__"))
-    joined = rows.join(sums, F.col("row__") == F.col("of__"), "left")
-    whole = F.col(out).withField("n_links", F.size(f"{out}.links").cast("long")).withField("n_best", F.coalesce("best__", F.lit(0))).withField("count_sum", F.coalesce("sum__", F.lit(0))).dropFields("links")
+    # the lists of links stay where they are
+    counted = rows.withColumn(out, F.col(out).withField("n_links", F.size(f"{out}.links").cast("long")).dropFields("links"))
+    joined = counted.join(sums, F.col("row__") == F.col("of__"), "left")
+    whole = F.col(out).withField("n_best", F.coalesce("best__", F.lit(0))).withField("count_sum", F.coalesce("sum__", F.lit(0)))
     return joined.withColumn(out, whole).drop("row__", "of__", "sum__", "best__")
