@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from starloom.operators import background, rcr
+from starloom.operators.rcr_values import correction, threshold
 from starloom.operators.timeshift import correlation_lag, period
 
 
@@ -147,3 +148,34 @@ def test_pairs_are_counted_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250e6 and abs(m.slope - 0.5) < 0.01
+
+
+@pytest.mark.parametrize("technique, n, factor", [("LS_MODE_DL", 5, 1 / 0.41601), ("LS_MODE_DL", 10, 1 / 0.530939), ("ES_MODE_DL", 10, 1 / 0.75123), ("SS_MEDIAN_DL", 50, 1 / 0.9115), ("LS_MODE_68", 100, 1 / 0.868542), ("LS_MODE_68", 101, 1 / (1 - 2.3525 * 101**-0.627))])
+def test_corrections_of_equal_weights(technique, n, factor):
+    """Tabulated ones, one between two tabulated sizes (0.9104 and 0.9116 at the true table) and a closed form."""
+    assert correction(technique, np.ones(n)) == pytest.approx(factor, rel=0.005)
+    assert correction(technique, 7 * np.ones(n)) == correction(technique, np.ones(n))
+
+
+def test_corrections_and_thresholds_of_unequal_weights():
+    """Against the published fits written out for a few sizes."""
+    for n in (6, 13, 40, 100, 101, 500):
+        w = np.where(np.arange(n) % 2, 1.0, 3.0)
+        x, k = np.log10(np.std(w, ddof=1) / np.mean(w)), np.log10(n)
+        single = 10 ** (10 ** (0.0243 - 0.7914 * k + (4.5073 + 0.1196 * k) * x))
+        assert correction("SS_MEDIAN_DL", w) / correction("SS_MEDIAN_DL", np.ones(n)) == pytest.approx(single)
+        if n > 100:
+            lower = 10 ** (10 ** (-0.6482 - 0.5408 * k + (1.4154 + (-1) ** n * 0.363528) * x))
+            assert correction("LS_MODE_68", w) / correction("LS_MODE_68", np.ones(n)) == pytest.approx(lower)
+    w = np.array([1.0, 2, 3, 4])
+    x = np.log10(np.std(w, ddof=1) / np.mean(w))
+    assert threshold("each", 6, w) == pytest.approx(5.0808 * 10 ** (10 ** (-0.312373723591738 + 1.0196951775215 * x)))
+    assert threshold("lower", 2000, w) == pytest.approx(1.3399 ** (2000**0.1765) / 10 ** (10 ** (-2.5852 + 0.3861 * np.log10(2000) + (1.4479 + 0.0424 * np.log10(2000)) * x)))
+    assert threshold("single", 33, np.ones(20)) == pytest.approx(2.02455, rel=0.02) and threshold("lower", 333, np.ones(9)) == pytest.approx(2.41242, rel=0.02)
+    assert threshold("each", 666, np.ones(9)) == pytest.approx(2.29554, rel=0.02) and threshold("lower", 7, np.array([1.0, 1.0 + 1e-6])) > 1e50
+
+
+@pytest.mark.parametrize("technique, n, least", [("LS_MODE_68", 200, 0.97), ("LS_MODE_DL", 200, 0.9), ("ES_MODE_DL", 200, 0.95), ("SS_MEDIAN_DL", 200, 0.98), ("LS_MODE_68", 20, 0.9), ("LS_MODE_DL", 10, 0.8)])
+def test_clean_samples_lose_little(technique, n, least):
+    rng = np.random.default_rng(n)
+    assert np.mean([rcr.reject(rng.normal(5, 2, n), None, technique).flags.mean() for _ in range(60)]) > least
