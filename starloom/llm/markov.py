@@ -122,7 +122,12 @@ def word_counts(docs: DataFrame, text_col: str, n_shapes: int) -> DataFrame:
 
 def lexicon(counts: DataFrame, ends: int, params: Params) -> tuple[Lexicon, int, int]:
     """The table for tasks, and the numbers of all and of distinct training tokens; `ends` is the number of training documents."""
-    top = counts.orderBy(F.desc("n"), "word").limit(params.words).toArrow()
+    # counts in narrow classes say from which on there are no more than so many words; nothing is sorted but those
+    of_class = F.floor(F.log2("n") * 64)
+    sizes = sorted(((r["class"], r["words"]) for r in counts.groupBy(of_class.alias("class")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    held = np.cumsum([w for _, w in sizes]) <= params.words
+    least = min((c for (c, _), h in zip(sizes, held) if h), default=2**31)
+    top = counts.filter(of_class >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     n = np.asarray(top["n"], dtype=np.int64)
     own = min(params.own, int(np.searchsorted(-n, -params.least, side="right")))
     sums = counts.groupBy("shape").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).collect()
