@@ -35,11 +35,17 @@ def _value(c: np.ndarray, x: np.ndarray) -> np.ndarray:
     return c[0] + x * (c[1] + x * c[2])
 
 
+def _mean_square_above(r: np.ndarray) -> float:
+    above = r > 0
+    return float((r[above] ** 2).mean()) if above.any() else 0.0
+
+
 def window_model(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, anchor: int) -> tuple[np.ndarray, np.ndarray, slice] | None:
     """Baseline of one window: (kept, values, span). Positive outliers go one by one from a quadratic through the anchor
     until the root mean square of what lies above is at most the scatter. Then the anchor goes, and the lowest
-    rejected point inside the survivors' span and one beyond comes back, again and again, while the root mean
-    square above a free quadratic stays below the scatter. None where fewer than four points are left."""
+    rejected point from one before the survivors' span to one beyond it comes back, again and again, while the root mean
+    square above a free quadratic is below the scatter. The last one goes again if the root mean square was closer to
+    the scatter without it. None where fewer than four points are left."""
     x = x - x[anchor]
     kept = np.ones(len(x), dtype=bool)
     limit = scatter**2
@@ -56,18 +62,19 @@ def window_model(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, an
     kept[anchor] = False
     if kept.sum() < 4:
         return None
-    for _ in range(len(x)):
+    last, gap = None, np.inf
+    while True:
         at = np.flatnonzero(kept)
         r = y - _value(_free(x[at], y[at], w[at]), x)
-        above = kept & (r > 0)
-        out = np.flatnonzero(~kept)
-        out = out[(out >= at[0] - 1) & (out <= at[-1] + 1)]
-        if above.any() and (r[above] ** 2).mean() >= limit or not len(out):
-            break
-        lowest = out[int(r[out].argmin())]
-        if r[lowest] > 5 * scatter:  # one such point alone lifts the mean square over the limit
+        spread = np.sqrt(_mean_square_above(r[at]))
+        low, high = max(at[0] - 1, 0), at[-1] + 2
+        out = low + np.flatnonzero(~kept[low:high])
+        if spread >= scatter or not len(out):
+            if last is not None and gap < abs(scatter - spread):
+                kept[last] = False
             break
-        kept[lowest] = True
+        last, gap = int(out[r[out].argmin()]), abs(scatter - spread)
+        kept[last] = True
     at = np.flatnonzero(kept)
     return kept, _value(_free(x[at], y[at], w[at]), x), slice(int(at[0]), int(at[-1]) + 1)
 
