@@ -3,6 +3,9 @@
 Samples are dealt to square cells of a few search radii; a cell also gets the samples of a margin of one radius
 around it, so every neighbourhood lies inside one task and each sample is sent to few cells. Cells, not
 neighbourhoods, are groups: there are few of them and their size follows the beam, not the survey.
+
+Where surveys pile up, cells are the leaves of a quadtree: a cell with more than CROWD samples of its own is cut into four, down to half a
+radius a side. A smaller cell would hold hardly less, as its margin alone has a neighbourhood's samples.
 """
 
 from __future__ import annotations
@@ -15,19 +18,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators import rcr
-from starloom.operators.grouped import summarised
+from starloom.operators.grouped import SURVEYS, summarised
+from starloom.operators.spatial import in_boxes
+from starloom.sources.tables import written
 
 CELL_RADII = 4.0
+#: Own samples of a cell from which on it is cut, and how often a cell may be cut.
+CROWD, DEPTH = 20_000, 3
+
 
+def leaves(samples: DataFrame, radius: float, x: str, y: str, crowd: int | None = None) -> DataFrame:
+    """The quadtree's leaves that hold samples: leaf, lx, ly (low corner), side, and n, the samples inside.
 
-def by_cell(samples: DataFrame, radius: float, x: str, y: str, columns: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies run to each cell; its frame has `own` (whether the sample belongs to the cell, not to its margin)."""
+    Samples are counted once in the smallest cells, whose number follows the area; all levels are sums of these counts.
+    """
+    size, crowd = CELL_RADII * radius, crowd or CROWD
+    fine = size / 2**DEPTH
+    cell = lambda c: F.floor(F.col(c) / fine).alias(f"f{c}")
+    counts = written(samples.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x), cell(y)).agg(F.count("*").alias("n")), "cells")
+    found, open_ = None, None
+    for level in range(DEPTH + 1):
+        wide = 2 ** (DEPTH - level)
+        up = lambda c, by=wide: F.floor(F.col(c) / by)
+        cells = counts.select(up(f"f{x}").alias("cx"), up(f"f{y}").alias("cy"), "n").groupBy("cx", "cy").agg(F.sum("n").alias("n"))
+        if open_ is not None:
+            # only quarters of cells that were cut
+            cells = cells.join(open_, (F.floor(F.col("cx") / 2) == F.col("ox")) & (F.floor(F.col("cy") / 2) == F.col("oy")), "left_semi")
+        here = cells if level == DEPTH else cells.filter(F.col("n") <= crowd)
+        side = fine * wide
+        made = here.select(F.format_string("%d:%d:%d", F.lit(level), "cx", "cy").alias("leaf"), (F.col("cx") * side).alias("lx"), (F.col("cy") * side).alias("ly"), F.lit(side).alias("side"), "n")
+        found = made if found is None else found.unionByName(made)
+        open_ = cells.filter(F.col("n") > crowd).select(F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    return written(found, "leaves")
+
+
+def by_cell(samples: DataFrame, radius: float, x: str, y: str, columns: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, crowd: int | None = None) -> DataFrame:
+    """Applies run to each leaf of the quadtree; its frame has `own` (whether the sample belongs to the leaf, not to its margin)."""
     size = CELL_RADII * radius
-    axis = lambda c: F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size))
     names = list(dict.fromkeys(["survey_id", "scan_id", "sample_id", x, y, *columns]))
-    spread = samples.select(*names, F.explode(axis(x)).alias("cx")).select("*", F.explode(axis(y)).alias("cy"))
-    own = (F.floor(F.col(x) / size) == F.col("cx")) & (F.floor(F.col(y) / size) == F.col("cy"))
-    return spread.withColumn("own", own).groupBy("cx", "cy").applyInPandas(run, schema)
+    cells = leaves(samples, radius, x, y, crowd)
+    boxes = cells.select("leaf", "lx", "ly", "side", *((F.col(c) + d).alias(n) for c, d, n in (("lx", -radius, "x_from"), ("lx", F.col("side") + radius, "x_to"), ("ly", -radius, "y_from"), ("ly", F.col("side") + radius, "y_to"))))
+    boxes = F.broadcast(boxes) if cells.count() <= SURVEYS else boxes
+    spread = in_boxes(samples.select(*names), boxes, x, y, ("x_from", "x_to", "y_from", "y_to"), size)
+    # the smallest cell that holds a sample, so rounding at a side cannot give it to two
+    fine = size / 2**DEPTH
+    inside = lambda c, low: (F.floor(F.col(c) / fine) >= F.round(F.col(low) / fine)) & (F.floor(F.col(c) / fine) < F.round((F.col(low) + F.col("side")) / fine))
+    return spread.withColumn("own", inside(x, "lx") & inside(y, "ly")).select("leaf", *names, "own").groupBy("leaf").applyInPandas(run, schema)
 
 
 class _Near:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators import rcr
 from starloom.operators.surface import brightest
+from starloom.sources.tables import written
 
 
 def centroid(near: DataFrame, keys: list[str], dx: str, dy: str, flux: str, weight: str) -> DataFrame:
@@ -42,29 +43,36 @@ def detect(samples: DataFrame, beam: float, limit: float = 75.0, least: int = 6,
     """Sources of each survey, brightest first: samples of at least `limit` scatters that have `least` such samples of
     their survey within a beam and lie more than a beam from every brighter source.
 
-    Equal fluxes: the lower scan and sample first. The candidates of one survey, samples far above its noise, are one
-    task's work; thinning them first would lose sources (a candidate near a brighter one that is none itself may be one).
+    Equal fluxes: the lower scan and sample first. All surveys are decided at once, in rounds: a candidate brighter than all undecided ones
+    within a beam is a source, and those within a beam of it go. Each round decides every local maximum, so there are as many rounds as
+    the longest chain of ever brighter neighbours; no survey is one task's work. Each round's ids are written, as the next uses them twice.
     """
     from starloom.operators.spatial import range_join
 
     bright = samples.filter(F.col("flux") >= limit * F.col(scatter)).select("survey_id", "scan_id", "sample_id", "ra", "dec", "flux")
-    other = bright.select(F.col("survey_id").alias("survey_o"), F.col("ra").alias("ra_o"), F.col("dec").alias("dec_o"))
-    near = range_join(bright, other, beam, ("ra", "dec"), ("ra_o", "dec_o")).filter(F.col("survey_id").eqNullSafe(F.col("survey_o")))
-    counted = near.groupBy(*bright.columns).agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["flux", "scan_id", "sample_id"], ascending=[False, True, True])
-        x, y = pdf["ra"].to_numpy(float), pdf["dec"].to_numpy(float)
-        open_ = np.ones(len(x), dtype=bool)
-        keep = np.zeros(len(x), dtype=bool)
-        for i in range(len(x)):
-            if open_[i]:
-                keep[i] = True
-                open_ &= np.hypot(x - x[i], y - y[i]) > beam
-        return pdf[keep].assign(source_id=np.arange(keep.sum(), dtype="int32"))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema.fields) + ", source_id int"
-    return counted.groupBy("survey_id").applyInPandas(greedy, schema)
+    bright = written(bright.withColumn("id__", F.monotonically_increasing_id()), "bright")
+    other = bright.select(*[F.col(c).alias(f"{c}_o") for c in bright.columns])
+    near = range_join(bright, other, beam, ("ra", "dec"), ("ra_o", "dec_o")).filter(F.col("survey_id").eqNullSafe(F.col("survey_id_o")))
+    many = near.groupBy("id__").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= least)
+    many = written(many, "candidates")
+    first = F.struct(-F.col("flux"), "scan_id", "sample_id", "id__") < F.struct(-F.col("flux_o"), "scan_id_o", "sample_id_o", "id___o")
+    pairs = near.filter(first).select(F.col("id__").alias("strong"), F.col("id___o").alias("weak"))
+    for side in ("strong", "weak"):
+        pairs = pairs.join(many.select(F.col("id__").alias(side)), side, "left_semi")
+    pairs = written(pairs, "pairs")
+    open_, sources = many.select("id__"), None
+    while not open_.isEmpty():
+        beaten = pairs.select(F.col("weak").alias("id__"))
+        kept = written(open_.join(beaten, "id__", "left_anti"), "sources")
+        sources = kept if sources is None else sources.unionByName(kept)
+        gone = pairs.join(kept.withColumnRenamed("id__", "strong"), "strong", "left_semi").select(F.col("weak").alias("id__")).distinct()
+        open_ = written(open_.join(kept, "id__", "left_anti").join(gone, "id__", "left_anti"), "undecided")
+        left = open_.select(F.col("id__").alias("strong"))
+        pairs = written(pairs.join(left, "strong", "left_semi").join(left.withColumnRenamed("strong", "weak"), "weak", "left_semi"), "pairs")
+    found = bright.join(many, "id__")
+    found = found.join(sources, "id__", "left_semi") if sources is not None else found
+    order = Window.partitionBy("survey_id").orderBy(F.desc("flux"), "scan_id", "sample_id", "id__")
+    return found.withColumn("source_id", (F.row_number().over(order) - 1).cast("int")).drop("id__")
 
 
 def top_sources(pixels: DataFrame, k: int, radius: float) -> list[tuple[float, float, float]]:
@@ -88,7 +96,6 @@ def centred_sources(pixels: DataFrame, sources: DataFrame, radius: float, beam:
     the first place, or none, leaves a source where it is. Each round's few rows are written, as the next one uses them twice.
     """
     from starloom.operators.surface import kernel
-    from starloom.sources.tables import written
 
     known = pixels.filter(F.col("flux").isNotNull() & ~F.isnan("flux")).select("px", "py", "flux")
     sources = sources.select("source_id", "sx", "sy", F.col("sx").alias("sx0__"), F.col("sy").alias("sy0__"))

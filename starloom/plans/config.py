@@ -14,7 +14,7 @@ CALIBRATIONS = ("pre", "post", "interpolated", "auto", "none")
 PATTERNS = ("raster", "daisy", "nodding", "drift")
 COORDINATES = ("equatorial", "galactic")
 SHIFTS = ("auto", "custom", "off")
-CENTROIDS = ("center", "brightest", "coordinates")
+CENTROIDS = ("center", "brightest", "coordinates", "detected")
 #: Interference scales in beams for fields with bright and with faint sources.
 PRESETS = {"bright": 0.35, "faint": 0.7}
 
@@ -25,7 +25,8 @@ class Job:
 
     pattern and telescope, left out, are what the first file's header says (raster and 20m, if it is silent). The
     calibration `auto` interpolates the gain only where it drifts. gain_start and gain_end replace the noise signal's
-    heights in both channels; -999 is none. places are the sources' coordinates for the centroid `coordinates`.
+    heights in both channels; -999 is none. places are the sources' coordinates for the centroid `coordinates`; `detected`
+    takes all places that stand `detect_limit` scatters out of the samples.
     large_scale adds a map of the background; fits writes every map as FITS too.
     """
 
@@ -51,6 +52,7 @@ class Job:
     centroid: str = "brightest"
     places: tuple[tuple[float, float], ...] = ()
     sources: int = 1
+    detect_limit: float = 75.0
     trim: float = 0.0
     large_scale: bool = False
     gain_start: float | None = None

@@ -151,10 +151,14 @@ def map_pixels(samples: DataFrame, job: Job, beam: float, centre: tuple[float, f
     return geometry.on_plane(out, centre, undo=True)
 
 
-def source_table(pixels: DataFrame, job: Job, beam: float) -> DataFrame:
-    """Photometry of sources of a map: the brightest ones, the one in the map's middle, or those at the job's places, each
-    moved to its centroid. At most as many rows as the job names come to the driver; a place is taken to its nearest pixel."""
+def source_table(pixels: DataFrame, job: Job, beam: float, samples: DataFrame | None = None) -> DataFrame:
+    """Photometry of sources of a map: the brightest ones, the one in the map's middle, those at the job's places, or all that are detected in
+    the prepared samples of all surveys together, each moved to its centroid. At most as many rows as the job names come to the driver, detected
+    ones none; a place is taken to its nearest pixel."""
     spark = pixels.sparkSession
+    if job.centroid == "detected":
+        found = photometry.detect(samples.withColumn("survey_id", F.lit(0)), beam, job.detect_limit)
+        return _measured(pixels, found.select("source_id", F.col("ra").alias("sx"), F.col("dec").alias("sy")), job, beam)
     if job.centroid == "brightest":
         found = [(x, y) for x, y, _ in photometry.top_sources(pixels, job.sources, job.outer_radius * beam)]
     elif job.centroid == "center":
@@ -165,6 +169,10 @@ def source_table(pixels: DataFrame, job: Job, beam: float) -> DataFrame:
         near = pixels.agg(*[F.min_by(F.struct("px", "py"), F.struct(far(a, d), "y_pix", "x_pix")).alias(f"p{i}") for i, (a, d) in enumerate(job.places)]).first()
         found = [(p["px"], p["py"]) for p in near if p is not None]
     sources = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(found)], "source_id int, sx double, sy double")
+    return _measured(pixels, sources, job, beam)
+
+
+def _measured(pixels: DataFrame, sources: DataFrame, job: Job, beam: float) -> DataFrame:
     sources = photometry.centred_sources(pixels, sources, job.inner_radius * beam, beam)
     return photometry.photometry(pixels, sources, job.inner_radius * beam, job.outer_radius * beam, beam, 0.0 if job.skip_rfi else job.rfi_scale, job.weight_scale, job.pixel_scale)
 
@@ -183,5 +191,5 @@ def run(spark: SparkSession, raw: DataFrame, job: Job, beam: float) -> dict[str,
     if job.large_scale:
         out["large_scale"] = map_pixels(prepared.withColumn("flux", F.col("lss_data")), plain, beam, centre)
     if job.photometry:
-        out["sources"] = source_table(out["map"], job, beam)
+        out["sources"] = source_table(out["map"], job, beam, prepared)
     return out

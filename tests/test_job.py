@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -42,6 +44,9 @@ def test_planted_source_is_mapped(spark):
     assert far.flux.abs().median() < 0.5
     assert {"weight", "weight2", "scale", "correlation", "gap", "path", "terms"} <= set(m.columns)
     assert out["sources"].count() == 1
+    detected = mapping.source_table(out["map"], replace(job, centroid="detected", detect_limit=8.0), 1.0, mapping.prepare(mapping.scans(raw_survey(spark), job), job, 1.0, (0.0, 0.0)))
+    (r,) = detected.collect()
+    assert abs(r.ra_pix - 14) < 0.5 and abs(r.dec_pix - 2.45) < 0.5 and r.measured > 0
 
 
 def test_settings(tmp_path):

@@ -159,3 +159,30 @@ def test_detected_sources_equal_brute_force(spark):
         want += [(survey, k, r.scan_id, r.sample_id) for k, r in enumerate(chosen)]
     got = sorted((r.survey_id, r.source_id, r.scan_id, r.sample_id) for r in photometry.detect(spark.createDataFrame(pdf), 0.8).collect())
     assert got == sorted(want) and len(want) >= 4
+
+
+def test_crowded_cells_are_cut_and_change_nothing(spark):
+    """Ten surveys on one place: leaves hold no more than the bound unless they are the smallest, and neighbourhoods are the same."""
+    from starloom.operators import neighbourhood
+
+    rng = np.random.default_rng(5)
+    rows = [(v, s, k, k * 0.3 + rng.uniform(0, 0.05), s * 0.4 + rng.uniform(0, 0.05), float(rng.normal()), 1.0, 1.0) for v in range(10) for s in range(12) for k in range(14)]
+    rows += [(11, 0, k, 40 + 0.3 * k, -7.0, 0.0, 1.0, 1.0) for k in range(20)] + [(12, 0, 0, None, 1.0, 0.0, 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "survey_id int, scan_id int, sample_id int, ra double, dec double, flux double, scatter2d double, dumps double")
+    cells = neighbourhood.leaves(samples, 0.5, "ra", "dec", 8).collect()
+    smallest = neighbourhood.CELL_RADII * 0.5 / 2**neighbourhood.DEPTH
+    assert sum(c.n for c in cells) == len(rows) - 1 and all(c.n <= 8 or c.side == smallest for c in cells)
+    assert {c.side for c in cells} >= {smallest, neighbourhood.CELL_RADII * 0.5}
+    keys = ["survey_id", "scan_id", "sample_id"]
+    found = []
+    for crowd in (10**9, 8):
+        neighbourhood.CROWD, before = crowd, neighbourhood.CROWD
+        try:
+            gaps = neighbourhood.sampling_gap(samples, 0.5).orderBy(*keys).toPandas()
+            models = neighbourhood.interference_models(samples, 0.5).orderBy(*keys).toPandas()
+        finally:
+            neighbourhood.CROWD = before
+        found.append((gaps, models))
+    assert len(found[0][0]) == len(rows) - 1
+    for a, b in zip(*found):
+        assert (a[keys] == b[keys]).all().all() and np.allclose(a.iloc[:, 3:], b.iloc[:, 3:], equal_nan=True)
