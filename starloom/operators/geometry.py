@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from starloom.functions import scalar
 from starloom.operators import rcr
@@ -80,6 +82,65 @@ def footprint(samples: DataFrame, map_type: str = "raster") -> DataFrame:
     return middle.join(far, "survey_id").withColumn("map_type", F.lit(map_type))
 
 
+def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in the arrays of the corners of the convex hull, counter-clockwise from the lowest x, then y; points on a side are none."""
+    order = np.lexsort((y, x))
+    chains = []
+    for run in (order, order[::-1]):
+        chain: list[int] = []
+        for k in run.tolist():
+            while len(chain) > 1:
+                a, b = chain[-2], chain[-1]
+                if (x[b] - x[a]) * (y[k] - y[a]) - (y[b] - y[a]) * (x[k] - x[a]) > 0:
+                    break
+                chain.pop()
+            if not chain or (x[chain[-1]], y[chain[-1]]) != (x[k], y[k]):
+                chain.append(k)
+        chains.append(chain)
+    lower, upper = chains
+    return np.array(lower[:-1] + upper[:-1] if len(lower) > 1 else lower, dtype=np.int64)
+
+
+def convex_hulls(points: DataFrame, keys: list[str], x: str = "ra", y: str = "dec", salt: int = 64) -> DataFrame:
+    """keys and `hull`, the corners of each group's convex hull, array<struct<x, y>>, counter-clockwise from the lowest x, then y.
+
+    A hull of hulls is the whole's, so tasks reduce their own rows first and only corners are shuffled, once by `salt` shares of a group, then
+    by group; no task holds a group's points. Places with NULL or NaN do not count; a group of none has no row.
+    """
+    fields = [points.schema[k] for k in keys]
+    kinds = StructType([*fields, StructField("x", DoubleType()), StructField("y", DoubleType())])
+
+    def reduced(batches):
+        for b in batches:
+            pdf = b.to_pandas()
+            kept = [own.index[hull_of(own["x"].to_numpy(), own["y"].to_numpy())] for _, own in pdf.groupby(keys, dropna=False, sort=False)]
+            if kept:
+                yield b.take(pa.array(np.concatenate(kept)))
+
+    def once(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(reduced, kinds)
+
+    def corners(pdf):
+        at = hull_of(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        return pdf.iloc[at]
+
+    def whole(pdf):
+        at = hull_of(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        row = pdf.iloc[[0]][keys].copy()
+        row["hull"] = [[{"x": a, "y": b} for a, b in zip(pdf["x"].to_numpy()[at], pdf["y"].to_numpy()[at])]]
+        return row
+
+    sound = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    shares = once(sound).withColumn("salt__", F.pmod(F.spark_partition_id(), F.lit(salt)))
+    few = shares.groupBy(*keys, "salt__").applyInPandas(corners, StructType([*kinds, StructField("salt__", IntegerType())])).drop("salt__")
+    return few.groupBy(*keys).applyInPandas(whole, StructType([*fields, StructField("hull", ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))]))
+
+
+def with_hulls(footprints: DataFrame, samples: DataFrame) -> DataFrame:
+    """Footprints of map_type hull, with the convex hull of each survey's samples."""
+    return footprints.withColumn("map_type", F.lit("hull")).join(convex_hulls(samples, ["survey_id"]), "survey_id", "left")
+
+
 def with_lines(footprints: DataFrame, lines: DataFrame, directions: DataFrame) -> DataFrame:
     """Footprints with scans_in_ra and with height and slope of the four edge lines, NULL where a line could not be fitted."""
     sound = lines.filter(F.col("n_kept") >= 2)

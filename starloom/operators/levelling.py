@@ -4,48 +4,74 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators import background, rcr
-from starloom.operators.spatial import range_join
+from starloom.operators.grouped import SURVEYS
+from starloom.operators.spatial import inside_survey, range_join
+from starloom.sources.tables import written
 
 
-def survey_differences(samples: DataFrame, beam: float, flux: str = "flux") -> DataFrame:
+#: Pairs of overlapping surveys whose differences (24 bytes each) come to the driver at most, after they were counted.
+MOST_PAIRS = 5_000_000
+
+
+def survey_differences(samples: DataFrame, beam: float, flux: str = "flux", footprints: DataFrame | None = None) -> DataFrame:
     """survey_a, survey_b, mu, sigma, n: robust mean, over the samples of a, of a's flux less b's weighted mean around
-    the sample; only where b has three samples within half a beam. Surveys that do not overlap have no row."""
+    the sample; only where b has three samples within half a beam and, with footprints (geometry.footprint), the sample
+    lies inside b's. Surveys that do not overlap have no row."""
     a = samples.select(F.col("survey_id").alias("survey_a"), "scan_id", "sample_id", F.col("ra").alias("ax"), F.col("dec").alias("ay"), F.col(flux).alias("az"))
     b = samples.select(F.col("survey_id").alias("survey_b"), F.col("ra").alias("bx"), F.col("dec").alias("by"), F.col(flux).alias("bz"))
     near = range_join(a, b, beam / 2, ("ax", "ay"), ("bx", "by")).filter("survey_a <> survey_b")
     w = F.pow(F.cos(F.lit(np.pi) * F.col("distance") / beam), F.lit(2.0)) + 1e-9
-    local = near.withColumn("w", w).groupBy("survey_a", "survey_b", "scan_id", "sample_id", "az").agg((F.sum(F.col("w") * F.col("bz")) / F.sum("w")).alias("z"), F.count("*").alias("n")).filter("n >= 3")
+    local = near.withColumn("w", w).groupBy("survey_a", "survey_b", "scan_id", "sample_id", "ax", "ay", "az").agg((F.sum(F.col("w") * F.col("bz")) / F.sum("w")).alias("z"), F.count("*").alias("n")).filter("n >= 3")
+    if footprints is not None:
+        edges = written(footprints.select(*(F.col(c).alias(f"{c}__") for c in footprints.columns)), "edges")
+        side = F.broadcast(edges) if edges.count() <= SURVEYS else edges
+        local = local.join(side, F.col("survey_b") == F.col("survey_id__")).filter(inside_survey(F.col("ax"), F.col("ay"), suffix="__"))
     r = rcr.by_group(local.select("survey_a", "survey_b", (F.col("az") - F.col("z")).alias("d")), ["survey_a", "survey_b"], "d", None, "LS_MODE_DL")
     return r.select("survey_a", "survey_b", "mu", F.col("stdev").alias("sigma"), F.col("n_kept").alias("n"))
 
 
-def survey_offsets(differences: DataFrame) -> dict[int, float]:
-    """Least-squares offset of each survey, of mean zero in each group of overlapping surveys. A row a pair of surveys
-    comes to the driver."""
-    rows = differences.collect()
-    ids = sorted({r.survey_a for r in rows} | {r.survey_b for r in rows})
-    at = {s: k for k, s in enumerate(ids)}
-    if not rows:
-        return {}
-    m, v = np.zeros((len(rows), len(ids))), np.zeros(len(rows))
-    for k, r in enumerate(rows):
-        w = np.sqrt(r.n) / max(r.sigma, 1e-9)
-        m[k, at[r.survey_a]], m[k, at[r.survey_b]], v[k] = w, -w, w * r.mu
-    x = np.linalg.lstsq(m, v, rcond=None)[0]
-    return dict(zip(ids, x.tolist()))
-
-
-def level(samples: DataFrame, beam: float, flux: str = "flux") -> DataFrame:
+def _least_squares(a: np.ndarray, b: np.ndarray, d: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """x of least norm that makes the weighted squares of x[a] - x[b] - d smallest, by conjugate gradients on the graph of pairs."""
+    apply = lambda x: np.bincount(a, w * (x[a] - x[b]), n) - np.bincount(b, w * (x[a] - x[b]), n)
+    r = np.bincount(a, w * d, n) - np.bincount(b, w * d, n)
+    x, p, size = np.zeros(n), r.copy(), float(r @ r)
+    goal = 1e-26 * size
+    for _ in range(20 * n + 100):
+        if size <= goal:
+            break
+        q = apply(p)
+        step = size / float(p @ q)
+        x += step * p
+        r -= step * q
+        size, before = float(r @ r), size
+        p = r + size / before * p
+    return x
+
+
+def survey_offsets(differences: DataFrame) -> DataFrame:
+    """survey_id and offset: the least-squares offset of each survey, of mean zero in each group of overlapping surveys."""
+    rows = written(differences.filter("mu is not null and not isnan(mu)"), "differences")
+    if rows.count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of surveys overlap")
+    pairs = rows.select("survey_a", "survey_b", "mu", (F.col("n") / F.pow(F.greatest(F.coalesce(F.nanvl("sigma", F.lit(0.0)), F.lit(0.0)), F.lit(1e-9)), F.lit(2.0))).alias("w")).toArrow()
+    a, b, d, w = (np.asarray(pairs[c]) for c in ("survey_a", "survey_b", "mu", "w"))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    # the scale of the weights does not matter, their ratios do
+    x = _least_squares(at[: len(a)], at[len(a) :], d.astype(float), w / w.max(), len(ids)) if len(a) else np.zeros(0)
+    return differences.sparkSession.createDataFrame(pa.table({"survey_id": pa.array(ids, pa.int32()), "offset": pa.array(x, pa.float64())}))
+
+
+def level(samples: DataFrame, beam: float, flux: str = "flux", footprints: DataFrame | None = None) -> DataFrame:
     """samples with each survey's offset taken off; surveys without overlap stay as they are."""
-    offsets = survey_offsets(survey_differences(samples, beam, flux))
-    if not offsets:
-        return samples
-    table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    return samples.withColumn(flux, F.col(flux) - F.coalesce(table[F.col("survey_id")], F.lit(0.0)))
+    offsets = survey_offsets(survey_differences(samples, beam, flux, footprints)).withColumnRenamed("survey_id", "survey__")
+    side = F.broadcast(offsets) if offsets.count() <= SURVEYS else offsets
+    moved = samples.join(side, F.col("survey_id") == F.col("survey__"), "left")
+    return moved.withColumn(flux, F.col(flux) - F.coalesce(F.col("offset"), F.lit(0.0))).drop("survey__", "offset")
 
 
 def clean_spectra(spectra: DataFrame, length: float, key: str = "row_id", data: str = "data") -> DataFrame:

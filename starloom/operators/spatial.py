@@ -41,6 +41,27 @@ def range_join(probe: DataFrame, build: DataFrame, radius: float, probe_xy: tupl
     return joined.withColumn(out, measure).filter(F.col(out) <= radius).drop("px__", "py__", "bx__", "by__")
 
 
+def radius_join(probe: DataFrame, build: DataFrame, radius: str, probe_xy: tuple[str, str], build_xy: tuple[str, str], out: str = "distance") -> DataFrame:
+    """Pairs of probe and build rows at most the probe row's own `radius` apart, with their distance.
+
+    Grids are nested: a probe row uses the one whose cells are as wide as the next power of two of its radius, so it asks for nine cells at most
+    however large the radius; a build row is placed once in each grid in use. The join is an equi-join on grid and cell. Only the grids in use,
+    a few powers of two, come to the driver. Rows without a radius or with a negative one match nothing; a radius of 0 matches equal places.
+    """
+    px, py, bx, by = F.col(probe_xy[0]), F.col(probe_xy[1]), F.col(build_xy[0]), F.col(build_xy[1])
+    level = F.ceil(F.log2(F.greatest(F.col(radius), F.lit(2.0**-40)))).cast("int")
+    asked = probe.filter(F.col(radius) >= 0).withColumn("grid__", level)
+    grids = [r[0] for r in asked.select("grid__").distinct().collect()]
+    cell = lambda x, grid: F.floor(x / F.pow(F.lit(2.0), grid))
+    reach = lambda x: F.explode(F.sequence(cell(x - F.col(radius), F.col("grid__")), cell(x + F.col(radius), F.col("grid__"))))
+    spread = asked.select("*", reach(px).alias("px__")).select("*", reach(py).alias("py__"))
+    placed = build.select("*", F.explode(F.array(*(F.lit(g) for g in grids)).cast("array<int>")).alias("of__"))
+    placed = placed.withColumns({"bx__": cell(bx, F.col("of__")), "by__": cell(by, F.col("of__"))})
+    joined = spread.join(placed, (F.col("grid__") == F.col("of__")) & (F.col("px__") == F.col("bx__")) & (F.col("py__") == F.col("by__")))
+    measure = F.sqrt((px - bx) * (px - bx) + (py - by) * (py - by))
+    return joined.withColumn(out, measure).filter(F.col(out) <= F.col(radius)).drop("px__", "py__", "bx__", "by__", "grid__", "of__")
+
+
 def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, low_high: tuple[str, str, str, str], size: float) -> DataFrame:
     """Pairs of a point and a box (x low, x high, y low, y high) that holds it, ends included. A box is repeated for the
     grid cells of `size` that it meets, so the join is an equi-join on cells, and a large box spreads over many of them."""
@@ -56,10 +77,11 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, low_high: tupl
 LINES = [f"{edge}_{c}" for edge in ("low", "high", "first", "last") for c in ("at", "slope")]
 
 
-def inside_survey(x: Column, y: Column, trim: float = 0.0, lines: bool = False, suffix: str = "") -> Column:
+def inside_survey(x: Column, y: Column, trim: float = 0.0, lines: bool = False, suffix: str = "", hull: bool = False) -> Column:
     """Whether a place lies in a survey's footprint (columns of geometry.footprint, with the suffix): within a daisy's
     radius less the trim, else strictly inside the box, or with `lines` between both lines along the scans' ends and
-    between the first and the last scan. A line that could not be fitted does not count."""
+    between the first and the last scan. A line that could not be fitted does not count. With `hull` a survey of that map_type has the
+    polygon in its column hull."""
     c = lambda name: F.col(name + suffix)
     box = (x > c("x_low")) & (x < c("x_high")) & (y > c("y_low")) & (y < c("y_high"))
     if lines:
@@ -71,7 +93,20 @@ def inside_survey(x: Column, y: Column, trim: float = 0.0, lines: bool = False,
         closed = x.between(c("x_low"), c("x_high")) & y.between(c("y_low"), c("y_high"))
         box = closed & between[0] & between[1] & crossed
     far = F.sqrt((x - c("cx")) * (x - c("cx")) + (y - c("cy")) * (y - c("cy")))
-    return F.when(c("map_type") == "daisy", far < c("radius") - trim).otherwise(box)
+    shape = F.when(c("map_type") == "daisy", far < c("radius") - trim)
+    if hull:
+        shape = shape.when(c("map_type") == "hull", inside_hull(x, y, c("hull")))
+    return shape.otherwise(box)
+
+
+def inside_hull(x: Column, y: Column, hull: Column) -> Column:
+    """Whether a place lies in a convex polygon (corners counter-clockwise, as geometry.convex_hulls has them), its border included; one of
+    two corners is a stretch, one of one a point, one of none holds nothing."""
+    ahead = F.concat(F.slice(hull, 2, F.size(hull)), F.slice(hull, 1, 1))
+    left = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) >= 0
+    box = (x >= F.array_min(F.transform(hull, lambda p: p["x"]))) & (x <= F.array_max(F.transform(hull, lambda p: p["x"])))
+    box &= (y >= F.array_min(F.transform(hull, lambda p: p["y"]))) & (y <= F.array_max(F.transform(hull, lambda p: p["y"])))
+    return F.coalesce(box & F.forall(F.zip_with(hull, ahead, left), lambda ok: ok), F.lit(False))
 
 
 def nearest_in_neighbours(samples: DataFrame, along: str, carry: list[str]) -> DataFrame:

@@ -160,9 +160,9 @@ def in_footprint(pixels: DataFrame, edges: DataFrame, beam: float, trim: float)
     """Pixels inside at least one survey: between a raster's edges in both axes, or within a daisy's radius less the trim.
 
     `edges` has a row a survey (map_type, x_low, x_high, y_low, y_high, cx, cy, radius, and the lines of
-    geometry.with_lines, if a raster's edges are to be slanted); its size is the number of surveys.
+    geometry.with_lines, if a raster's edges are to be slanted, or the hull of geometry.with_hulls); its size is the number of surveys.
     """
-    inside = inside_survey(F.col("px"), F.col("py"), trim * beam, LINES[0] in edges.columns)
+    inside = inside_survey(F.col("px"), F.col("py"), trim * beam, LINES[0] in edges.columns, hull="hull" in edges.columns)
     # the box around each survey names the cells whose pixels are compared with it
     daisy = F.col("map_type") == "daisy"
     ends = {"a__": ("cx", "x_low", -1), "b__": ("cx", "x_high", 1), "c__": ("cy", "y_low", -1), "d__": ("cy", "y_high", 1)}

@@ -26,7 +26,8 @@ class Job:
     pattern and telescope, left out, are what the first file's header says (raster and 20m, if it is silent). The
     calibration `auto` interpolates the gain only where it drifts. gain_start and gain_end replace the noise signal's
     heights in both channels; -999 is none. places are the sources' coordinates for the centroid `coordinates`; `detected`
-    takes all places that stand `detect_limit` scatters out of the samples.
+    takes all places that stand `detect_limit` scatters out of the samples. `level` takes the offsets of overlapping surveys off
+    large-scale and raw maps.
     large_scale adds a map of the background; fits writes every map as FITS too.
     """
 
@@ -53,6 +54,7 @@ class Job:
     places: tuple[tuple[float, float], ...] = ()
     sources: int = 1
     detect_limit: float = 75.0
+    level: bool = False
     trim: float = 0.0
     large_scale: bool = False
     gain_start: float | None = None

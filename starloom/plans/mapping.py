@@ -106,6 +106,11 @@ def prepare(samples: DataFrame, job: Job, beam: float, centre: tuple[float, floa
     return written(s.join(plane, ["survey_id", "scan_id"]), "prepared")
 
 
+def levelled(samples: DataFrame, job: Job, beam: float, flux: str) -> DataFrame:
+    """Prepared samples with the offsets of overlapping surveys taken off, if the job levels them."""
+    return written(levelling.level(samples, beam, flux, geometry.footprint(samples, "daisy" if job.pattern == "daisy" else "raster")), "level") if job.level else samples
+
+
 def shifted(samples: DataFrame, shift: float | Column) -> DataFrame:
     moved = ordered.shift_asof(samples, ["ra", "dec"], shift)
     return moved.withColumns({"ra": F.col("ra_shifted"), "dec": F.col("dec_shifted")}).drop("ra_shifted", "dec_shifted")
@@ -134,6 +139,9 @@ def map_pixels(samples: DataFrame, job: Job, beam: float, centre: tuple[float, f
     directions = written(geometry.scan_direction(samples), "directions")
     turned = samples.join(directions, "survey_id")
     edges = written(geometry.with_lines(edges, geometry.edge_lines(turned, F.col("scans_in_ra")), directions), "edges")
+    if job.pattern == "nodding":
+        # up and down strokes meet in no common line, so their hull is the map's border
+        edges = written(geometry.with_hulls(edges, samples), "hulls")
     least = geometry.gap_threshold(samples, centre="center_idx" if daisy else None)
     gaps = neighbourhood.sampling_gap(geometry.least_gap(samples, edges, least), beam, "min_gap")
     samples = written(samples.join(gaps, ["survey_id", "scan_id", "sample_id"]).withColumn("theta_gap", F.degrees("theta_gap")), "gapped")
@@ -183,11 +191,11 @@ def run(spark: SparkSession, raw: DataFrame, job: Job, beam: float) -> dict[str,
     centre = geometry.middle(samples)
     if centre is None:
         raise ValueError("no usable scans")
-    prepared = prepare(samples, job, beam, centre)
+    prepared = levelled(prepare(samples, job, beam, centre), job, beam, "lss_data")
     out = {"map": written(map_pixels(prepared, job, beam, centre), "map")}
     plain = replace(job, background_scale=0.0, rfi_scale=0.0, time_shift="off")
     if job.raw_map:
-        out["raw_map"] = map_pixels(prepare(samples, plain, beam, centre), plain, beam, centre)
+        out["raw_map"] = map_pixels(levelled(prepare(samples, plain, beam, centre), job, beam, "flux"), plain, beam, centre)
     if job.large_scale:
         out["large_scale"] = map_pixels(prepared.withColumn("flux", F.col("lss_data")), plain, beam, centre)
     if job.photometry:

@@ -362,11 +362,39 @@ def nearest_adjacent_scan(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_in_neighbours(event_samples(spark, d), "dec", ["flux"]).select("scan_id", "sample_id", "prev_flux", "next_flux")
 
 
-@query("edge_filter", "SELECT i AS x_pix, j AS y_pix FROM range(51) a(i), range(43) b(j) WHERE i*1.0 > 5.5 AND i*1.0 < 40.5 AND j*1.0 > 3.5 AND j*1.0 < 30.5 OR sqrt(pow(i-45,2)+pow(j-38,2)) < 6 - 0.5*2")
+@query(
+    "edge_filter",
+    P + """, e AS (SELECT scan_id, min(x) + scan_id AS xl, max(x) - 3 * scan_id AS xh, min(y) + 2 * scan_id AS yl, max(y) - 20 - scan_id AS yh, min(x) + 24 + scan_id AS cx, max(y) - 12 AS cy, 7.0 + scan_id AS r FROM points GROUP BY scan_id)
+    SELECT DISTINCT x, y FROM points p WHERE EXISTS (SELECT 1 FROM e WHERE CASE WHEN e.scan_id % 2 = 0 THEN p.x > xl AND p.x < xh AND p.y > yl AND p.y < yh ELSE sqrt(pow(p.x-cx,2)+pow(p.y-cy,2)) < r - 1.0 END)""",
+)
 def edge_filter(spark: SparkSession, d: str) -> DataFrame:
-    edges = spark.createDataFrame([("raster", 5.5, 40.5, 3.5, 30.5, 0.0, 0.0, 0.0), ("daisy", 0.0, 0.0, 0.0, 0.0, 45.0, 38.0, 6.0)], "map_type string, x_low double, x_high double, y_low double, y_high double, cx double, cy double, radius double")
-    grid = surface.pixel_grid(spark, (0.0, 50.0), (0.0, 42.0), 1.0)
-    return surface.in_footprint(grid, edges, 2.0, 0.5).select(F.col("x_pix").cast("bigint").alias("x_pix"), F.col("y_pix").cast("bigint").alias("y_pix"))
+    """Places of the table inside the boxes and circles that it gives its scans."""
+    p, k = scatter_points(spark, d), F.col("scan_id")
+    e = p.groupBy("scan_id").agg((F.min("x") + k).alias("x_low"), (F.max("x") - 3 * k).alias("x_high"), (F.min("y") + 2 * k).alias("y_low"), (F.max("y") - 20 - k).alias("y_high"), (F.min("x") + 24 + k).alias("cx"), (F.max("y") - 12).alias("cy"))
+    edges = e.withColumns({"radius": k + 7.0, "map_type": F.when(k % 2 == 0, "raster").otherwise("daisy")}).withColumnRenamed("scan_id", "survey_id")
+    grid = p.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    return surface.in_footprint(grid, edges, 2.0, 0.5).select(F.col("px").alias("x"), F.col("py").alias("y"))
+
+
+@query("radius_range_join", P + ", q AS (SELECT DISTINCT x, y, 0.5 + y % 5 * 0.75 AS r FROM points) SELECT a.x, a.y, count(*) AS n_near, round(sum(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))), 4) + 0.0 AS total FROM q a JOIN q b ON sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= a.r GROUP BY ALL")
+def radius_range_join(spark: SparkSession, d: str) -> DataFrame:
+    """Each place has a radius of its own, from half a unit to three and a half."""
+    p = _places(spark, d).select("x", "y")
+    near = spatial.radius_join(p.withColumn("r", 0.5 + F.col("y") % 5 * 0.75), p.select(F.col("x").alias("x2"), F.col("y").alias("y2")), "r", ("x", "y"), ("x2", "y2"))
+    return near.groupBy("x", "y").agg(F.count("*").alias("n_near"), (F.round(F.sum("distance"), 4) + 0.0).alias("total"))
+
+
+@query(
+    "convex_hulls",
+    P + """, c AS (SELECT scan_id, x, min(y) AS lo, max(y) AS hi FROM points GROUP BY ALL), q AS (SELECT scan_id, x, lo AS y FROM c UNION SELECT scan_id, x, hi FROM c),
+    a AS (SELECT p.scan_id, p.x, p.y, atan2(o.y - p.y, o.x - p.x) AS t FROM q p JOIN q o ON p.scan_id = o.scan_id AND (p.x, p.y) <> (o.x, o.y)),
+    g AS (SELECT scan_id, x, y, coalesce(lead(t) OVER (PARTITION BY scan_id, x, y ORDER BY t), min(t) OVER (PARTITION BY scan_id, x, y) + 2 * pi()) - t AS gap FROM a)
+    SELECT scan_id, x, y FROM g GROUP BY ALL HAVING max(gap) > pi() + 1e-9""",
+)
+def convex_hulls(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of the hull of each scan's places: those that see all others within less than half a turn."""
+    hulls = geometry.convex_hulls(scatter_points(spark, d), ["scan_id"], "x", "y")
+    return hulls.select("scan_id", F.explode("hull").alias("c")).select("scan_id", "c.x", "c.y")
 
 
 # surfaces
