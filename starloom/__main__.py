@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from starloom.functions.scalar import beam_width
-from starloom.plans import config, mapping
+from starloom.plans import config, mapping, validation
 from starloom.sources import readers, sinks
 
 
@@ -19,7 +19,13 @@ def main(argv: list[str]) -> None:
     known = readers.describe(spark, job.filenames[0]) if job.telescope != "40ft" or ".fits" in job.filenames[0] else {"telescope": "40ft"}
     telescope = job.telescope or known["telescope"]
     job = replace(job, telescope=telescope, pattern=job.pattern or ("drift" if telescope == "40ft" else known.get("map_type") or "raster"))
-    raw = readers.read_observations(spark, list(job.filenames), telescope)
+    files = list(job.filenames)
+    if job.validate:
+        tables = [f for f in files if ".fits" in f]
+        copies = sinks.write_validated(validation.validate(spark, tables), f"{job.output}/validated") if tables else None
+        made = {r["path"]: r["written"] for r in copies.collect()} if copies else {}
+        files = [made.get(readers.qualified(spark, f), f) for f in files]
+    raw = readers.read_observations(spark, files, telescope, job.paired)
     frequency = float(job.extra.get("frequency", known.get("frequency", 1.395)))
     beam = beam_width(frequency, telescope)
     if "data" in raw.columns:

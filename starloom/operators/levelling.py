@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators import background, rcr
-from starloom.operators.grouped import SURVEYS
+from starloom.operators.grouped import SURVEYS, summarised, with_survey
 from starloom.operators.spatial import inside_survey, range_join
 from starloom.sources.tables import written
 
@@ -92,15 +92,27 @@ def clean_spectra(spectra: DataFrame, length: float, key: str = "row_id", data:
     return spectra.select(key, data).mapInPandas(lambda it: (run(p) for p in it), f"{key} {kind}, data array<double>, baseline array<double>")
 
 
+#: Bins of a daisy's time; a survey's distances are averaged in them before anything is shuffled.
+TIME_BINS = 1 << 16
+
+
 def daisy_motion(samples: DataFrame) -> DataFrame:
-    """survey_id, centre_ra, centre_dec, period and radius of a daisy: robust centre, period of the distance from it, and largest distance."""
+    """survey_id, centre_ra, centre_dec, period and radius of a daisy: the middle of its places, the period of the distance from it, and the largest distance.
+
+    Extents are aggregates; distances are averaged in at most TIME_BINS bins of each survey's time, partially before their
+    shuffle, so however many samples a survey has, its period comes from that many rows. Bins follow the number of samples
+    where there are fewer."""
     from starloom.operators.timeshift import period
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("t")
-        a, d, t = (p[c].to_numpy(float) for c in ("ra", "dec", "t"))
-        x, y = (a.min() + a.max()) / 2, (d.min() + d.max()) / 2
-        r = np.hypot((a - x) * np.cos(np.radians(y)), d - y)
-        return pd.DataFrame([[p["survey_id"].iloc[0], x, y, 2 * period(t, r), r.max()]])
+    s = with_survey(samples.select("survey_id", "t", "ra", "dec"), a__=F.min("ra"), b__=F.max("ra"), c__=F.min("dec"), d__=F.max("dec"), t0__=F.min("t"), t1__=F.max("t"), n__=F.count("*"))
+    x, y = (F.col("a__") + F.col("b__")) / 2, (F.col("c__") + F.col("d__")) / 2
+    far = F.sqrt(F.pow((F.col("ra") - x) * F.cos(F.radians(y)), F.lit(2.0)) + F.pow(F.col("dec") - y, F.lit(2.0)))
+    bins = F.least(F.greatest(F.col("n__") * 4, F.lit(8)), F.lit(TIME_BINS))
+    bin_ = F.when(F.col("t1__") > F.col("t0__"), F.least(F.floor((F.col("t") - F.col("t0__")) / (F.col("t1__") - F.col("t0__")) * bins), bins - 1)).otherwise(F.lit(0))
+    each = s.select("survey_id", x.alias("centre_ra"), y.alias("centre_dec"), far.alias("r"), "t", bin_.alias("bin")).groupBy("survey_id", "centre_ra", "centre_dec", "bin").agg(F.avg("t").alias("t"), F.avg("r").alias("r"), F.max("r").alias("most"))
+
+    def run(t: np.ndarray, r: np.ndarray, most: np.ndarray) -> tuple:
+        return (2 * period(t, r) if len(t) > 1 else None, float(most.max()))
 
-    return samples.select("survey_id", "t", "ra", "dec").groupBy("survey_id").applyInPandas(run, "survey_id int, centre_ra double, centre_dec double, period double, radius double")
+    found = summarised(each, ["survey_id", "centre_ra", "centre_dec"], ["t", "r", "most"], "period double, radius double", run, ["t"])
+    return found.select("survey_id", "centre_ra", "centre_dec", "period", "radius")

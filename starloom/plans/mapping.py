@@ -26,7 +26,9 @@ def integrate(spectra: DataFrame, job: Job) -> DataFrame:
     higher or the lower frequency.
     """
     n = F.size("data")
-    axis = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.col("obs_freq") + (j + 1 - n / 2) * F.col("cdelt") / 1e6)
+    # channels that were not read keep the others at their frequencies
+    first, whole = (F.coalesce(F.col(c), d) if c in spectra.columns else d for c, d in (("first_channel", F.lit(0)), ("channels", n)))
+    axis = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.col("obs_freq") + (j + first + 1 - whole / 2) * F.col("cdelt") / 1e6)
     bands = list(job.include) or [(float("-inf"), float("inf"))]
     flux = spectral.band_integral(F.col("data"), axis, bands, list(job.exclude))
     keep = ["survey_id", "t", "ra", "dec", "az", "el", "dumps", "cal_state", "sweep", "valid"]

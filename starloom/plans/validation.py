@@ -21,6 +21,6 @@ def validate(spark: SparkSession, paths: str | list[str], start: int | None = No
             except ValueError as e:
                 raise ValueError(f"{row['path']}: {e}") from e
     s = readers.read_sdfits(spark, paths)
-    ok = (F.col("t") >= 0) & (F.col("el") >= 0) & (F.col("dumps") >= 0) & (F.col("obs_freq") >= 0)
+    s = segment.physical_rows(s, ["t", "el", "dumps", "obs_freq"])
     data = spectral.mask_nan(F.col("data"))
-    return s.filter(ok).withColumn("data", spectral.channel_trim(data, start, stop) if start is not None and stop is not None else data)
+    return s.withColumn("data", spectral.channel_trim(data, start, stop) if start is not None and stop is not None else data)

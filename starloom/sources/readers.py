@@ -15,7 +15,7 @@ from starloom.operators.ordered import sticky_unwrap
 from starloom.sources import fits
 
 SAMPLES = "path string, row_id bigint, t double, ra double, dec double, az double, el double, flux_l double, flux_r double, dumps double, cal_state int, sweep int, valid int"
-SPECTRA = "path string, row_id bigint, t double, ra double, dec double, az double, el double, dumps double, cal_state int, sweep int, valid int, cdelt double, if_num int, pol_num int, obs_freq double, data array<double>"
+SPECTRA = "path string, row_id bigint, t double, ra double, dec double, az double, el double, dumps double, cal_state int, sweep int, valid int, cdelt double, if_num int, pol_num int, obs_freq double, first_channel int, channels int, data array<double>"
 
 
 def parse_history(lines: list[str]) -> dict:
@@ -36,6 +36,15 @@ def parse_history(lines: list[str]) -> dict:
     return out
 
 
+def channel_range(history: list[str], channels: int) -> tuple[int, int]:
+    """First channel, from 0, and the one after the last of the range that a START,STOP line names (from 1, both included); all without one."""
+    for line in history:
+        m = re.search(r"START,STOP\D*(\d+)\D+(\d+)", line)
+        if m and 1 <= int(m[1]) <= int(m[2]) <= channels:
+            return int(m[1]) - 1, int(m[2])
+    return 0, channels
+
+
 def telescope(header: dict) -> str:
     """20m, gbt or 40ft by the primary header."""
     name = str(header.get("TELESCOP", "")).lower()
@@ -75,18 +84,25 @@ def _sdfits_rows(kind: str | None):
                 time = np.array([gbt_seconds(x) for x in c["DATE-OBS"]]) if "UTSECS" not in c else get("UTSECS", 0)
                 sweep = get("PROCSEQN", 1) - 1 if what == "gbt" else get("SWPINDEX", 0)
                 data = np.asarray(c["DATA"], float).reshape(n, -1)
+                channels = data.shape[1]
+                first, last = channel_range(primary.get("HISTORY", []), channels)
+                data = data[:, first:last]
+                if "CHANNELS" in primary:
+                    # a validated copy, whose channels were cut before
+                    first, channels = first + primary["FIRSTCH"], primary["CHANNELS"]
                 yield pd.DataFrame({
                     "path": path, "row_id": np.arange(n), "t": time, "ra": get("CRVAL2", 0) / 15.0, "dec": get("CRVAL3", 0), "az": get("AZIMUTH", 0), "el": get("ELEVATIO", 0),
                     "dumps": get("NSAMPS", 1) if what != "gbt" else np.ones(n), "cal_state": (get("CALSTATE", 0) if what != "gbt" else np.zeros(n)).astype("int32"),
                     "sweep": sweep.astype("int32"), "valid": (get("SWPVALID", 1) if what != "gbt" else np.ones(n)).astype("int32"), "cdelt": get("CDELT1", 0),
-                    "if_num": get("IFNUM", 0).astype("int32"), "pol_num": get("PLNUM", 0).astype("int32"), "obs_freq": get("OBSFREQ", 0), "data": list(data),
+                    "if_num": get("IFNUM", 0).astype("int32"), "pol_num": get("PLNUM", 0).astype("int32"), "obs_freq": get("OBSFREQ", 0), "first_channel": first, "channels": channels, "data": list(data),
                 })
 
     return run
 
 
 def read_sdfits(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
-    """Spectra of SDFITS files (extension SINGLE DISH); right ascension in hours. A file is one task's work.
+    """Spectra of SDFITS files (extension SINGLE DISH); right ascension in hours. A file is one task's work. Channels that the HISTORY's
+    START,STOP leaves out are not read; first_channel and channels tell where the others lay.
 
     kind: 20m, 40ft or gbt; the primary header says which, if not given. Columns that a telescope lacks have its constants.
     """
@@ -111,9 +127,9 @@ def find_files(spark: SparkSession, folder: str, glob: str = "*.fits") -> DataFr
     return found.select("path").filter(~F.col("path").contains("_validated"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
+def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files with their number in the file. A file is read whole, as observing logs are small."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("lines"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.split(F.decode("content", "UTF-8"), "\r?\n").alias("lines"))
     return files.select("path", F.posexplode("lines").alias("line_no", "line"))
 
 
@@ -125,8 +141,8 @@ def read_ascii_header(spark: SparkSession, path: str) -> DataFrame:
     return out.select("path", "scan_type", (F.col("f").cast("double") / 1000).alias("frequency"), F.col("mjd").cast("int").alias("mjd"), "map_coord")
 
 
-def read_ascii(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of 20 m text files (.txt, .md2): 11 numbers a line; lines with fewer are dropped. Time and right
+def read_ascii(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Samples of 20 m text files (.txt, .md2): 11 numbers a line; lines with fewer or more are dropped. Time and right
     ascension are unwrapped over midnight and over 24 hours."""
     parts = _numbered(spark, path).filter(~F.col("line").startswith("#")).select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("p")).filter(F.size("p") == 11)
     names = ["t", "ra", "dec", "az", "el", "flux_l", "flux_r", "dumps", "cal_state", "sweep", "valid"]
@@ -139,14 +155,14 @@ def read_ascii(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ra", F.when(both & (F.col("ra") < 12), F.col("ra") + 24).otherwise(F.col("ra"))).select(*[x.split()[0] for x in SAMPLES.split(", ")])
 
 
-def read_forty(spark: SparkSession, path: str, second: str | None = None) -> DataFrame:
+def read_forty(spark: SparkSession, path: str | list[str], second: dict[str, str] | None = None) -> DataFrame:
     """Samples of 40-foot text files: three lines (time, declination, flux) a record; a `*` ends a section and `**` a
     calibration. Section 0 is calibration on, 1 off; later sections are scans 0, 1, ... (-1 for calibration).
-    A second file, line for line, gives the right channel. The telescope does not turn, so the sidereal time is the
-    right ascension.
+    `second` names, for each path as Spark tells it, the file that gives the right channel, line for line. The telescope does not
+    turn, so the sidereal time is the right ascension.
     """
 
-    def records(p: str, value: str) -> DataFrame:
+    def records(p: str | list[str], value: str) -> DataFrame:
         w = Window.partitionBy("path").orderBy("line_no")
         lines = _numbered(spark, p).filter(F.trim("line") != "")
         marked = lines.withColumn("star", F.trim("line").startswith("*").cast("int"))
@@ -158,8 +174,10 @@ def read_forty(spark: SparkSession, path: str, second: str | None = None) -> Dat
 
     rows = records(path, "flux_l")
     if second:
-        right = records(second, "flux_r").select(F.col("section").alias("s__"), F.col("r").alias("r__"), "flux_r")
-        rows = rows.join(right, (F.col("section") == F.col("s__")) & (F.col("r") == F.col("r__")), "left").drop("s__", "r__")
+        of = _by_path(spark, {b: a for a, b in second.items()}, "left__", "string")
+        right = records(list(second.values()), "flux_r").join(F.broadcast(of), F.col("path") == F.col("path__"))
+        right = right.select("left__", F.col("section").alias("s__"), F.col("r").alias("r__"), "flux_r")
+        rows = rows.join(right, (F.col("path") == F.col("left__")) & (F.col("section") == F.col("s__")) & (F.col("r") == F.col("r__")), "left").drop("left__", "s__", "r__")
     else:
         rows = rows.withColumn("flux_r", F.col("flux_l"))
     rows = rows.withColumn("row_id", F.row_number().over(Window.partitionBy("path").orderBy("section", "r")).cast("bigint") - 1)
@@ -169,25 +187,52 @@ def read_forty(spark: SparkSession, path: str, second: str | None = None) -> Dat
     return rows.select("path", "row_id", "t", (F.col("t") / 3600).alias("ra"), "dec", zero.alias("az"), zero.alias("el"), "flux_l", "flux_r", F.lit(1.0).alias("dumps"), state.alias("cal_state"), F.greatest(F.col("section") - 2, F.lit(-1)).cast("int").alias("sweep"), (F.col("section") >= 2).cast("int").alias("valid"))
 
 
-def read_observation(spark: SparkSession, path: str, telescope: str | None = None) -> DataFrame:
-    """The reader a file's name asks for; other names raise. A text file of the 40 foot telescope is told by `telescope`."""
-    if telescope == "40ft" and ".fits" not in path:
-        return read_forty(spark, path)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's readers tell it, with its store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _by_path(spark: SparkSession, values: dict, name: str, kind: str) -> DataFrame:
+    """path__ and a value for each file of a job; as many rows as the job names files."""
+    return spark.createDataFrame([(p, v) for p, v in values.items()], f"path__ string, {name} {kind}")
+
+
+def kind_of(path: str, telescope: str | None = None) -> str:
+    """fits, ascii or forty by a file's name; other names raise. A text file of the 40 foot telescope is told by `telescope`."""
     if ".fits" in path:
-        return read_sdfits(spark, path)
+        return "fits"
+    if telescope == "40ft":
+        return "forty"
     if ".txt" in path or ".md2" in path:
-        return read_ascii(spark, path)
+        return "ascii"
     raise ValueError(f"neither .fits nor .txt nor .md2: {path}")
 
 
-def read_observations(spark: SparkSession, paths: list[str], telescope: str | None = None) -> DataFrame:
-    """All files, tagged by survey_id in their order. Two text files of the 40 foot telescope are the channels of one survey."""
-    from functools import reduce
+def read_observations(spark: SparkSession, paths: list[str], telescope: str | None = None, paired: bool = False) -> DataFrame:
+    """All files, tagged by survey_id in their order. Files of a kind are one scan, whatever their number, and their surveys are joined by path.
 
-    if telescope == "40ft" and len(paths) == 2 and ".fits" not in paths[0] + paths[1]:
-        return read_forty(spark, *paths).withColumn("survey_id", F.lit(0))
-    frames = [read_observation(spark, p, telescope).withColumn("survey_id", F.lit(i)) for i, p in enumerate(paths)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    With `paired`, text files of the 40 foot telescope come in twos, the left and the right channel of one survey.
+    """
+    kinds = [kind_of(p, telescope) for p in paths]
+    places = [qualified(spark, p) for p in paths]
+    if len(set(places)) < len(places):
+        raise ValueError("a file is named twice")
+    second, surveys = {}, {}
+    forty = [p for p, k in zip(places, kinds) if k == "forty"]
+    if paired and forty:
+        if len(forty) % 2:
+            raise ValueError("paired files come in twos")
+        second = dict(zip(forty[::2], forty[1::2]))
+    for place in places:
+        if place not in second.values():
+            surveys[place] = len(surveys)
+    read = {"fits": read_sdfits, "ascii": read_ascii, "forty": lambda s, p: read_forty(s, p, second or None)}
+    out = None
+    for kind in dict.fromkeys(kinds):
+        rows = read[kind](spark, [p for p, k in zip(places, kinds) if k == kind and p in surveys])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.join(F.broadcast(_by_path(spark, surveys, "survey_id", "int")), F.col("path") == F.col("path__")).drop("path__")
 
 
 def describe(spark: SparkSession, path: str) -> dict:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +70,34 @@ def write_map_file(pixels: DataFrame, path: str, step: float, settings: dict) ->
     write_fits(pixels, path, cards)
 
 
-def write_report(rows: dict, path: str) -> None:
-    """Settings and results of a job, one tab-separated line each."""
-    with open(path, "w") as f:
-        f.writelines(f"{k}\t{v}\n" for k, v in rows.items())
-
-
 def validated_path(path: str, process: str = "validated") -> str:
     base, ext = os.path.splitext(path)
     return f"{base}_{process}{ext}"
 
 
+def write_validated(spectra: DataFrame, folder: str, process: str = "validated") -> DataFrame:
+    """Writes the spectra of each file (its column path) as a FITS table `<base>_<process>.fits` below the folder, which all executors must
+    share, and returns path and written, the new file. Executors write their files under other names and rename them when they
+    are whole, so a task that is lost or repeated leaves no torn file. Channels cut away before stay cut; their number is in the header."""
+    schema = "path string, written string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        name = validated_path(os.path.join(folder, os.path.basename(pdf["path"].iloc[0])), process)
+        names = {"t": "UTSECS", "dec": "CRVAL3", "az": "AZIMUTH", "el": "ELEVATIO", "dumps": "NSAMPS", "cal_state": "CALSTATE", "sweep": "SWPINDEX", "valid": "SWPVALID", "cdelt": "CDELT1", "if_num": "IFNUM", "pol_num": "PLNUM", "obs_freq": "OBSFREQ"}
+        columns = {to: pdf[c].to_numpy() for c, to in names.items()} | {"CRVAL2": pdf["ra"].to_numpy() * 15, "DATA": np.array([[np.nan if v is None else v for v in d] for d in pdf["data"]], float)}
+        first, channels = int(pdf["first_channel"].iloc[0]), int(pdf["channels"].iloc[0])
+        raw = fits.table_file({"TELESCOP": "20m", "FIRSTCH": first, "CHANNELS": channels}, columns, history=[f"PROCESS {process}"])
+        os.makedirs(folder, exist_ok=True)
+        part = f"{name}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(raw)
+        os.replace(part, name)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "written": [name]})
+
+    return spectra.groupBy("path").applyInPandas(run, schema)
+
+
 def remove_validated(folder: str, dry_run: bool = True) -> list[str]:
     """Files *_validated.fits below the folder; they are deleted unless it is a dry run."""
     found = [os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f.endswith("_validated.fits")]

@@ -72,7 +72,7 @@ def test_drift_scans_of_two_files_are_mapped(spark, tmp_path):
         right.append("*")
     for name, lines in (("l.txt", left), ("r.txt", right)):
         (tmp_path / name).write_text("\n".join(lines) + "\n")
-    raw = readers.read_observations(spark, [str(tmp_path / "l.txt"), str(tmp_path / "r.txt")], "40ft")
+    raw = readers.read_observations(spark, [str(tmp_path / "l.txt"), str(tmp_path / "r.txt")], "40ft", paired=True)
     samples = mapping.scans(raw, config.Job(pattern="drift", calibration="pre")).toPandas()
     # the noise signal is 2 in the left channel and 4 in the right one: each is divided by its own
     assert samples.scan_id.nunique() == 12 and abs(samples.flux.median() - 1) < 0.1 and samples.flux.max() > 4
@@ -178,3 +178,69 @@ def test_command_line_writes_fits(spark, tmp_path):
     row, col = np.unravel_index(np.nanargmax(data), data.shape)
     assert abs(head["CRVAL2"] + (row + 1 - head["CRPIX2"]) * head["CDELT2"] - top.dec) < 1e-6
     assert abs(head["CRVAL1"] + (col + 1 - head["CRPIX1"]) * head["CDELT1"] - top.ra) < 0.02
+
+
+def test_nodding_is_mapped(spark):
+    """Strokes up and down over a source, with a border that is their hull."""
+    rng = np.random.default_rng(9)
+    rows, t = [], 0.0
+    for stroke in range(24):
+        for k in range(30):
+            up = k if stroke % 2 == 0 else 29 - k
+            ra, dec = 10 + 0.2 * stroke + 0.2 * k / 29, 0.15 * up
+            rows.append((0, len(rows), t, ra / 15, dec, 0.0, 45.0, *[5 * np.exp(-0.5 * (((ra - 12.6) / 0.4) ** 2 + ((dec - 2.1) / 0.4) ** 2)) + rng.normal(0, 0.1)] * 2, 1.0, -1, stroke, 1))
+            t += 1
+    raw = spark.createDataFrame(pd.DataFrame(rows, columns=NAMES).astype(INTS))
+    job = config.Job(pattern="nodding", calibration="none", background_scale=0.0, rfi_scale=0.0, time_shift="off", pixel_scale=0.25)
+    m = mapping.run(spark, raw, job, beam=1.0)["map"].toPandas()
+    top = m.loc[m.flux.idxmax()]
+    assert abs(top.ra - 12.6) < 0.4 and abs(top.dec - 2.1) < 0.4 and 3.5 < top.flux < 6.5
+    assert m.py.min() >= 0 and m.py.max() <= 4.35 + 1e-9 and len(m) > 200
+
+
+def test_daisy_motion_equals_the_transform_of_all_samples(spark, monkeypatch):
+    from starloom.operators import levelling
+    from starloom.operators.timeshift import period
+
+    raw = pd.concat([daisy().assign(ra=lambda d: d.ra * 15), daisy(period=13.0, centre=(20.0, -40.0)).assign(ra=lambda d: d.ra * 15, survey_id=1)]).astype({"survey_id": "int32"})
+    for bins in (levelling.TIME_BINS, 512):
+        monkeypatch.setattr(levelling, "TIME_BINS", bins)
+        for r in levelling.daisy_motion(spark.createDataFrame(raw).repartition(5)).collect():
+            p = raw[raw.survey_id == r.survey_id]
+            x, y = (p.ra.min() + p.ra.max()) / 2, (p.dec.min() + p.dec.max()) / 2
+            far = np.hypot((p.ra - x) * np.cos(np.radians(y)), p.dec - y)
+            assert (r.centre_ra, r.centre_dec, r.radius) == pytest.approx((x, y, far.max()))
+            assert r.period == pytest.approx(2 * period(p.t.to_numpy(), far.to_numpy()), rel=1e-6 if bins > 2000 else 5e-3)
+
+
+def test_many_files_are_one_plan_and_channels_are_cut(spark, tmp_path):
+    def write(name, k, history=()):
+        cols = {"UTSECS": np.arange(3) + 10.0 * k, "CRVAL2": np.full(3, 30.0), "CRVAL3": np.zeros(3), "ELEVATIO": np.full(3, 45.0), "NSAMPS": np.ones(3), "OBSFREQ": np.full(3, 1400.0), "CDELT1": np.full(3, 1e6), "DATA": np.arange(24.0).reshape(3, 8) + k}
+        (tmp_path / name).write_bytes(fits.table_file({"TELESCOP": "20m"}, cols, history=list(history)))
+        return str(tmp_path / name)
+
+    paths = [write(f"f {k}.fits", k) for k in range(40)]
+    few, many = (readers.read_observations(spark, p) for p in (paths[:2], paths))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(few) == plan(many)
+    assert sorted((r.survey_id, r.t) for r in many.select("survey_id", "t").collect()) == [(k, 10.0 * k + j) for k in range(40) for j in range(3)]
+    with pytest.raises(ValueError):
+        readers.read_observations(spark, paths[:1] * 2)
+    with pytest.raises(ValueError):
+        readers.read_observations(spark, [str(tmp_path / "x.dat")])
+    cut = write("cut.fits", 0, ["START,STOP channels [3, 6]"])
+    r = readers.read_observations(spark, [cut]).orderBy("row_id").first()
+    assert (r.first_channel, r.channels, r.data) == (2, 8, [2.0, 3.0, 4.0, 5.0])
+    # the channel at 1401 MHz is the same one, cut or not
+    band = config.Job(include=((1400.5, 1401.5),))
+    flux = [mapping.integrate(readers.read_observations(spark, [p]), band).orderBy("row_id").first().flux_r for p in (paths[0], cut)]
+    assert flux[0] == flux[1] == 4.0
+    # validated copies are read like the files they come from
+    from starloom.plans import validation
+    from starloom.sources import sinks
+
+    made = {r.path: r.written for r in sinks.write_validated(validation.validate(spark, [*paths[:2], cut]), str(tmp_path / "ok")).collect()}
+    assert sorted(made.values()) == [str(tmp_path / "ok" / f"{n}_validated.fits") for n in ("cut", "f 0", "f 1")] and len(list((tmp_path / "ok").iterdir())) == 3
+    names = ["t", "ra", "dumps", "first_channel", "channels", "data"]
+    both = [readers.read_observations(spark, [p]).orderBy("row_id").select(*names).collect() for p in (cut, made[readers.qualified(spark, cut)])]
+    assert both[0] == both[1]
