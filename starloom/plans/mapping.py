@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.operators import background, calibrate, geometry, levelling, neighbourhood, ordered, photometry, segment, spectral, surface, timeshift
+from starloom.operators import background, calibrate, geometry, levelling, local_surface, neighbourhood, ordered, photometry, segment, spectral, surface, timeshift
 from starloom.operators.grouped import SURVEYS
 from starloom.plans.config import Job
 from starloom.sources.tables import written
@@ -108,6 +108,19 @@ def prepare(samples: DataFrame, job: Job, beam: float, centre: tuple[float, floa
     return written(s.join(plane, ["survey_id", "scan_id"]), "prepared")
 
 
+def smoothed(samples: DataFrame, job: Job, beam: float) -> DataFrame:
+    """Prepared samples with the smooth surface through the large-scale data around each as flux; its noise replaces scatter2d."""
+    length = job.background_scale or 3.0
+    along = "radius" if job.pattern == "daisy" else "ang_dist"
+    noise = calibrate.large_scale_scatter(samples, along).select("survey_id", "scan_id", F.col("lss_scatter2d").alias("scatter2d"), "elevation_scatter")
+    s = samples.drop("scatter2d").join(noise, ["survey_id", "scan_id"])
+    gaps = neighbourhood.sampling_gap(s, beam).withColumn("theta_gap", F.degrees("theta_gap"))
+    s = written(s.join(gaps, ["survey_id", "scan_id", "sample_id"]).withColumn("reach", local_surface.search_radius(beam, length)), "wide")
+    made = local_surface.local_surfaces(s, max(length / 3, 1.0) * beam, "reach", flux="lss_data")
+    surface_ = made.select("survey_id", "scan_id", "sample_id", "surface")
+    return written(s.drop("flux", "theta_gap", "reach").join(surface_, ["survey_id", "scan_id", "sample_id"]).withColumnRenamed("surface", "flux"), "smooth")
+
+
 def levelled(samples: DataFrame, job: Job, beam: float, flux: str) -> DataFrame:
     """Prepared samples with the offsets of overlapping surveys taken off, if the job levels them."""
     return written(levelling.level(samples, beam, flux, geometry.footprint(samples, "daisy" if job.pattern == "daisy" else "raster")), "level") if job.level else samples
@@ -199,7 +212,8 @@ def run(spark: SparkSession, raw: DataFrame, job: Job, beam: float) -> dict[str,
     if job.raw_map:
         out["raw_map"] = map_pixels(levelled(prepare(samples, plain, beam, centre), job, beam, "flux"), plain, beam, centre)
     if job.large_scale:
-        out["large_scale"] = map_pixels(prepared.withColumn("flux", F.col("lss_data")), plain, beam, centre)
+        wide = smoothed(prepared, job, beam) if job.smooth_large_scale else prepared.withColumn("flux", F.col("lss_data"))
+        out["large_scale"] = map_pixels(wide, plain, beam, centre)
     if job.photometry:
         out["sources"] = source_table(out["map"], job, beam, prepared)
     return out

@@ -44,9 +44,14 @@ def test_planted_source_is_mapped(spark):
     assert far.flux.abs().median() < 0.5
     assert {"weight", "weight2", "scale", "correlation", "gap", "path", "terms"} <= set(m.columns)
     assert out["sources"].count() == 1
-    detected = mapping.source_table(out["map"], replace(job, centroid="detected", detect_limit=8.0), 1.0, mapping.prepare(mapping.scans(raw_survey(spark), job), job, 1.0, (0.0, 0.0)))
+    prepared = mapping.prepare(mapping.scans(raw_survey(spark), job), job, 1.0, (0.0, 0.0))
+    detected = mapping.source_table(out["map"], replace(job, centroid="detected", detect_limit=5.0), 1.0, prepared)
     (r,) = detected.collect()
     assert abs(r.ra_pix - 14) < 0.5 and abs(r.dec_pix - 2.45) < 0.5 and r.measured > 0
+    # the smooth surface follows the drift that the background took, and keeps the source out
+    wide = mapping.smoothed(prepared, job, 1.0).toPandas()
+    drift = (0.3 * (wide.ra - 10) + 1) - wide.flux
+    assert drift.abs().median() < 0.3 and wide.flux.max() < 4.5 and wide.scatter2d.gt(0).all() and wide.elevation_scatter.notna().any()
 
 
 def test_settings(tmp_path):

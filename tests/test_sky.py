@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from starloom.operators import calibrate, geometry, neighbourhood, photometry, segment, spatial, surface
@@ -186,3 +187,52 @@ def test_crowded_cells_are_cut_and_change_nothing(spark):
     assert len(found[0][0]) == len(rows) - 1
     for a, b in zip(*found):
         assert (a[keys] == b[keys]).all().all() and np.allclose(a.iloc[:, 3:], b.iloc[:, 3:], equal_nan=True)
+
+
+def test_local_surfaces_equal_brute_force_and_leave_sources_out(spark):
+    """A wide polynomial glow is recovered at every sample, however a narrow source stands in it; coefficients are those of a library's fit."""
+    from starloom.operators import local_surface
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(14):
+        for k in range(18):
+            x, y = 0.25 * k, 0.3 * s
+            glow = 2 + 0.5 * x - 0.3 * y + 0.1 * x * x + 0.05 * x * y
+            rows.append((0, s, k, x, y, float(glow + 8 * np.exp(-0.5 * (((x - 2) / 0.15) ** 2 + ((y - 2.1) / 0.15) ** 2)) + rng.normal(0, 0.02)), glow, 0.05, 1.0 + k % 2, 0.1, 1.0 + 0.25 * (s % 3)))
+    names = "survey_id int, scan_id int, sample_id int, ra double, dec double, flux double, glow double, scatter2d double, dumps double, theta_gap double, radius double"
+    samples = spark.createDataFrame(rows, names)
+    got = local_surface.local_surfaces(samples, 1.5).toPandas().merge(samples.toPandas(), on=["survey_id", "scan_id", "sample_id"])
+    assert len(got) == len(rows) and set(got.terms) <= {3, 6, 10} and (got.n_kept < got.n).any()
+    assert (got.surface - got.glow).abs().quantile(0.97) < 0.25 and (got.surface - got.glow).abs().median() < 0.03
+    # one round, by a library
+    one = local_surface.local_surfaces(samples, 1.5, rounds=1).toPandas().set_index(["scan_id", "sample_id"])
+    all_ = pd.DataFrame(rows, columns=[n.split()[0] for n in names.split(", ")])
+    for r in all_.iloc[::17].itertuples():
+        d = np.hypot(all_.ra - r.ra, all_.dec - r.dec)
+        p = all_[d < r.radius].assign(d=d)
+        half = max(2 * r.radius / 3, 4 / 3 * 0.1)
+        w = (p.dumps * np.cos(np.pi * p.d / (2 * r.radius)) ** (-np.log(2) / np.log(np.cos(np.pi * half / (4 * r.radius))))).to_numpy()
+        for last in (False, True):
+            n = p.groupby("scan_id").size()
+            terms = 10 if len(n) >= 5 and n.max() >= 5 and len(p) >= 10 else 6 if len(n) >= 4 and n.max() >= 4 and len(p) >= 6 else 3
+            a = np.column_stack([(p.ra - r.ra) ** i * (p.dec - r.dec) ** j for i, j in local_surface.TERMS[:terms]])
+            c = np.linalg.lstsq(a * np.sqrt(w)[:, None], p.flux * np.sqrt(w), rcond=None)[0]
+            far = w * (p.flux - a @ c) ** 2
+            free = w.sum() - terms * (w**2).sum() / w.sum()
+            if last or free <= 0 or np.sqrt(far.sum() / free) <= 0.05:
+                break
+            keep = np.arange(len(p)) != int(far.to_numpy().argmax())
+            p, w = p[keep], w[keep]
+        mine = one.loc[(r.scan_id, r.sample_id)]
+        assert mine.n_kept == len(p) and mine.terms == terms and np.allclose(mine.coefficients, c, atol=1e-6)
+        # across a scan along x the curvature is that of y
+        assert mine.curvature == pytest.approx(2 * c[local_surface.TERMS.index((0, 2))] if terms > 3 else 0.0, abs=1e-6)
+
+
+def test_search_radius_follows_the_scan(spark):
+    from starloom.operators import local_surface
+
+    s = spark.createDataFrame([(0, 0, k, float(k)) for k in range(11)], "survey_id int, scan_id int, sample_id int, ang_dist double")
+    got = [r.r for r in s.withColumn("r", local_surface.search_radius(2.0, 9.0)).orderBy("sample_id").collect()]
+    assert got == pytest.approx([max(min(6.0, 2 * max(k, 10 - k) / 3), 2.0) for k in range(11)])
