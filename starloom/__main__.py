@@ -32,6 +32,8 @@ def main(argv: list[str]) -> None:
         raw = mapping.integrate(raw, job)
     for name, df in mapping.run(spark, raw, job, beam).items():
         df.write.mode("overwrite").parquet(f"{job.output}/{name}")
+        if job.text and name != "sources":
+            sinks.write_text_layers(spark.read.parquet(f"{job.output}/{name}"), f"{job.output}/{name}-text")
         if job.fits and name != "sources":
             pixels = spark.read.parquet(f"{job.output}/{name}")
             sinks.write_map_file(pixels, f"{job.output}/{name}.fits", job.pixel_scale * beam, sinks.job_cards(job, beam, frequency))

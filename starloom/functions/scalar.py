@@ -108,11 +108,6 @@ def map_pattern(mode: Column) -> Column:
     return F.struct(kind.alias("map_type"), along.alias("scans_in_ra"))
 
 
-def rfi_limit(telescope: str | None = None, frequency_ghz: float | None = None, mjd: int | None = None) -> float:
-    """The interference limit; it has the same value for every instrument."""
-    return 0.8
-
-
 def unset(x: Column) -> Column:
     """NULL for the encodings of a missing number: NaN and plus or minus 999999."""
     return F.when(~F.isnan(x) & (F.abs(x) != 999999.0), x)

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from starloom.functions import scalar
 from starloom.operators import rcr
-from starloom.operators.grouped import with_survey
+from starloom.operators.grouped import summarised, with_survey
 from starloom.operators.spatial import LINES, in_boxes, inside_survey
 from starloom.sources.tables import written
 
@@ -23,11 +23,20 @@ def scan_bounds(samples: DataFrame) -> DataFrame:
     )
 
 
-def data_bounds(samples: DataFrame) -> DataFrame:
-    """survey_id with robust means of the scans' bounds and medians, so that single runaway scans do not count."""
-    b = samples.groupBy("survey_id", "scan_id").agg(*[f(c).alias(f"{c}_{k}") for c in ("ra", "dec") for k, f in (("min", F.min), ("max", F.max), ("mid", F.median))])
-    long_ = b.select("survey_id", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in b.columns[2:]])).alias("v")).select("survey_id", "v.name", "v.value")
-    return rcr.by_group(long_, ["survey_id", "name"], "value", None, "LS_MODE_68").groupBy("survey_id").pivot("name", ["ra_min", "ra_max", "ra_mid", "dec_min", "dec_max", "dec_mid"]).agg(F.first("mu"))
+def robust_bounds(samples: DataFrame, technique: str = "SS_MEDIAN_DL") -> tuple[float, float, float, float] | None:
+    """Least and greatest ra, least and greatest dec over all surveys, from the scans' extremes that survive the rejection of a survey's, so that
+    stray scans do not enlarge a map. An extreme next to the surviving ones, within the width that they have, is kept. None without samples."""
+    ends = samples.groupBy("survey_id", "scan_id").agg(*[(k * f(c)).alias(f"{c}_{k}") for c in ("ra", "dec") for k, f in ((1, F.min), (-1, F.max))])
+    each = ends.select("survey_id", F.explode(F.array(*[F.struct(F.lit(n).alias("end"), F.col(n).alias("value")) for n in ends.columns[2:]])).alias("v")).select("survey_id", "v.end", "v.value")
+
+    def run(value: np.ndarray) -> tuple:
+        kept = value[rcr.reject(value, None, technique, True).flags] if len(value) > 2 else value
+        width = max(float(kept.max() - kept.min()), 1e-9)
+        return (float(value[value >= kept.min() - width].min()),)
+
+    least = summarised(each.filter("value is not null"), ["survey_id", "end"], ["value"], "least double", run, ["value"])
+    found = {r["end"]: r["least"] for r in least.groupBy("end").agg(F.min("least").alias("least")).collect()}
+    return (found["ra_1"], -found["ra_-1"], found["dec_1"], -found["dec_-1"]) if found else None
 
 
 def grid_shape(bounds: DataFrame, beam: float, rfi: float) -> DataFrame:

@@ -123,20 +123,30 @@ def _surviving(d, z, w, scatter, radius):
     return kept, values
 
 
-def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str = "dec", flux: str = "flux", scatter: str = "scatter2d", weight: str = "dumps") -> DataFrame:
+def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str = "dec", flux: str = "flux", scatter: str = "scatter2d", weight: str = "dumps", extra: DataFrame | None = None) -> DataFrame:
     """survey_id, scan_id, sample_id, model, gm_weight, correlation of every sample that some local model keeps.
 
     A local model is fitted around every sample; each sample it keeps gets its value and a weight; a sample's
-    values are combined by the robust mean. Samples that no model keeps have no row. Radius 0 is no stage.
+    values are combined by the robust mean. Samples that no model keeps have no row. Radius 0 is no stage. `extra` has more
+    places (mx, my) around which models are fitted.
     """
     columns = [flux, scatter, weight]
+    if extra is not None:
+        # places travel as samples without a scan
+        more = extra.select(F.col("mx").alias(x), F.col("my").alias(y))
+        samples = samples.select("survey_id", "scan_id", "sample_id", x, y, *columns).unionByName(more, allowMissingColumns=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pdf["scan_id"].isna().to_numpy()
+        middles = pdf.loc[pdf["own"], [x, y]].to_numpy(float)
+        pdf = pdf[~place]
         px, py, z, dumps, noise = (pdf[c].to_numpy(float) for c in (x, y, flux, weight, scatter))
         near = _Near(px, py, radius)
         rows = []
-        for i in np.flatnonzero(pdf["own"].to_numpy(bool)):
-            at, d = near.of(px[i], py[i])
+        for mx, my in middles:
+            at, d = near.of(mx, my)
+            if not len(at):
+                continue
             w = dumps[at] / np.maximum(noise[at], 1e-12) ** 2
             kept, value = _surviving(d, z[at], w, float(noise[at].mean()), radius)
             p = np.cos(np.pi * d / (2 * radius)) ** 2

@@ -25,14 +25,6 @@ def split_raster(raw: DataFrame) -> DataFrame:
     return ends.withColumns({"segment": segment, "scan_id": F.when(valid, F.col("sweep"))}).drop("first__", "last__")
 
 
-def split_forty(raw: DataFrame) -> DataFrame:
-    """The same for 40-foot sections: -1 in `section` marks calibration, other values are scan numbers."""
-    scan = F.col("section") >= 0
-    ends = with_survey(raw, first__=F.min(F.when(scan, F.col("t"))))
-    segment = F.when(scan, "scan").when(F.col("t") < F.col("first__"), "pre").otherwise("post")
-    return ends.withColumns({"segment": segment, "scan_id": F.when(scan, F.col("section"))}).drop("first__")
-
-
 def split_daisy(raw: DataFrame, motion: DataFrame) -> DataFrame:
     """Cuts the single sweep of each daisy into petals, scans from one farthest point to the next; calibration rows are
     marked as in split_raster.
@@ -126,10 +118,6 @@ def parsable_times(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.try_to_timestamp(column).isNotNull())
 
 
-def select_band(df: DataFrame, if_num: int, pol_num: int) -> DataFrame:
-    return df.filter((F.col("if_num") == if_num) & (F.col("pol_num") == pol_num))
-
-
 def channel_count(df: DataFrame) -> DataFrame:
     """Number of distinct bands times polarisations."""
     return df.agg((F.countDistinct("if_num") * F.countDistinct("pol_num")).alias("n_channels"))

@@ -12,10 +12,6 @@ def bin_of(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("int")
 
 
-def binned(points: DataFrame, x: str, y: str, size: float, prefix: str = "bin") -> DataFrame:
-    return points.withColumns({f"{prefix}_x": bin_of(F.col(x), size), f"{prefix}_y": bin_of(F.col(y), size)})
-
-
 def range_join(probe: DataFrame, build: DataFrame, radius: float, probe_xy: tuple[str, str], build_xy: tuple[str, str], distance: str = "flat", reach: int = 1, out: str = "distance") -> DataFrame:
     """Pairs of probe and build rows at most `radius` apart, with their distance.
 

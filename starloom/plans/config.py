@@ -27,7 +27,8 @@ class Job:
     calibration `auto` interpolates the gain only where it drifts. gain_start and gain_end replace the noise signal's
     heights in both channels; -999 is none. places are the sources' coordinates for the centroid `coordinates`; `detected`
     takes all places that stand `detect_limit` scatters out of the samples. `level` takes the offsets of overlapping surveys off
-    large-scale and raw maps. `smooth_large_scale` maps smooth surfaces through the large-scale data. `paired` text files of the 40 foot telescope are channels of one survey; `validate` maps the
+    large-scale and raw maps. `extra_models` fits interference
+    models on a grid around detected sources too; `text` writes layers as text. `smooth_large_scale` maps smooth surfaces through the large-scale data. `paired` text files of the 40 foot telescope are channels of one survey; `validate` maps the
     validated copies of SDFITS files, which are written beside the output.
     large_scale adds a map of the background; fits writes every map as FITS too.
     """
@@ -57,6 +58,8 @@ class Job:
     detect_limit: float = 75.0
     level: bool = False
     smooth_large_scale: bool = False
+    extra_models: bool = False
+    text: bool = False
     paired: bool = False
     validate: bool = False
     trim: float = 0.0

@@ -131,6 +131,15 @@ def shifted(samples: DataFrame, shift: float | Column) -> DataFrame:
     return moved.withColumns({"ra": F.col("ra_shifted"), "dec": F.col("dec_shifted")}).drop("ra_shifted", "dec_shifted")
 
 
+def bright_places(samples: DataFrame, job: Job, beam: float) -> DataFrame | None:
+    """Places of more models around detected sources, where the surveys' smallest gap is narrow enough for them."""
+    least = geometry.gap_threshold(samples, centre="center_idx" if job.pattern == "daisy" else None).agg(F.min("gap")).first()[0]
+    if not least or not (least / beam) ** 0.5 < job.rfi_scale < 1:
+        return None
+    sources = photometry.detect(samples.withColumn("survey_id", F.lit(0)), beam, job.detect_limit).select("ra", "dec")
+    return written(neighbourhood.extra_models(sources, beam, job.rfi_scale, least).select("mx", "my").distinct(), "extra")
+
+
 def map_pixels(samples: DataFrame, job: Job, beam: float, centre: tuple[float, float]) -> DataFrame:
     """Pixels of all layers from prepared samples: interference off, gaps measured, surfaces fitted.
 
@@ -144,7 +153,8 @@ def map_pixels(samples: DataFrame, job: Job, beam: float, centre: tuple[float, f
         centre = geometry.middle(sky) or centre
         samples = geometry.on_plane(sky, centre)
     if job.rfi_scale and not job.skip_rfi:
-        models = neighbourhood.interference_models(samples, job.rfi_scale * beam)
+        extra = bright_places(samples, job, beam) if job.extra_models else None
+        models = neighbourhood.interference_models(samples, job.rfi_scale * beam, extra=extra)
         samples = samples.join(models, ["survey_id", "scan_id", "sample_id"]).filter(~F.isnan("model")).withColumn("flux", F.col("model")).drop("model")
     else:
         samples = samples.withColumns({"gm_weight": F.lit(1.0), "correlation": F.lit(1.0)})
@@ -160,7 +170,7 @@ def map_pixels(samples: DataFrame, job: Job, beam: float, centre: tuple[float, f
     least = geometry.gap_threshold(samples, centre="center_idx" if daisy else None)
     gaps = neighbourhood.sampling_gap(geometry.least_gap(samples, edges, least), beam, "min_gap")
     samples = written(samples.join(gaps, ["survey_id", "scan_id", "sample_id"]).withColumn("theta_gap", F.degrees("theta_gap")), "gapped")
-    b = samples.agg(F.min("ra"), F.max("ra"), F.min("dec"), F.max("dec")).first()
+    b = geometry.robust_bounds(samples)
     step = job.pixel_scale * beam
     grid = surface.pixel_grid(spark, (b[0], b[1]), (b[2], b[3]), step)
     pixel = ["x_pix", "y_pix", "px", "py"]

@@ -236,7 +236,7 @@ def read_observations(spark: SparkSession, paths: list[str], telescope: str | No
 
 
 def describe(spark: SparkSession, path: str) -> dict:
-    """telescope, frequency (GHz, corrected by year), map_type and scans_in_ra of an observation, as far as its header says."""
+    """telescope, frequency (GHz, corrected by year), band (MHz) and map_type of an observation, as far as its header says."""
     from starloom.functions.scalar import map_pattern
     from starloom.operators.segment import corrected_frequency
 
@@ -247,6 +247,8 @@ def describe(spark: SparkSession, path: str) -> dict:
         if "OBSFREQ" in head:
             year = observation_year(head["DATE"]) if "DATE" in head else 9999
             out["frequency"] = corrected_frequency(float(head["OBSFREQ"]) / 1000, year)
+        if "OBSFREQ" in head and "OBSBW" in head:
+            out["band"] = frequency_range(head, parse_history(head.get("HISTORY", "").split("\n")))
         mode = head.get("OBSMODE")
     else:
         row = read_ascii_header(spark, path).first()

@@ -20,13 +20,20 @@ def layer_rows(pixels: DataFrame, layer: str, n_x: int) -> DataFrame:
     return rows.select("y_pix", F.array_join(F.transform("cells", lambda c: c["v"]), "\t").alias("line"))
 
 
-def write_text_layer(pixels: DataFrame, layer: str, n_x: int, path: str) -> None:
-    layer_rows(pixels, layer, n_x).sort("y_pix").select("line").write.mode("overwrite").text(path)
+TEXT_LAYERS = ("flux", "weight", "weight2", "correlation", "scale", "path")
+
 
+def write_text_layers(pixels: DataFrame, folder: str) -> None:
+    """A folder of text for each layer that the map has."""
+    n_x = pixels.agg(F.max("x_pix")).first()[0]
+    for layer in TEXT_LAYERS if n_x is not None else ():
+        if layer in pixels.columns:
+            write_text_layer(pixels, layer, n_x + 1, f"{folder}/{layer}")
 
-def write_map(pixels: DataFrame, path: str) -> None:
-    """All layers as Parquet, in map order."""
-    pixels.repartitionByRange("y_pix", "x_pix").sortWithinPartitions("y_pix", "x_pix").write.mode("overwrite").parquet(path)
+
+def write_text_layer(pixels: DataFrame, layer: str, n_x: int, path: str) -> None:
+    """A map's layer as text, a line a map row."""
+    layer_rows(pixels, layer, n_x).sort("y_pix").select("line").write.mode("overwrite").text(path)
 
 
 def map_cards(step: float, x0: float, y0: float, n_x: int, **rest) -> dict:

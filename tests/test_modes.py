@@ -169,10 +169,13 @@ def test_command_line_writes_fits(spark, tmp_path):
     cols = {"UTSECS": two.t.to_numpy(), "CRVAL2": two.ra.to_numpy() * 15, "CRVAL3": two.dec.to_numpy(), "AZIMUTH": two.az.to_numpy(), "ELEVATIO": two.el.to_numpy(), "NSAMPS": two.dumps.to_numpy(), "CALSTATE": two.cal_state.to_numpy("i4"), "SWPINDEX": two.sweep.to_numpy("i4"), "SWPVALID": two.valid.to_numpy("i4"), "CDELT1": np.full(len(two), 0.5), "OBSFREQ": np.full(len(two), 1400.0), "DATA": np.stack([two.flux_l.to_numpy() / 2] * 2, axis=1)}
     (tmp_path / "a.fits").write_bytes(fits.table_file({"TELESCOP": "20m", "DATE": "2020-01-02", "OBSMODE": "ralongmap", "OBSFREQ": 1400.0}, cols))
     assert readers.describe(spark, str(tmp_path / "a.fits")) == {"telescope": "20m", "frequency": 1.4, "map_type": "raster"}
-    command.main([str(tmp_path / "a.fits"), "--output", str(tmp_path / "out"), "--fits", "--background-scale", "0", "--rfi-scale", "0", "--time-shift", "off", "--pixel-scale", "0.25"])
+    command.main([str(tmp_path / "a.fits"), "--output", str(tmp_path / "out"), "--fits", "--text", "--validate", "--background-scale", "0", "--rfi-scale", "0", "--time-shift", "off", "--pixel-scale", "0.25"])
     written = spark.read.parquet(str(tmp_path / "out/map"))
     top = written.filter("not isnan(flux)").orderBy(F.desc("flux")).first()
     assert abs(top.ra - 14) < 0.5 and abs(top.dec - 2.45) < 0.5
+    lines = [x.value for x in spark.read.text(str(tmp_path / "out/map-text/flux")).collect()]
+    assert len(lines) == written.agg(F.max("y_pix")).first()[0] + 1 - written.agg(F.min("y_pix")).first()[0] and max(float(v) for x in lines for v in x.split("\t") if v != "nan") == pytest.approx(top.flux)
+    assert (tmp_path / "out/validated/a_validated.fits").exists()
     head, data = fits.image((tmp_path / "out/map.fits").read_bytes(), 0)
     assert head["RCPATRN"] == "raster" and np.isclose(np.nanmax(data), top.flux)
     row, col = np.unravel_index(np.nanargmax(data), data.shape)
@@ -213,6 +216,37 @@ def test_daisy_motion_equals_the_transform_of_all_samples(spark, monkeypatch):
             assert r.period == pytest.approx(2 * period(p.t.to_numpy(), far.to_numpy()), rel=1e-6 if bins > 2000 else 5e-3)
 
 
+def test_stray_scans_do_not_enlarge_a_map(spark):
+    rows = [(0, s, k, 10 + 0.2 * k + 0.02 * s, 0.3 * s) for s in range(14) for k in range(30)]
+    whole = geometry.robust_bounds(spark.createDataFrame(rows, "survey_id int, scan_id int, sample_id int, ra double, dec double"))
+    assert whole == pytest.approx((10.0, 10 + 0.2 * 29 + 0.26, 0.0, 3.9))
+    stray = [*rows, (0, 14, 0, 90.0, 4.2), (0, 14, 1, 13.0, 4.2), (0, 15, 0, 12.0, -70.0), (0, 15, 1, 13.0, 4.5)]
+    bounds = geometry.robust_bounds(spark.createDataFrame(stray, "survey_id int, scan_id int, sample_id int, ra double, dec double"))
+    assert 10 - 1 < bounds[0] <= 10.0 and bounds[1] < 20 and -5 < bounds[2] <= 0.0 and 3.9 <= bounds[3] < 6
+    assert geometry.robust_bounds(spark.createDataFrame([], "survey_id int, scan_id int, sample_id int, ra double, dec double")) is None
+
+
+def test_models_on_more_places_and_header_bands(spark):
+    from starloom.operators import neighbourhood
+
+    rng = np.random.default_rng(3)
+    rows = [(0, s, k, 0.2 * k, 0.2 * s, float(rng.normal(0, 0.1) + (6 if (s, k) == (4, 5) else 0)), 0.1, 1.0) for s in range(10) for k in range(12)]
+    samples = spark.createDataFrame(rows, "survey_id int, scan_id int, sample_id int, ra double, dec double, flux double, scatter2d double, dumps double")
+    none = neighbourhood.interference_models(samples, 0.7).toPandas()
+    places = spark.createDataFrame([(1.0, 0.8), (1.1, 0.9), (50.0, 50.0)], "mx double, my double")
+    more = neighbourhood.interference_models(samples, 0.7, extra=places).toPandas()
+    both = none.merge(more, on=["survey_id", "scan_id", "sample_id"])
+    assert len(both) == len(none) == len(more)
+    far = np.hypot(0.2 * both.sample_id - 1.05, 0.2 * both.scan_id - 0.85) > 0.9
+    assert np.allclose(both.model_x[far], both.model_y[far]) and (both.gm_weight_x != both.gm_weight_y)[~far].any()
+    assert readers.frequency_range({"OBSFREQ": "1400", "OBSBW": "80"}, {}) == (1360.0, 1440.0)
+    assert readers.frequency_range({"OBSFREQ": "1400", "OBSBW": "80"}, readers.parse_history(["RFFILTER 1370,1500"])) == (1370.0, 1440.0)
+    sources = spark.createDataFrame([(5.0, 5.0)], "ra double, dec double")
+    assert neighbourhood.extra_models(sources, 1.0, 0.2, 0.1).count() == 0
+    grid = neighbourhood.extra_models(sources, 1.0, 0.7, 0.1).toPandas()
+    assert len(grid) > 8 and (np.hypot(grid.mx - 5, grid.my - 5) <= 2 * (1 - 0.49) + 1e-9).all()
+
+
 def test_many_files_are_one_plan_and_channels_are_cut(spark, tmp_path):
     def write(name, k, history=()):
         cols = {"UTSECS": np.arange(3) + 10.0 * k, "CRVAL2": np.full(3, 30.0), "CRVAL3": np.zeros(3), "ELEVATIO": np.full(3, 45.0), "NSAMPS": np.ones(3), "OBSFREQ": np.full(3, 1400.0), "CDELT1": np.full(3, 1e6), "DATA": np.arange(24.0).reshape(3, 8) + k}
