@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import moments, scalar
 from starloom.operators import background, calibrate, geometry, neighbourhood, ordered, photometry, rcr, segment, spatial, spectral, surface, timeshift
+from starloom.operators.grouped import summarised
 from starloom.plans.catalogue import ORACLES, QUERIES, query
 from starloom.sources.adapter import EVENT_SAMPLES, SCATTER_POINTS, event_samples, scatter_points, spectra, table
 
@@ -522,13 +523,31 @@ def edge_lines(spark: SparkSession, d: str) -> DataFrame:
     return geometry.edge_lines(event_samples(spark, d))
 
 
-@query("half_sample_mode")
+@query(
+    "half_sample_mode",
+    f"""WITH RECURSIVE {EVENT_SAMPLES}, p AS (SELECT scan_id, flux AS y, dumps AS w, row_number() OVER (PARTITION BY scan_id ORDER BY flux, dumps) AS i FROM samples),
+    st AS (
+      SELECT scan_id, 1::BIGINT AS lo, count(*)::BIGINT AS hi, 0 AS step FROM p GROUP BY scan_id
+      UNION ALL
+      (WITH q AS (SELECT st.scan_id, st.lo, st.hi, st.step, p.i, p.y, sum(p.w) OVER (PARTITION BY p.scan_id ORDER BY p.i) - p.w / 2 AS pos, sum(p.w) OVER (PARTITION BY p.scan_id) / 2 AS half
+                  FROM st JOIN p ON p.scan_id = st.scan_id AND p.i BETWEEN st.lo AND st.hi WHERE st.hi - st.lo >= 2),
+       s AS (SELECT a.scan_id, a.lo, a.hi, a.step, a.i AS first, max(b.i) AS last FROM q a JOIN q b USING (scan_id) WHERE a.pos <= a.half * (1 + 1e-8) AND b.pos <= (a.pos + a.half) * (1 + 1e-8) GROUP BY ALL
+             UNION ALL SELECT a.scan_id, a.lo, a.hi, a.step, min(b.i), a.i FROM q a JOIN q b USING (scan_id) WHERE a.pos >= a.half * (1 - 1e-8) AND b.pos >= (a.pos - a.half) * (1 - 1e-8) GROUP BY a.scan_id, a.lo, a.hi, a.step, a.i),
+       t AS (SELECT s.*, z.y - x.y AS span, min(z.y - x.y) OVER (PARTITION BY s.scan_id) AS best FROM s JOIN p x ON x.scan_id = s.scan_id AND x.i = s.first JOIN p z ON z.scan_id = s.scan_id AND z.i = s.last)
+       SELECT scan_id, min(first), max(last), any_value(step) + 1 FROM t WHERE span <= best + 1e-8 * greatest(abs(best), 1e-300) GROUP BY scan_id HAVING min(first) > any_value(lo) OR max(last) < any_value(hi))),
+    e AS (SELECT scan_id, lo, hi FROM st QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY step DESC) = 1),
+    c AS (SELECT p.scan_id, p.i, p.y, sum(p.w) OVER (PARTITION BY p.scan_id ORDER BY p.i) - p.w / 2 AS pos, sum(p.w) OVER (PARTITION BY p.scan_id) / 2 AS half FROM p JOIN e ON p.scan_id = e.scan_id AND p.i BETWEEN e.lo AND e.hi),
+    d AS (SELECT scan_id, arg_max(y, i) FILTER (pos <= half) AS y0, max(pos) FILTER (pos <= half) AS a0, arg_min(y, i) FILTER (pos > half) AS y1, min(pos) FILTER (pos > half) AS a1, any_value(half) AS half, min(y) AS low FROM c GROUP BY scan_id)
+    SELECT scan_id, round(CASE WHEN y0 IS NULL THEN low WHEN y1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (half - a0) / (a1 - a0) END, 6) + 0.0 AS mode FROM d""",
+)
 def half_sample_mode(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["flux", "dumps"])
-        return pd.DataFrame([[p["scan_id"].iloc[0], rcr.mode(p["flux"].to_numpy(float), p["dumps"].to_numpy(float))]])
+    """The half-sample mode of each scan's weighted fluxes."""
+
+    def run(y: np.ndarray, w: np.ndarray) -> tuple:
+        return (rcr.mode(y, w),)
 
-    return event_samples(spark, d).select("scan_id", "flux", "dumps").groupBy("scan_id").applyInPandas(run, "scan_id int, mode double")
+    found = summarised(event_samples(spark, d), ["scan_id"], ["flux", "dumps"], "mode double", run, ["flux", "dumps"])
+    return found.select("scan_id", r6("mode").alias("mode"))
 
 
 from starloom.plans import more_queries  # noqa: E402, F401  (registers its queries)
