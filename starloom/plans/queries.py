@@ -550,4 +550,4 @@ def half_sample_mode(spark: SparkSession, d: str) -> DataFrame:
     return found.select("scan_id", r6("mode").alias("mode"))
 
 
-from starloom.plans import more_queries  # noqa: E402, F401  (registers its queries)
+from starloom.plans import more_queries, robust_queries  # noqa: E402, F401  (register their queries)
