@@ -90,24 +90,28 @@ class Model:
         self.lead = len(self.lib.encode("\n"))
         self.units = tokens.WordCache(lambda new: [array("i", x[self.lead :]).tobytes() for x in self.lib.encode(["\n" + u for u in new], num_threads=1)])
 
+    def _step(self, text: bytes, at: int) -> tuple[int, bytes]:
+        """Length of the next user symbol, known prefix or character, and what stands for it."""
+        own = next((u for u in self.user if text.startswith(u, at)), None)
+        hit = (len(own), own) if own else self.map.longest(text, at)
+        if hit is None:
+            width = 1 if text[at] < 0x80 else 2 if text[at] < 0xE0 else 3 if text[at] < 0xF0 else 4
+            hit = (width, text[at : at + width])
+        return hit
+
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes and, for each of them and the end, its source byte offset."""
         out, source, at = bytearray(), [], 0
         n = len(text)
         if self.squeeze:
-            while at < n and text[at] == 32:
-                at += 1
+            while at < n and (first := self._step(text, at))[1] == b" ":
+                at += first[0]
         if n and at < n and self.dummy:
             out += SPACE if self.escape else b" "
             source += [at] * (len(SPACE) if self.escape else 1)
         space = self.squeeze
         while at < n:
-            own = next((u for u in self.user if text.startswith(u, at)), None)
-            hit = (len(own), own) if own else self.map.longest(text, at)
-            if hit is None:
-                width = 1 if text[at] < 0x80 else 2 if text[at] < 0xE0 else 3 if text[at] < 0xF0 else 4
-                hit = (width, text[at : at + width])
-            size, new = hit
+            size, new = self._step(text, at)
             if self.squeeze:
                 while space and new.startswith(b" "):
                     new = new[1:]

@@ -523,3 +523,54 @@ def test_word_spans():
     data, offsets = text.buffers(text.strings(pa.array(["a  b"])))
     starts, ends, at = text.word_spans(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"a", b"b"] and at.tolist() == [0, 2]
+
+
+@pytest.fixture(scope="module")
+def mapped_model(tmp_path_factory):
+    """The public model with the compiled character map that the library has for NFKC, nothing trained."""
+    import public_tokenizers as P
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def proto(raw):
+        m = pb.ModelProto()
+        m.ParseFromString(raw)
+        return m
+
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        m = proto(f.read())
+    m.normalizer_spec.CopyFrom(proto(rules.serialized_model_proto()).normalizer_spec)
+    path = tmp_path_factory.mktemp("model") / "nfkc.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@settings(max_examples=300, deadline=None)
+@given(t=st.text(st.sampled_from("aB Ｈ①½ﬁ㌔ﾃｽﾄéä…™ ​\t\r\n　日🎉≪ﷺ"), max_size=20) | st.text(max_size=20))
+def test_a_compiled_character_map_equals_the_library(mapped_model, t):
+    m = pieces.model(mapped_model)
+    assert len(m.map.units) > 10_000 and not m.splits
+    made, source = m.normalise(t.encode("utf-8", "ignore"))
+    t = t.encode("utf-8", "ignore").decode()
+    want, offsets = m.lib.normalize(t, with_offsets=True)
+    assert made.decode() == want
+    # the source of each normalised character, in bytes
+    at = np.cumsum([0, *(len(c.encode()) for c in t)])
+    first = np.cumsum([0, *(len(c.encode()) for c in want)])
+    assert [int(source[i]) for i in first[:-1]] == [int(at[o]) for o in offsets[: len(want)]]
+
+
+def test_spans_under_a_compiled_character_map(spark, mapped_model):
+    texts = ["Ｈｅｌｌｏ　ｗｏｒｌｄ ①②", "  ﬁne ﬂag ½ ", None, "日本語ﾃｽﾄ…", "plain words"]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), mapped_model).collect()
+    lib = pieces.model(mapped_model).lib
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        p = r.pieces
+        assert p.ids == [*lib.encode(t), lib.eos_id()] and p.decoded == lib.decode(p.ids)
+        assert p.begin == sorted(p.begin) and p.end == sorted(p.end) and all(a <= b <= len(t.encode()) for a, b in zip(p.begin, p.end))
+    (hello,) = [r.pieces for r in rows if r.doc_id == 0]
+    raw = texts[0].encode()
+    shown = [raw[a:b].decode() for a, b in zip(hello.begin, hello.end)]
+    assert "".join(shown) == texts[0] and shown[0].startswith("Ｈ")
