@@ -111,7 +111,7 @@ def edited(text: str, following: str) -> str:
 
 def _chained(p: Params):
     """Rows come sorted by part; each row that is no ghost is compared with the row after it in its part."""
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_prints"]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_prints", "positions"]
 
     def run(batches):
         held = None
@@ -127,10 +127,10 @@ def _chained(p: Params):
             out: list[list] = [[] for _ in names]
             for i, t, (h, _) in zip(pairs, changed, again):
                 own = prints[i][0]
-                row = (rows[i][2], len(rows[i][3]), hashlib.sha256(t.encode()).hexdigest(), shown(own), shown(h), likeness(own, h), likeness(own, prints[i + 1][0]), len(own))
+                row = (rows[i][2], len(rows[i][3]), hashlib.sha256(t.encode()).hexdigest(), shown(own), shown(h), likeness(own, h), likeness(own, prints[i + 1][0]), len(own), ",".join(map(str, prints[i][1].tolist())))
                 for column, x in zip(out, row):
                     column.append(x)
-            kinds = [b.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [b.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     return run
@@ -145,7 +145,7 @@ def _splits(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
 
 
 def compare_with_next(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document against its text edited with the next document's start, and against the next document.
+    """Each document against its text edited with the next document's start, and against the next document; its prints and their places.
 
     The next document is the one with the next smaller id (null ids last, ties by a hash of the text); after the
     last comes the first. Ids are whole numbers. Rows are laid out in stretches of the order; the first row of
@@ -184,5 +184,5 @@ def compare_with_next(docs: DataFrame, p: Params = Params(), id_col: str = "doc_
     placed = named.select("id", "order", "tie", "text", F.explode(places("order", "tie")).alias("at")).select("id", "order", "tie", "text", "at.part", "at.ghost")
     placed = placed.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "ghost", F.col("order").desc(), F.col("tie").desc())
     kind = named.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_prints bigint"
+    schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_prints bigint, positions string"
     return placed.select("part", "ghost", "id", "text").mapInArrow(_chained(p), schema).withColumnRenamed("id", id_col)

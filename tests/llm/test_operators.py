@@ -574,3 +574,48 @@ def test_spans_under_a_compiled_character_map(spark, mapped_model):
     raw = texts[0].encode()
     shown = [raw[a:b].decode() for a, b in zip(hello.begin, hello.end)]
     assert "".join(shown) == texts[0] and shown[0].startswith("Ｈ")
+
+
+def plain_prints(t, k=16, w=32):
+    """(hash, place) of each window's smallest k-gram hash, the rightmost of equal ones, with whole numbers and loops."""
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) >> 24
+
+    def polynomial(part):
+        h = 0
+        for c in part:
+            h = (h * 0xD6E8FEB86659FD93 + ord(c)) & mask
+        return h
+
+    if not t:
+        return []
+    if len(t) < k:
+        return [(mixed(polynomial(t) + len(t) & mask), 0)]
+    hashes = [mixed(polynomial(t[i : i + k])) for i in range(len(t) - k + 1)]
+    found = []
+    for i in range(max(1, len(hashes) - w + 1)):
+        part = range(i, min(i + w, len(hashes)))
+        place = min(part, key=lambda j: (hashes[j], -j))
+        if not found or found[-1][1] != place:
+            found.append((hashes[place], place))
+    return found
+
+
+def test_fingerprint_query_equals_plain_loops(spark, sf, documents):
+    got = by_id(queries.op4_document_fingerprints(spark, sf))
+    order = sorted(((i, t or "") for i, t in documents), reverse=True)
+    short = [k for k, (_, t) in enumerate(order) if len(t) < 4000]
+    for k in short[:60]:
+        (i, t), (_, after) = order[k], order[(k + 1) % len(order)]
+        cut = len(t) // 3
+        changed = t[: len(t) - cut] + after[:cut]
+        prints, again = plain_prints(t), plain_prints(changed)
+        r = got[i]
+        assert r.fingerprint == ",".join(f"{h:010x}" for h, _ in prints) and r.positions == ",".join(str(x) for _, x in prints)
+        assert r.edited_fingerprint == ",".join(f"{h:010x}" for h, _ in again) and r.n_prints == len(prints)
+        a, b = {h for h, _ in prints}, {h for h, _ in again}
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
