@@ -94,7 +94,8 @@ def test_fits_round_trip(spark, tmp_path):
     (tmp_path / "a.fits").write_bytes(raw)
     (tmp_path / "b_validated.fits").write_bytes(raw)
     s = readers.read_sdfits(spark, str(tmp_path / "a.fits")).orderBy("row_id").toPandas()
-    assert list(s["data"].iloc[2]) == [8.0, 9.0, 10.0, 11.0] and abs(s.ra.iloc[0] - 10) < 1e-12
+    # channels 2 to 4 are the ones that the history names
+    assert list(s["data"].iloc[2]) == [9.0, 10.0, 11.0] and (s.first_channel == 1).all() and (s.channels == 4).all() and abs(s.ra.iloc[0] - 10) < 1e-12
     h = readers.read_headers(spark, str(tmp_path / "a.fits")).first().header
     assert h["OBSMODE"] == "ralongmap" and "START,STOP 2,4" in h["HISTORY"]
     assert readers.parse_history(h["HISTORY"].split("\n"))["START"] == 2.0
