@@ -26,9 +26,10 @@ def galactic_l(ra: Column, dec: Column) -> Column:
 
 
 def equatorial_dec(lon: Column, lat: Column) -> Column:
-    """Declination of a galactic position."""
-    pole = F.radians(F.lit(POLE_DEC))
-    return F.degrees(arc_sin(F.sin(pole) * F.sin(F.radians(lat)) + F.cos(pole) * F.cos(F.radians(lat)) * F.cos(F.radians(F.lit(ORIGIN_L) - lon))))
+    """Declination of a galactic position; from both sides of its angle, so that it is as exact next to the poles."""
+    pole, b, t = F.radians(F.lit(POLE_DEC)), F.radians(lat), F.radians(F.lit(ORIGIN_L) - lon)
+    up = F.sin(pole) * F.sin(b) + F.cos(pole) * F.cos(b) * F.cos(t)
+    return F.degrees(F.atan2(up, F.hypot(F.cos(b) * F.sin(t), F.cos(pole) * F.sin(b) - F.sin(pole) * F.cos(b) * F.cos(t))))
 
 
 def equatorial_ra(lon: Column, lat: Column) -> Column:

@@ -283,7 +283,8 @@ def to_galactic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("frame_round_trip", S + "SELECT scan_id, sample_id, round(ra, 6) AS ra, round(dec, 6) AS dec FROM samples")
 def frame_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.to_equatorial(geometry.to_galactic(event_samples(spark, d))).select("scan_id", "sample_id", r6("ra").alias("ra"), r6("dec").alias("dec"))
+    there = geometry.to_galactic(event_samples(spark, d), branch="branch")
+    return geometry.to_equatorial(there, branch="branch").select("scan_id", "sample_id", r6("ra").alias("ra"), r6("dec").alias("dec"))
 
 
 @query("great_circle", S + f"SELECT scan_id, sample_id, round({GC.format(d1='dec', d2='20.0', r1='ra', r2='101.0')}, 6) AS distance FROM samples")
