@@ -10,21 +10,23 @@ radius a side. A smaller cell would hold hardly less, as its margin alone has a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators import rcr
-from starloom.operators.grouped import SURVEYS, summarised
+from starloom.operators.grouped import SURVEYS
+from starloom.operators.rcr_groups import ELEMENTS, _sum, reject_many
 from starloom.operators.spatial import in_boxes
 from starloom.sources.tables import written
 
 CELL_RADII = 4.0
 #: Own samples of a cell from which on it is cut, and how often a cell may be cut.
 CROWD, DEPTH = 20_000, 3
+#: Pairs of a place and a sample near it that are looked at at once.
+PAIRS = 1_000_000
 
 
 def leaves(samples: DataFrame, radius: float, x: str, y: str, crowd: int | None = None) -> DataFrame:
@@ -105,29 +107,90 @@ def local_fits(near: DataFrame, keys: list[str], z: str, w: str, radius: float,
     return sums.withColumn("f", f).select(*keys, "f", F.expr("(zs - f * ps) / (2 * s)").alias("g"))
 
 
-def _surviving(d, z, w, scatter, radius):
-    """Kept flags and model values: the most positive outlier goes until the mean square above equals the scatter; both signs where f <= 0."""
-    kept = np.ones(len(d), dtype=bool)
-    values = np.zeros(len(d))
-    for _ in range(len(d)):
-        f, g, p = local_fit(d[kept], z[kept], w[kept], radius)
-        values = f * np.cos(np.pi * d / (2 * radius)) ** 2 + g
-        r = z - values
-        side = kept & ((r > 0) if f > 0 else np.ones(len(d), bool))
-        if kept.sum() <= 3 or not side.any():
-            break
-        if np.sqrt((w[side] * r[side] ** 2).sum() / w[side].sum()) <= scatter:
-            break
-        score = np.where(side, r if f > 0 else np.abs(r), -np.inf)
-        kept[int(score.argmax())] = False
+def surviving_models(d: np.ndarray, z: np.ndarray, w: np.ndarray, m: np.ndarray, scatter: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Kept flags and model values of neighbourhoods, whose m samples are a row: the most positive outlier goes until the mean square above
+    equals the scatter; both signs where f <= 0."""
+    kept = np.arange(d.shape[1]) < m[:, None]
+    values = np.zeros_like(d)
+    p = np.cos(np.pi * d / (2 * radius)) ** 2
+    act = np.flatnonzero(m > 0)
+    while len(act):
+        k, pa, za = kept[act], p[act], z[act]
+        wa = np.where(k, w[act], 0.0)
+        wz, wp = wa * za, wa * pa
+        s, fz, zs, ps, q = (_sum(c) for c in (wa, wz * pa, wz, wp, wp * pa))
+        det = 2 * s * q - ps * ps
+        fit = det > 0
+        f = np.where(fit, (2 * s * fz - zs * ps) / np.where(fit, det, 1.0), 0.0)
+        g = np.where(fit, (zs - f * ps) / np.where(fit, 2 * s, 1.0), 0.0)
+        made = f[:, None] * pa + g[:, None]
+        values[act] = made
+        r = za - made
+        up = (f > 0)[:, None]
+        side = k & ((r > 0) | ~up)
+        beside = np.where(side, wa, 0.0)
+        total = _sum(beside)
+        go = (k.sum(axis=1) > 3) & side.any(axis=1)
+        go &= ~(np.sqrt(_sum(beside * r * r) / np.where(total > 0, total, 1.0)) <= scatter[act])
+        score = np.where(side, np.where(up, r, np.abs(r)), -np.inf)[go]
+        act = act[go]
+        if len(act):
+            kept[act, score.argmax(axis=1)] = False
     return kept, values
 
 
+def _in_reach(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Place, sample and distance of the samples within the radius of each place (mx, my), some places at a time; a place's samples by x."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    a, b = np.searchsorted(ordered, mx - radius), np.searchsorted(ordered, mx + radius)
+    total = np.cumsum(b - a)
+    i = 0
+    while i < len(mx):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, side="right")))
+        n = (b - a)[i:j]
+        place = np.repeat(np.arange(i, j), n)
+        at = order[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[i:j], n)]
+        d = np.hypot(x[at] - mx[place], y[at] - my[place])
+        hit = d < radius
+        yield place[hit], at[hit], d[hit]
+        i = j
+
+
+def _model_values(place: np.ndarray, at: np.ndarray, d: np.ndarray, z: np.ndarray, dumps: np.ndarray, noise: np.ndarray, radius: float, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sample, value, weight, n and square of what the models of these places give to own samples that they keep."""
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    size = np.diff(np.append(begin, len(place)))
+    by_size = np.argsort(size, kind="stable")
+    i = 0
+    while i < len(by_size):
+        wide = size[by_size[i : i + ELEMENTS]] * np.arange(1, min(ELEMENTS, len(by_size) - i) + 1)
+        rows = by_size[i : i + max(1, int(np.searchsorted(wide, ELEMENTS, side="right")))]
+        i += len(rows)
+        m = size[rows]
+        col = np.arange(int(m.max()))
+        inside = col < m[:, None]
+        pair = np.minimum(begin[rows, None] + col, len(place) - 1)
+        sample = at[pair]
+        far, flux, w, n = (np.where(inside, c, 0.0) for c in (d[pair], z[sample], dumps[sample] / np.maximum(noise[sample], 1e-12) ** 2, noise[sample]))
+        kept, value = surviving_models(far, flux, w, m, _sum(n) / m, radius)
+        p = np.cos(np.pi * far / (2 * radius)) ** 2
+        wk = np.where(kept, w, 0.0)
+        total = _sum(wk)
+        mean = (_sum(wk * p) / total)[:, None]
+        var = np.maximum(_sum(wk * (p - mean) ** 2) / total, 1e-12)[:, None]
+        local = _sum(np.where(kept, dumps[sample], 0.0))[:, None] / (1 + 2 * (p - mean) ** 2 / var)
+        square = np.broadcast_to((_sum(wk * far**2) / total)[:, None], kept.shape)
+        n = np.broadcast_to(kept.sum(axis=1)[:, None], kept.shape)
+        give = kept & own[sample]
+        yield sample[give], value[give], local[give], n[give], square[give]
+
+
 def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str = "dec", flux: str = "flux", scatter: str = "scatter2d", weight: str = "dumps", extra: DataFrame | None = None) -> DataFrame:
     """survey_id, scan_id, sample_id, model, gm_weight, correlation of every sample that some local model keeps.
 
     A local model is fitted around every sample; each sample it keeps gets its value and a weight; a sample's
-    values are combined by the robust mean. Samples that no model keeps have no row. Radius 0 is no stage. `extra` has more
+    values, in units of 2^-30 of the largest, are combined by the robust mean. Samples that no model keeps have no row. Radius 0 is no stage. `extra` has more
     places (mx, my) around which models are fitted.
     """
     columns = [flux, scatter, weight]
@@ -137,40 +200,36 @@ def interference_models(samples: DataFrame, radius: float, x: str = "ra", y: str
         samples = samples.select("survey_id", "scan_id", "sample_id", x, y, *columns).unionByName(more, allowMissingColumns=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = pdf["scan_id"].isna().to_numpy()
-        middles = pdf.loc[pdf["own"], [x, y]].to_numpy(float)
-        pdf = pdf[~place]
+        keys = ["survey_id", "scan_id", "sample_id"]
+        mx, my = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        pdf = pdf[~pdf["scan_id"].isna().to_numpy()].sort_values(keys, kind="stable")
         px, py, z, dumps, noise = (pdf[c].to_numpy(float) for c in (x, y, flux, weight, scatter))
-        near = _Near(px, py, radius)
-        rows = []
-        for mx, my in middles:
-            at, d = near.of(mx, my)
-            if not len(at):
-                continue
-            w = dumps[at] / np.maximum(noise[at], 1e-12) ** 2
-            kept, value = _surviving(d, z[at], w, float(noise[at].mean()), radius)
-            p = np.cos(np.pi * d / (2 * radius)) ** 2
-            mean = np.average(p[kept], weights=w[kept])
-            var = max(np.average((p[kept] - mean) ** 2, weights=w[kept]), 1e-12)
-            local = dumps[at][kept].sum() / (1 + 2 * (p - mean) ** 2 / var)
-            square = float((w[kept] * d[kept] ** 2).sum() / w[kept].sum())
-            for k in np.flatnonzero(kept):
-                rows.append((at[k], value[k], local[k], int(kept.sum()), square))
-        if not rows:
-            return pd.DataFrame(columns=["survey_id", "scan_id", "sample_id", "value", "weight", "n", "square"])
-        at, value, local, n, square = zip(*rows)
-        out = pdf.iloc[list(at)][["survey_id", "scan_id", "sample_id"]].reset_index(drop=True)
-        return out.assign(value=value, weight=local, n=n, square=square)
-
-    local = by_cell(samples, radius, x, y, columns, run, "survey_id int, scan_id int, sample_id int, value double, weight double, n int, square double")
-
-    def combine(value: np.ndarray, w: np.ndarray, n: np.ndarray, square: np.ndarray) -> tuple:
-        r = rcr.reject(value, w, "LS_MODE_DL", True)
-        k = r.flags
-        return r.mu, float(w.sum() / len(w)), float(6 * np.sqrt((square[k] * n[k]).sum() / max(n[k].sum(), 1)))
-
-    columns = ["value", "weight", "n", "square"]
-    return summarised(local, ["survey_id", "scan_id", "sample_id"], columns, "model double, gm_weight double, correlation double", combine, columns)
+        own = pdf["own"].to_numpy(bool)
+        if not own.any():
+            return pd.DataFrame(columns=[*keys, "model", "gm_weight", "correlation"])
+        # a model near an own sample is within a radius of them, and its samples within two
+        near = (mx >= px[own].min() - radius) & (mx <= px[own].max() + radius) & (my >= py[own].min() - radius) & (my <= py[own].max() + radius)
+        at = np.flatnonzero(near)[np.lexsort((my[near], mx[near]))]
+        given = [v for pairs in _in_reach(px, py, mx[at], my[at], radius) if len(pairs[0]) for v in _model_values(*pairs, z, dumps, noise, radius, own)]
+        sample, value, w, n, square = (np.concatenate(c) for c in zip(*given)) if given else (np.zeros(0, dtype=np.int64),) * 5
+        # models around the same place are the same but for rounding, to which a mode is open
+        most = np.zeros(len(px))
+        np.maximum.at(most, sample, np.abs(value))
+        unit = np.exp2(np.ceil(np.log2(np.maximum(most, 1e-200))) - 30)[sample]
+        value = np.round(value / unit) * unit
+        order = np.lexsort((square, n, w, value, sample))
+        sample, value, w, n, square = (c[order] for c in (sample, value, w, n, square))
+        starts = np.append(np.flatnonzero(np.diff(sample, prepend=-1)), len(sample))
+        if len(starts) < 2:
+            return pd.DataFrame(columns=[*keys, "model", "gm_weight", "correlation"])
+        r = reject_many(value, w, starts, "LS_MODE_DL", True)
+        total = lambda c: np.add.reduceat(c, starts[:-1])
+        out = pdf.iloc[sample[starts[:-1]]][keys].reset_index(drop=True)
+        correlation = 6 * np.sqrt(total(np.where(r.flags, square * n, 0.0)) / np.maximum(total(np.where(r.flags, n, 0)), 1))
+        return out.assign(model=r.mu, gm_weight=total(w) / np.diff(starts), correlation=correlation)
+
+    # with a margin of two radii a cell has all models of its own samples, so none of their values is shuffled
+    return by_cell(samples, 2 * radius, x, y, columns, run, "survey_id int, scan_id int, sample_id int, model double, gm_weight double, correlation double")
 
 
 def sampling_gap(samples: DataFrame, radius: float, least: float | str = 0.0, cap: float = 0.75, x: str = "ra", y: str = "dec", out: str = "theta_gap") -> DataFrame:
