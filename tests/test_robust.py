@@ -221,3 +221,18 @@ def test_window_restores_by_the_mean_square_alone(n):
         changed += (kept != before).any()
         assert (made[0] == kept).all() and np.allclose(made[1], np.polyval(fit(kept), x), atol=1e-6)
     assert changed
+
+
+def test_pairs_of_a_line_are_listed_once():
+    """The slopes of all pairs are made in the first round, and later rounds choose among them; a listing anew gives the same line."""
+    rng = np.random.default_rng(11)
+    x, w = np.arange(40.0), rng.integers(1, 6, 40).astype(float)
+    y = np.round(2 * x + rng.standard_normal(40) * 3 + (rng.random(40) < 0.2) * 60, 1)
+    kept = rcr.LinearModel(x, y, w)
+    kept(np.ones(40, bool))
+    listed = kept.pairs
+    for _ in range(20):
+        flags = rng.random(40) < 0.7
+        anew = rcr.LinearModel(x, y, w)
+        assert np.array_equal(kept(flags), anew(flags)) and (kept.slope, kept.intercept) == (anew.slope, anew.intercept)
+        assert kept.pairs is listed
