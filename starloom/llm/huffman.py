@@ -128,7 +128,7 @@ def decode_block(payload: bytes, marks: np.ndarray, total: int, symbol: np.ndarr
 def _tokenised(model: str, end_id: int):
     def run(batches):
         table = tokens.word_bpe(model)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", table.SLICE):
             data, offsets = buffers(strings(b.column("text")))
             ids, cuts = table.encode(data, *word_spans(data, offsets))
             wide = 2 if ids.max(initial=end_id) < 65536 else 4

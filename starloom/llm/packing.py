@@ -70,7 +70,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def _pieces(model: str, length: int, separator: int, with_ids: bool):
     def run(batches):
         table = tokens.word_bpe(model)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", table.SLICE):
             data, offsets = buffers(strings(b.column("text")))
             ids, cuts = table.encode(data, *word_spans(data, offsets))
             row, piece, start, size, crc, kept = [], [], [], [], [], []
