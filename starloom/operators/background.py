@@ -105,6 +105,12 @@ def window_models(x: np.ndarray, y: np.ndarray, w: np.ndarray, m: np.ndarray, sc
     return kept, values
 
 
+def window_model(x: np.ndarray, y: np.ndarray, w: np.ndarray, scatter: float, anchor: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """window_models of one window: (kept, values); None where nothing is kept."""
+    kept, values = window_models(x[None], y[None], w[None], np.array([len(x)]), np.array([float(scatter)]), np.array([anchor]))
+    return (kept[0], values[0]) if kept.any() else None
+
+
 def _local_values(x: np.ndarray, y: np.ndarray, w: np.ndarray, begin: np.ndarray, m: np.ndarray, anchor: np.ndarray, scatter: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, ...]:
     """Window, sample, value (a multiple of the unit) and weight of what windows of like length give to the samples of their spans."""
     col = np.arange(int(m.max()))
